@@ -32,6 +32,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), width=3, share=85)
+
+
 OP2_SQL = r"""
 WITH t AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -44,5 +50,5 @@ SELECT doc_id,
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_best_fit_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_best_fit_packing, op9_quality, op10_near_dedup)}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
