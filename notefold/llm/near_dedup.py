@@ -9,11 +9,14 @@
    against the hub it shares most buckets with.  The links make components,
    which take in nearly all of any large group of copies.
 4. Round two: in buckets that still hold more than one component, members of
-   different components are compared by the joint estimate of their sketches;
-   pairs more than five deviations under the threshold go.  Large buckets are
-   split in blocks: those outside the bucket's largest component visit every
-   block.  Pairs inside a component are never formed.
-5. Every remaining pair of either round is confirmed on the full sets.
+   different components are compared by the joint estimate of their sketches.
+   Pairs at most five deviations under the threshold join their ends to one
+   cluster; only a forest of them leaves the task.  Members of a cluster that
+   are in different components are then compared on their full sets, and again
+   a forest of the links leaves the task.
+5. Large buckets and clusters are split in blocks: those outside the largest
+   component visit every block.  Pairs inside a component are never compared,
+   and no list of all pairs is ever made.
 
 No bucket, group or pair list is capped.
 """
@@ -94,29 +97,88 @@ def _likely(least: float):
     return run
 
 
-def _across(share: int, least: float):
-    """Likely pairs of a home row and a visitor of other components; rows come in order of (bucket, home_block, visit_block)."""
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index that each of 0..n-1 is joined with by pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key = np.stack([t[c].to_numpy() for c in ("bucket", "home_block", "visit_block")], 1)
+
+def _near(share: int, least: float):
+    """A forest (id, root) over the likely pairs of a visitor and a home row of different components."""
+
+    def forest(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         cid, comp, n, home = (t[c].to_numpy() for c in ("cid", "comp", "n", "home"))
         regs = _matrix(t["regs"].combine_chunks())
-        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(1)])
-        found, at = [], np.arange(len(cid))
+        found, at = [np.zeros((2, 0), np.int64)], np.arange(len(cid))
         for d in range(1, len(cid)):
             at = at[at + d < len(cid)]
             at = at[group[at] == group[at + d]]
             if not len(at):
                 break
-            to = at + d
-            small, large = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
-            ok = (home[at] != home[to]) & (comp[at] != comp[to]) & (100 * small >= share * large)
-            i, j = at[ok], to[ok]
+            small, large = np.minimum(n[at], n[at + d]), np.maximum(n[at], n[at + d])
+            i = at[(home[at] != home[at + d]) & (comp[at] != comp[at + d]) & (100 * small >= share * large)]
             if len(i):
-                ok = _estimates(regs[i], regs[j], n[i], n[j]) >= least
-                found.append(np.stack([np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]])], 1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+                i = i[_estimates(regs[i], regs[i + d], n[i], n[i + d]) >= least]
+                found.append(np.stack([i, i + d]))
+        i, j = np.concatenate(found, 1)
+        root = _roots(len(cid), i, j)
+        own = np.unique(np.concatenate([i, j]))
+        return pa.RecordBatch.from_arrays([pa.array(cid[own]), pa.array(cid[root[own]])], names=["a", "b"])
+
+    return _by_group(("bucket", "home_block", "visit_block"), forest)
+
+
+def _links(share: int):
+    """A forest (a, b) over the links between a visitor and a home row of different components, on whole sets."""
+
+    def of_group(cid, comp, home, sets) -> tuple[np.ndarray, np.ndarray]:
+        at, guests = np.flatnonzero(home), np.flatnonzero(~home)
+        size = np.array([len(x) for x in sets])
+        every = np.concatenate([sets[k] for k in at]) if len(at) else np.zeros(0, np.uint64)
+        owner = np.repeat(at, size[at])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for g in guests:
+            lo, hi = np.searchsorted(every, sets[g], "left"), np.searchsorted(every, sets[g], "right")
+            n = hi - lo
+            hits = owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            common = np.bincount(hits, minlength=len(cid))[at]
+            to = at[(100 * common >= share * (size[at] + size[g] - common)) & (comp[at] != comp[g])]
+            i.append(np.full(len(to), g))
+            j.append(to)
+        i, j = np.concatenate(i), np.concatenate(j)
+        root = _roots(len(cid), i, j)
+        own = np.unique(np.concatenate([i, j]))
+        return cid[own], cid[root[own]]
+
+    def forest(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        cid, comp, home = (t[c].to_numpy() for c in ("cid", "comp", "home"))
+        sets = [np.frombuffer(x, np.uint64) for x in t["own"].to_pylist()]
+        edge = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(cid)]
+        out = [of_group(cid[x:y], comp[x:y], home[x:y], sets[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return _by_group(("cluster", "home_block", "visit_block"), forest)
+
+
+def _by_group(keys: tuple[str, ...], work):
+    """Apply work(table, group numbers) to whole groups of rows that come in order of keys."""
+
+    def key_of(t: pa.Table) -> np.ndarray:
+        return np.stack([t[c].to_numpy() for c in keys], 1)
+
+    def whole(t: pa.Table) -> pa.RecordBatch:
+        key = key_of(t)
+        return work(t, np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(1)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -125,13 +187,13 @@ def _across(share: int, least: float):
                 continue
             t = pa.Table.from_batches([b])
             t = t if held is None else pa.concat_tables([held, t])
-            key = np.stack([t[c].to_numpy() for c in ("bucket", "home_block", "visit_block")], 1)
+            key = key_of(t)
             last = int(np.flatnonzero((key != key[-1]).any(1)).max(initial=-1)) + 1
             held = t.slice(last)
             if last:
-                yield pairs(t.slice(0, last))
+                yield whole(t.slice(0, last))
         if held is not None:
-            yield pairs(held)
+            yield whole(held)
 
     return run
 
@@ -154,17 +216,43 @@ def _confirmed(share: int):
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, own) of the documents that ids (doc_id) names: their whole sets."""
+    ids = cut(ids, "ids")
+    named = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    return cut(docs.join(named, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, own binary"), "sets")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
     """Those of pairs (a, b) that the full sets confirm, from the whole texts of the documents they name."""
     pairs = cut(pairs, "pairs")
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    named = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    sets = cut(docs.join(named, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, own binary"), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, width)
     own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("own").alias(f"set_{c}"))
     joined = pairs.hint("merge").join(own("b").hint("merge"), "b").join(own("a").hint("merge"), "a")
     return cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(share), "a long, b long"), "links")
 
 
+def _blocks(members: DataFrame, key: str) -> DataFrame:
+    """Deal members (key, cid, comp, ...) of every key with several components into blocks in which visitors meet home rows.
+
+    Each row is at home in one block; rows outside the key's largest component
+    also visit every home block.  Home rows are repeated for each block of
+    visitors, so a block holds about BLOCK rows of either kind.
+    """
+    per = members.groupBy(key, "comp").agg(F.count("*").alias("k")).groupBy(key).agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max("k").alias("most"), F.max_by("comp", "k").alias("main"))
+    live = members.join(per.where("comps > 1"), key).withColumns({"homes": F.ceil(F.col("size") / BLOCK), "visits": F.ceil((F.col("size") - F.col("most")) / BLOCK)})
+    block = lambda n: F.pmod(F.xxhash64("cid", key), n)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    at_home = live.select(*members.columns, F.lit(True).alias("home"), block(F.col("homes")).alias("home_block"), upto(F.col("visits")).alias("visit_block"))
+    visiting = live.where("comp <> main").select(*members.columns, F.lit(False).alias("home"), upto(F.col("homes")).alias("home_block"), block(F.col("visits")).alias("visit_block"))
+    return at_home.union(visiting)
+
+
+def _together(rows: DataFrame, key: str) -> DataFrame:
+    parts = 4 * parallelism(rows.sparkSession)
+    return rows.repartition(parts, key, "home_block", "visit_block").sortWithinPartitions(key, "home_block", "visit_block")
+
+
 def near_groups(docs: DataFrame, width: int = 3, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -196,17 +284,13 @@ def near_groups(docs: DataFrame, width: int = 3, share: int = 85, id_col: str =
     first = _confirm(tried.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(least), "a long, b long"), own, width, share)
     found = components(first)
 
-    member = shared.select("bucket", "cid", "n").join(found.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-    per = member.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max("k").alias("most"), F.max_by("comp", "k").alias("main"))
-    live = member.join(per.where("comps > 1"), "bucket").withColumns({"homes": F.ceil(F.col("size") / BLOCK), "visits": F.ceil((F.col("size") - F.col("most")) / BLOCK)})
-    block = lambda n: F.pmod(F.xxhash64("cid", "bucket"), n)
-    at_home = live.select("bucket", "cid", "n", "comp", F.lit(True).alias("home"), block(F.col("homes")).alias("home_block"), F.explode(F.sequence(F.lit(0), F.col("visits") - 1)).alias("visit_block"))
-    visiting = live.where("comp <> main").select("bucket", "cid", "n", "comp", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home_block"), block(F.col("visits")).alias("visit_block"))
-    met = at_home.union(visiting).join(classes.select("cid", "regs"), "cid")
-    parts = 4 * parallelism(spark)
-    met = met.repartition(parts, "bucket", "home_block", "visit_block").sortWithinPartitions("bucket", "home_block", "visit_block")
-    second = _confirm(met.mapInArrow(_across(share, least), "a long, b long").distinct(), own, width, share)
-
+    labelled = lambda rows: rows.join(found.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    met = _blocks(labelled(shared.select("bucket", "cid", "n")), "bucket").join(classes.select("cid", "regs"), "cid")
+    clusters = components(_together(met, "bucket").mapInArrow(_near(share, least), "a long, b long"))
+    gathered = cut(_blocks(labelled(clusters.select(F.col("component").alias("cluster"), F.col("node").alias("cid"))), "cluster"), "clusters")
+    sets = _sets_of(gathered.select(F.col("cid").alias("doc_id")).distinct(), own, width)
+    met = gathered.join(sets.withColumnRenamed("doc_id", "cid"), "cid")
+    second = _together(met, "cluster").mapInArrow(_links(share), "a long, b long")
     ends = components(first.union(second))
     of_dig = reps.join(ends.withColumnRenamed("node", "cid"), "cid", "left").select("dig", F.coalesce("component", "cid").alias("component_id"))
     out = rows.join(cut(of_dig, "of-class"), "dig", "left")
