@@ -250,7 +250,7 @@ def _blocks(members: DataFrame, key: str) -> DataFrame:
 
 def _together(rows: DataFrame, key: str) -> DataFrame:
     parts = 4 * parallelism(rows.sparkSession)
-    return rows.repartition(parts, key, "home_block", "visit_block").sortWithinPartitions(key, "home_block", "visit_block")
+    return rows.repartition(parts, key, "home_block", "visit_block").sortWithinPartitions(key, "home_block", "visit_block", "cid")
 
 
 def near_groups(docs: DataFrame, width: int = 3, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,6 +38,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), width=3, share=85)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.substring_dedup import repeated_spans
+
+    # a row for each document that holds a repeated passage, those that keep it included
+    return repeated_spans(table(spark, sf_dir, "documents")).where("n_repeated > 0")
+
+
 OP2_SQL = r"""
 WITH t AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -50,5 +57,5 @@ SELECT doc_id,
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_best_fit_packing, op9_quality, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_best_fit_packing, op7_substring_dedup, op9_quality, op10_near_dedup)}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
