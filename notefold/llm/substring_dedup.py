@@ -16,7 +16,7 @@ the chunks in it.
    place stay, and with them what lies between in pieces of under `least` bytes.
 
 A passage that a third of the documents hold is one row a batch: of all digest
-rows, its share is at most one in the digests of a batch (some 100,000).
+rows, its share is at most one in the digests of a batch (some 20,000).
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ _WINDOW = 16
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 #: Bytes of text that a batch of documents holds at most, unless it is one document.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 _CHUNKS = "batch long, docs binary, ids binary, counts binary, digests binary, codes binary, sizes binary"
 
 
