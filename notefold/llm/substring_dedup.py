@@ -87,7 +87,7 @@ def _cut(average: int, longest: int):
             nonlocal serial, held
             valid = np.array([x is not None for x in ids], np.uint8)
             step = np.diff(np.array(codes, np.int32), prepend=np.int32(0))  # mostly ones: packs well
-            cols = [pa.array([(part << 32) | serial], pa.int64())]
+            cols = [pa.array([(part << 19) | serial], pa.int64())]
             cols += [pa.array([x], pa.binary()) for x in (valid.tobytes(), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array(counts, np.int32).tobytes(), b"".join(index), step.tobytes(), np.array(sizes, np.int32).tobytes())]
             serial, held = serial + 1, 0
             for x in (ids, counts, codes, sizes, index):
@@ -135,8 +135,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(code, minlength=len(dig))
             for s in range(0, len(dig), 50_000):
                 k = slice(s, s + 50_000)
-                cols = [np.full(len(first[k]), r["batch"]), np.arange(len(dig))[k], dig[k, 0], dig[k, 1], n[k], doc[first[k]], pos[first[k]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["batch", "code", "hi", "lo", "n", "doc", "pos"])
+                cols = [(r["batch"] << 24) | np.arange(len(dig))[k], dig[k, 0], dig[k, 1], doc[first[k]], pos[first[k]] * 2 + (n[k] > 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["chunk", "hi", "lo", "doc", "pos"])
 
 
 def _spans(least: int):
@@ -189,9 +189,10 @@ def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least
     small_batches(docs.sparkSession)
     packed = cut(texts(docs, id_col, text_col).mapInArrow(_cut(average, longest), _CHUNKS), "chunks")
     same = Window.partitionBy("hi", "lo")
-    rows = packed.mapInArrow(_distinct, "batch long, code long, hi long, lo long, n long, doc long, pos long")
-    repeats = rows.select("*", F.sum("n").over(same).alias("times"), F.min(F.struct("doc", "pos")).over(same).alias("first")).where("times > 1")
-    back = repeats.select("batch", "code", "first.doc", "first.pos")
+    # chunk: batch and code; pos: twice the position, plus one where the batch has the digest more than once
+    rows = packed.mapInArrow(_distinct, "chunk long, hi long, lo long, doc long, pos long")
+    repeats = rows.select("chunk", "pos", F.count("*").over(same).alias("times"), F.min(F.struct("doc", "pos")).over(same).alias("first")).where("times > 1 or pos % 2 = 1")
+    back = repeats.select(F.shiftright("chunk", 24).alias("batch"), F.col("chunk").bitwiseAND(F.lit((1 << 24) - 1)).alias("code"), "first.doc", F.shiftright("first.pos", 1).alias("pos"))
     packed = packed.drop("digests")
     return packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_spans(least), "doc_id long, n_chunks long, n_repeated long, spans array<struct<start: long, end: long>>")
 
