@@ -7,10 +7,10 @@ depend on near bytes only, so what is inserted before a passage does not move
 the chunks in it.
 
 1. One pass cuts texts into chunks and writes, per batch of documents, the
-   distinct 128-bit digests and which chunk has which.
-2. Each batch sends each of its distinct digests once, with its count and first
-   place; sums over batches find the digests that occur more than once, and the
-   place (smallest doc_id, then position) that keeps the text.
+   distinct digests (96 bits) and which chunk has which.
+2. Each batch sends each of its distinct digests once, with its smallest
+   doc_id; sums over batches find the digests that occur more than once, and the
+   document (smallest doc_id) that keeps the text, at its first place there.
 3. Batches get back those of their digests that repeat, and runs of repeated
    chunks of at least `least` bytes become spans.  Chunks at their keeping
    place stay, and with them what lies between in pieces of under `least` bytes.
@@ -118,36 +118,38 @@ def _cut(average: int, longest: int):
 
 
 def _unpack(r: dict) -> tuple[np.ndarray, ...]:
-    """Of a batch: each chunk's document, position there and code; valid ids, ids, chunks of each document."""
+    """Of a batch: each chunk's document and code; valid ids, ids, chunks of each document."""
     valid, ids, counts = np.frombuffer(r["docs"], np.uint8), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int32)
     own = np.repeat(np.where(valid == 1, ids, NO_ID), counts)
-    pos = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return own, pos, np.cumsum(np.frombuffer(r["codes"], np.int32)), valid, ids, counts
+    return own, np.cumsum(np.frombuffer(r["codes"], np.int32)), valid, ids, counts
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
-            doc, pos, code, *_ = _unpack(r)
+            doc, code, *_ = _unpack(r)
             dig = np.frombuffer(r["digests"], np.int64).reshape(-1, 2)
-            order = np.lexsort((pos, doc, code))
-            first = order[np.flatnonzero(np.diff(code[order], prepend=-1))]
-            n = np.bincount(code, minlength=len(dig))
+            first = np.full(len(dig), NO_ID)
+            np.minimum.at(first, code, doc)
+            many = np.bincount(code, minlength=len(dig)) > 1
             for s in range(0, len(dig), 50_000):
                 k = slice(s, s + 50_000)
-                cols = [(r["batch"] << 24) | np.arange(len(dig))[k], dig[k, 0], dig[k, 1], doc[first[k]], pos[first[k]] * 2 + (n[k] > 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["chunk", "hi", "lo", "doc", "pos"])
+                cols = [np.full(len(first[k]), r["batch"]), (np.arange(len(dig))[k] * 2 + many[k]).astype(np.int32), dig[k, 0], dig[k, 1].astype(np.int32), first[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["batch", "code", "hi", "lo", "doc"])
 
 
 def _spans(least: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_chunks": [], "n_repeated": [], "spans": []}
         for r in left.to_pylist():
-            doc, pos, code, valid, ids, counts = _unpack(r)
+            doc, code, valid, ids, counts = _unpack(r)
             row_of = np.full(code.max(initial=-1) + 2, -1)
             row_of[right["code"].to_numpy()] = np.arange(len(right))
             at = row_of[code]
-            keeps = (np.r_[right["doc"].to_numpy(), -1][at] == doc) & (np.r_[right["pos"].to_numpy(), -1][at] == pos) & (at >= 0)
+            _, first = np.unique(np.repeat(np.arange(len(counts)), counts) * len(row_of) + code, return_index=True)
+            keeps = np.zeros(len(code), bool)
+            keeps[first] = True  # of a document's equal chunks, the first
+            keeps &= (at >= 0) & (np.r_[right["doc"].to_numpy(), -1][at] == doc)
             sizes, begin = np.frombuffer(r["sizes"], np.int32), 0
             for k, n in enumerate(counts.tolist()):
                 rep = at[begin : begin + n] >= 0
@@ -181,18 +183,18 @@ def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least
     smallest doc_id, then the first there, stays.  So the
     spans of all texts can be cut out together and each passage stays once.
 
-    A null or empty text has no chunks.  Rows that repeat an id each get a row;
-    their chunks at the keeping position all stay.  Rows without an id keep only what no
+    A null or empty text has no chunks.  Rows that repeat an id each get a row
+    and keep each on its own.  Rows without an id keep only what no
     row with an id holds.  An empty table gives an empty result.  Other columns
     are ignored.
     """
     small_batches(docs.sparkSession)
     packed = cut(texts(docs, id_col, text_col).mapInArrow(_cut(average, longest), _CHUNKS), "chunks")
     same = Window.partitionBy("hi", "lo")
-    # chunk: batch and code; pos: twice the position, plus one where the batch has the digest more than once
-    rows = packed.mapInArrow(_distinct, "chunk long, hi long, lo long, doc long, pos long")
-    repeats = rows.select("chunk", "pos", F.count("*").over(same).alias("times"), F.min(F.struct("doc", "pos")).over(same).alias("first")).where("times > 1 or pos % 2 = 1")
-    back = repeats.select(F.shiftright("chunk", 24).alias("batch"), F.col("chunk").bitwiseAND(F.lit((1 << 24) - 1)).alias("code"), "first.doc", F.shiftright("first.pos", 1).alias("pos"))
+    # code: twice the batch's code, plus one where the batch has the digest more than once
+    rows = packed.mapInArrow(_distinct, "batch long, code int, hi long, lo int, doc long")
+    repeats = rows.select("batch", "code", F.count("*").over(same).alias("times"), F.min("doc").over(same).alias("doc")).where("times > 1 or code % 2 = 1")
+    back = repeats.select("batch", F.shiftright("code", 1).alias("code"), "doc")
     packed = packed.drop("digests")
     return packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_spans(least), "doc_id long, n_chunks long, n_repeated long, spans array<struct<start: long, end: long>>")
 
