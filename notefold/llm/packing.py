@@ -131,6 +131,6 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, wi
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     first = cut(counts.select("part", "length", "n", F.coalesce(before, F.lit(0)).alias("first")), "ranks")
     histogram = {int(r[0]): int(r[1]) for r in first.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
-    ranked = made.join(first.drop("n"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("first") + F.col("nth")).alias("rank"))
+    ranked = made.join(first.drop("n").hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("first") + F.col("nth")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "sequence_id long, offset long"
     return ranked.mapInArrow(_place(plan(histogram, size)), schema)
