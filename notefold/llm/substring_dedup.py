@@ -200,9 +200,9 @@ def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with their repeated spans cut out of the text; documents of which only white space is left go."""
+    """docs with their repeated spans cut out of the text; documents of which only white space is left go; rows that share an id stay as they are."""
     columns = docs.columns
-    found = cut(repeated_spans(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null and size(spans) > 0").groupBy("doc_id").agg(F.first("spans").alias("__spans")), "spans").withColumnRenamed("doc_id", "__id")
+    found = cut(repeated_spans(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.first("spans").alias("__spans")).where("k = 1 and size(__spans) > 0").drop("k"), "spans").withColumnRenamed("doc_id", "__id")
     @arrow_udf("string")
     def left(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
