@@ -20,6 +20,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notefold.llm.packing import pack
 
@@ -57,5 +75,20 @@ SELECT doc_id,
 FROM t
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_best_fit_packing, op7_substring_dedup, op9_quality, op10_near_dedup)}
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op4_top_k, op6_bpe, op5_best_fit_packing, op7_substring_dedup, op9_quality, op10_near_dedup)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_top_k": OP4_SQL}
