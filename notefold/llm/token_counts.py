@@ -32,44 +32,44 @@ def pieces(path: str) -> dict[str, float]:
 
 
 class Trie(dict):
-    """Word (bytes) to (tokens, score), through forward scores at the nodes of a trie; emptied at a bound of nodes."""
+    """Word (bytes) to complex(tokens, score), through forward scores at the nodes of a trie; emptied at a bound of nodes."""
 
-    def __init__(self, score: dict[str, float], most: int = 600_000):
+    def __init__(self, score: dict[str, float], most: int = 1_200_000):
         self.score, self.most = score, most
-        self.longest = max(map(len, score), default=1)
+        self.tails = {p[k:] for p in score for k in range(len(p))}  # a longer suffix that is none of these ends in no piece
         self.unknown = min((s for s in score.values() if s > -1e6), default=0.0) - PENALTY  # reserved pieces score far lower
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
 
-    def __missing__(self, word: bytes) -> tuple[int, float]:
+    def __missing__(self, word: bytes) -> complex:
         if len(self.best) > self.most:
             self._reset()
         text = MARK + word.decode("utf-8", "replace")
-        path, child, best, tokens, score = [0], self.child, self.best, self.tokens, self.score
+        child, best, tokens, score, tails = self.child, self.best, self.tokens, self.score, self.tails
+        at, path = 0, [0]
         for d, c in enumerate(text, 1):
-            at = child.get((path[-1], c))
+            key = at << 21 | ord(c)
+            at = child.get(key)
             if at is None:
-                top, least = None, 0
-                for size in range(1, min(d, self.longest) + 1):
-                    s = score.get(text[d - size : d])
-                    k = 1
-                    if s is None:
-                        if size > 1:
-                            continue
-                        s, k = self.unknown, len(c.encode())
-                    node = path[d - size]
-                    s, k = best[node] + s, tokens[node] + k
-                    if top is None or s > top or s == top and k < least:
-                        top, least = s, k
-                at = child[path[-1], c] = len(best)
+                s = score.get(c)
+                top, least = (best[path[-1]] + self.unknown, tokens[path[-1]] + len(c.encode())) if s is None else (best[path[-1]] + s, tokens[path[-1]] + 1)
+                k = d - 2
+                while k >= 0 and (tail := text[k:d]) in tails:
+                    s = score.get(tail)
+                    if s is not None:
+                        s += best[path[k]]
+                        if s > top or s == top and tokens[path[k]] + 1 < least:
+                            top, least = s, tokens[path[k]] + 1
+                    k -= 1
+                at = child[key] = len(best)
                 best.append(top)
                 tokens.append(least)
             path.append(at)
-        out = self[word] = (tokens[path[-1]], best[path[-1]])
+        out = self[word] = complex(tokens[at], best[at])
         return out
 
 
@@ -85,10 +85,10 @@ def _count(path: str):
             words, tokens, scores = [], [], []
             for t in b["text"].to_pylist():
                 w = t.encode().split()
-                found = list(map(own.__getitem__, w))
+                found = sum(map(own.__getitem__, w), 0j)
                 words.append(len(w))
-                tokens.append(sum(x for x, _ in found))
-                scores.append(float(sum(x for _, x in found)))
+                tokens.append(int(found.real))
+                scores.append(found.imag)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "n_tokens", "score"])
 
     return run
