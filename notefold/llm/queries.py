@@ -14,6 +14,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.lm_scoring import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notefold.llm.exact_dedup import exact_groups
 
@@ -44,6 +50,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notefold.llm.quality import score_quality
 
@@ -90,5 +102,20 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op4_top_k, op6_bpe, op5_best_fit_packing, op7_substring_dedup, op9_quality, op10_near_dedup)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_top_k": OP4_SQL}
+OP8_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), d AS (
+    SELECT page_id, html, first, sha1(html) AS hex FROM p
+)
+SELECT page_id,
+       CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       translate(array_to_string(list_transform(range(8), lambda k: lpad(to_base(CAST('0x' || substr(hex, CAST(1 + 5 * k AS INTEGER), 5) AS BIGINT), 32), 4, '0')), ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_token_counts, op4_top_k, op6_bpe, op5_best_fit_packing, op7_substring_dedup, op8_warc, op9_quality, op10_near_dedup)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_top_k": OP4_SQL, "op8_warc": OP8_SQL}
