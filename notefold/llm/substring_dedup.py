@@ -41,6 +41,8 @@ GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 #: Bytes of text that a batch of documents holds at most, unless it is one document.
 BATCH_BYTES = 1 << 19
+#: Spans are broadcast to their texts up to this many (16 MB), and joined by shuffle beyond.
+FEW_NUMBERS = 1_000_000
 _CHUNKS = "batch long, docs binary, ids binary, counts binary, digests binary, codes binary, sizes binary"
 
 
@@ -203,6 +205,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with their repeated spans cut out of the text; documents of which only white space is left go; rows that share an id stay as they are."""
     columns = docs.columns
     found = cut(repeated_spans(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.first("spans").alias("__spans")).where("k = 1 and size(__spans) > 0").drop("k"), "spans").withColumnRenamed("doc_id", "__id")
+    if found.agg(F.coalesce(F.sum(F.size("__spans") + 2), F.lit(0))).first()[0] <= FEW_NUMBERS:
+        found = F.broadcast(found)
+
     @arrow_udf("string")
     def left(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
