@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How generated sections are written in notes.
+SECTION_HEADING = "## Mindmap"
+SECTION_MARKS = "mindmap:(start|end)"
+CALLOUT = "> [!mindmap]- Mindmap"
+CALLOUT_PATTERN = r"^>\s*\[![^\]]*\]-?\s*(mindmap|related)"
+LINK_CLASS = "mindmap-link is-"
+
 
 def strip(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
@@ -114,7 +121,7 @@ def strip_trailing_dividers(text: Column) -> Column:
 def strip_sections(text: Column, headings: list[str]) -> Column:
     """Text without generated sections: lines with a section marker, sections under the headings, callouts; stripped, with a newline."""
     low = [h.strip().lower() for h in headings]
-    own = F.filter(lines(text), lambda x: ~F.lower(x).rlike("mindmap:(start|end)"))
+    own = F.filter(lines(text), lambda x: ~F.lower(x).rlike(SECTION_MARKS))
     empty = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
 
     def fold(items: Column, skip_now) -> Column:
@@ -125,14 +132,14 @@ def strip_sections(text: Column, headings: list[str]) -> Column:
         return F.aggregate(items, empty, step, lambda acc: acc["out"])
 
     own = fold(own, lambda skip, x: F.when(F.lower(strip(x)).isin(*low), True).when(F.startswith(x, F.lit("#")), False).otherwise(skip))
-    own = fold(own, lambda skip, x: F.when(F.lower(strip(x)).rlike(r"^>\s*\[![^\]]*\]-?\s*(mindmap|related)"), True).otherwise(skip & F.startswith(x, F.lit(">"))))
+    own = fold(own, lambda skip, x: F.when(F.lower(strip(x)).rlike(CALLOUT_PATTERN), True).otherwise(skip & F.startswith(x, F.lit(">"))))
     return F.concat(strip(F.array_join(own, "\n")), F.lit("\n"))
 
 
-def render_links(links: Column, heading: str = "> [!mindmap]- Mindmap") -> Column:
+def render_links(links: Column, heading: str = CALLOUT) -> Column:
     """A callout with a line for each link (path, kind); paths that are null or empty are left out."""
     shown = F.filter(links, lambda l: F.coalesce(l["path"], F.lit("")) != "")
-    row = lambda l: F.concat(F.lit('> - <span class="mindmap-link is-'), l["kind"], F.lit('">[['), l["path"], F.lit("|"), title_of(l["path"]), F.lit("]]</span>"))
+    row = lambda l: F.concat(F.lit(f'> - <span class="{LINK_CLASS}'), l["kind"], F.lit('">[['), l["path"], F.lit("|"), title_of(l["path"]), F.lit("]]</span>"))
     return F.when(F.size(shown) > 0, F.concat(F.lit(f"{heading}\n"), F.array_join(F.transform(shown, row), "\n"))).otherwise("")
 
 

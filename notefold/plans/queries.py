@@ -422,11 +422,11 @@ def strip_trailing_dividers(spark, d):
 
 @query(f"WITH {_NOTES} SELECT relpath, sha1(body) AS hash FROM notes")
 def strip_related_section(spark, d):
-    made = F.concat("body", F.lit("\n## Related\n- [[a]]\n\n> [!mindmap]- Mindmap\n> - [[x]]\n"))
-    return src.notes(spark, d).select("relpath", F.sha1(T.strip_sections(made, ["## Related", "## Mindmap"]).cast("binary")).alias("hash"))
+    made = F.concat("body", F.lit(f"\n## Related\n- [[a]]\n\n{T.CALLOUT}\n> - [[x]]\n"))
+    return src.notes(spark, d).select("relpath", F.sha1(T.strip_sections(made, ["## Related", T.SECTION_HEADING]).cast("binary")).alias("hash"))
 
 
-@query(_links_sql(0.15, 0.25).replace("SELECT note, path, ['core'", "SELECT note, string_agg('> - <span class=\"mindmap-link is-' || kind || '\">[[' || path || '|' || split_part(path, '/', 2) || ']]</span>', chr(10) ORDER BY pos) AS block FROM (SELECT note, path, ['core'") + ") GROUP BY note")
+@query(_links_sql(0.15, 0.25).replace("SELECT note, path, ['core'", f"SELECT note, string_agg('> - <span class=\"{T.LINK_CLASS}' || kind || '\">[[' || path || '|' || split_part(path, '/', 2) || ']]</span>', chr(10) ORDER BY pos) AS block FROM (SELECT note, path, ['core'") + ") GROUP BY note")
 def render_links(spark, d):
     links = select_links(spark, d).groupBy("note").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path", "kind"))), lambda x: F.struct(x["path"].alias("path"), x["kind"].alias("kind"))).alias("links"))
     shown = T.render_links(F.col("links"))

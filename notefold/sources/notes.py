@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notefold.functions.text import body_signature, strip, strip_frontmatter, strip_sections, title_of, word_count
+from notefold.functions.text import SECTION_HEADING, body_signature, strip, strip_frontmatter, strip_sections, title_of, word_count
 
 
-def read_folder(spark: SparkSession, root: str, headings: list[str] = ["## Mindmap"], min_words: int = 30) -> DataFrame:  # noqa: B006
+def read_folder(spark: SparkSession, root: str, headings: tuple[str, ...] = (SECTION_HEADING,), min_words: int = 30) -> DataFrame:
     """Notes of all markdown files under root: relpath, title, text, body, mtime. Bytes that are not UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.rstrip("/") + "/")
     text = F.decode("content", "UTF-8")
     rel = F.element_at(F.split(F.col("path"), base), -1)
     notes = files.select(rel.alias("relpath"), title_of(rel).alias("title"), text.alias("text"), F.col("modificationTime").alias("mtime"))
-    return notes.withColumn("body", strip_sections(strip_frontmatter(F.col("text")), headings)).where(word_count(F.col("body")) >= min_words)
+    return notes.withColumn("body", strip_sections(strip_frontmatter(F.col("text")), list(headings))).where(word_count(F.col("body")) >= min_words)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

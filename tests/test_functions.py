@@ -40,7 +40,7 @@ def test_list_field_splits_at_the_letter_n(spark):
 
 
 def test_sections_go(spark):
-    text = "keep\n## Related\n- [[a]]\n# next\nmore\n> [!mindmap]- Mindmap\n> - [[x]]\nend\n"
+    text = f"keep\n## Related\n- [[a]]\n# next\nmore\n{T.CALLOUT}\n> - [[x]]\nend\n"
     assert one(spark, text, lambda c: T.strip_sections(c, ["## Related"])) == "keep\n# next\nmore\nend\n"
 
 
