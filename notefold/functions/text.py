@@ -163,3 +163,9 @@ def next_run(mode: Column, minutes: Column, now_ms: Column) -> Column:
     """When an interval scheduler runs next (ms); null for manual runs. At least five minutes, rounded half up."""
     whole = F.when(minutes.isNull() | F.isnan(minutes), 5).otherwise(F.greatest(F.lit(5), F.floor(minutes + 0.5)))
     return F.when(mode == "interval", now_ms + whole * 60_000)
+
+
+def diagnostic_line(level: Column, code: Column, message: Column, context: Column) -> Column:
+    """[level][code] message, with the context map's entries after it if there are any."""
+    pairs = F.array_join(F.transform(F.map_entries(context), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    return F.concat(F.lit("["), level, F.lit("]["), code, F.lit("] "), message, F.when(F.size(context) > 0, F.concat(F.lit(" Context: "), pairs)).otherwise(""))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notefold.functions import text as T
+from notefold.operators import fuzzy
 from notefold.operators import notes as N
 from notefold.operators import similarity as S
 from notefold.sources import notes as src
@@ -443,3 +444,24 @@ def preview_read(spark, d):
     lines = preview_write(spark, d).union(spark.createDataFrame([("{broken",), ("",)], "line string"))
     row = F.from_json("line", "path long, tags array<string>")
     return lines.where(F.try_parse_json("line").isNotNull()).select(row.alias("r")).select("r.path", F.array_join("r.tags", ",").alias("tags"))
+
+
+@query()
+def fuzzy_tag_join(spark, d):
+    tags = _tags(spark, d).select(F.explode("tags").alias("tag"))
+    controlled = [r.t for r in src.load(spark, d, "part").select(T.normalize_tag(F.col("p_type")).alias("t")).distinct().collect()]  # 150 types at any scale
+    return fuzzy.nearest_tags(tags, controlled)
+
+
+@query(f"WITH {_PENDING} SELECT count(DISTINCT relpath) AS listed, count(DISTINCT relpath) FILTER (scope = 'current') AS in_current, count(DISTINCT relpath) FILTER (mtime % 2 = 0) AS even FROM pend")
+def pending_metrics(spark, d):
+    p = _pending(spark, d)
+    return p.agg(F.countDistinct("relpath").alias("listed"), F.countDistinct(F.when(F.col("scope") == "current", F.col("relpath"))).alias("in_current"), F.countDistinct(F.when(F.col("mtime") % 2 == 0, F.col("relpath"))).alias("even"))
+
+
+@query("""SELECT conv_id, turn, '[' || CASE WHEN turn % 2 = 0 THEN 'warn' ELSE 'error' END || '][T' || turn || '] ' || role || CASE WHEN turn % 3 = 0 THEN ' Guidance: retry' ELSE '' END || ' Context: conv=' || conv_id AS line FROM conversations""")
+def diagnostic_line(spark, d):
+    level = F.when(F.col("turn") % 2 == 0, "warn").otherwise("error")
+    guidance = F.when(F.col("turn") % 3 == 0, " Guidance: retry").otherwise("")
+    context = F.create_map(F.lit("conv"), F.col("conv_id").cast("string"))
+    return src.load(spark, d, "conversations").select("conv_id", "turn", T.diagnostic_line(level, F.concat(F.lit("T"), F.col("turn").cast("string")), F.concat("role", guidance), context).alias("line"))

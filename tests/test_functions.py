@@ -97,3 +97,10 @@ def test_links_match_a_greedy_loop(spark):
         for r in sorted(select_links(df, limit, over, made, 0.3, 0.6).collect(), key=lambda r: r.pos):
             got.setdefault(r.note, []).append((r.path, r.kind))
         assert got == {note: greedy(note, own, limit, over, made, 0.3, 0.6) for note, own in cases.items()}
+
+
+def test_nearest_tag(spark):
+    from notefold.operators.fuzzy import nearest_tags
+
+    tags = spark.createDataFrame([("abcd",), ("abcd",), ("zzz",), (None,)], "tag string")
+    assert {r.tag: r.nearest for r in nearest_tags(tags, ["abce", "abcf"]).collect()} == {"abcd": "abcf", "zzz": None}
