@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notefold.functions.text import allowed_tags
+
 
 def nearest_tags(tags: DataFrame, controlled: list[str], least: float = 0.75) -> DataFrame:
     """tag, nearest: the controlled tag (a vocabulary, a few rows) most similar to each distinct tag, or null under `least`.
@@ -22,3 +24,21 @@ def nearest_tags(tags: DataFrame, controlled: list[str], least: float = 0.75) ->
             yield pa.RecordBatch.from_arrays([b["tag"], pa.array(found, pa.string())], names=["tag", "nearest"])
 
     return tags.select("tag").where(F.col("tag").isNotNull()).distinct().mapInArrow(run, "tag string, nearest string")
+
+
+def controlled_tags(tagged: DataFrame, controlled: list[str], allow_free: bool = True, min_length: int = 2, max_words: int = 3) -> DataFrame:
+    """note, tags: those long and short enough, mapped to a vocabulary; in order, once each.
+
+    A tag of the vocabulary stays, another becomes the nearest one, and one
+    without a near one stays only if free tags are allowed.  Without a
+    vocabulary all stay.
+    """
+    own = tagged.select("note", allowed_tags(F.col("tags"), min_length, max_words).alias("tags"))
+    if not controlled:
+        return own
+    each = own.select("note", F.posexplode_outer("tags").alias("i", "tag"))
+    near = nearest_tags(each, controlled)
+    mapped = F.coalesce("nearest", F.col("tag") if allow_free else F.lit(None).cast("string"))
+    rows = each.join(near, "tag", "left").select("note", "i", mapped.alias("t"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("i", "t"))))
+    return rows.groupBy("note").agg(F.array_distinct(F.transform(ordered, lambda e: e["t"])).alias("tags"))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from notefold.plans import runtime_queries  # noqa: F401
 from notefold.plans.queries import ORACLES, QUERIES
 from tests.conftest import SMALL
 
@@ -29,3 +30,8 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(names) == sorted(got.columns)
     rows = sorted((tuple(plain(r[c]) for c in names) for r in got.collect()), key=repr)
     assert rows == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SMALL).count() > 0
