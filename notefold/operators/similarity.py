@@ -15,37 +15,72 @@ from notefold.functions.text import top_folder
 BLOCK = 1024
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        paths, chunks, v = b["path"].to_pylist(), b["chunk"].to_pylist(), b["v"].to_pylist()
-        for s in range(0, len(paths), BLOCK):
-            m = np.array(v[s : s + BLOCK], float)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            yield pa.RecordBatch.from_arrays([pa.array([paths[s : s + BLOCK]]), pa.array([chunks[s : s + BLOCK]], pa.list_(pa.int32())), pa.array([m.tobytes()])], names=["paths", "chunks", "m"])
+def _pack(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, serial = TaskContext.get().partitionId(), 0
+        for b in batches:
+            paths, chunks, v = b["path"].to_pylist(), b["chunk"].to_pylist(), b["v"].to_pylist()
+            for s in range(0, len(paths), size):
+                m = np.array(v[s : s + size], float)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | serial]), pa.array([paths[s : s + size]]), pa.array([chunks[s : s + size]], pa.list_(pa.int32())), pa.array([m.tobytes()])], names=["block", "paths", "chunks", "m"])
+                serial += 1
+
+    return run
 
 
 def _meet(k: int):
+    """The best of each row of a block among the blocks it meets in a run of rows; a new block, or the end, sends them on."""
+
+    def best(pairs: pa.Table, row: np.ndarray, score: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """Rows with a score of at least the k-th of their chunk; ties of the last place stay for the final ranking."""
+        order = np.lexsort((-score, row))
+        row, score = row[order], score[order]
+        start = np.searchsorted(row, row)
+        place = np.arange(len(row)) - start
+        last = np.minimum(start + k - 1, np.searchsorted(row, row, "right") - 1)
+        keep = (place < k) | (score >= score[last])
+        return pairs.take(pa.array(order[keep])), row[keep], score[keep]
+
+    def send(q: dict, pairs: pa.Table, row: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        pick = lambda x, kind: pa.array(x, kind).take(pa.array(row))
+        cols = [pick(q["paths"], pa.string()), pick(q["chunks"], pa.int32()), pairs["path"].combine_chunks(), pairs["path_chunk"].combine_chunks(), pa.array(score)]
+        return pa.RecordBatch.from_arrays(cols, names=["note", "chunk", "path", "path_chunk", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
             for r in b.to_pylist():
+                if held and held[0]["block"] != r["block"]:
+                    yield send(*held)
+                    held = None
                 q, c = (np.frombuffer(r[x]).reshape(len(r[p]), -1) for x, p in (("m", "paths"), ("c_m", "c_paths")))
                 score = np.round(q @ c.T, 9)
                 kth = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
-                i, j = np.nonzero(score >= kth[:, None])  # ties of the last place stay for the final ranking
-                pick = lambda x, at, kind: pa.array(x, kind).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pick(r["paths"], i, pa.string()), pick(r["chunks"], i, pa.int32()), pick(r["c_paths"], j, pa.string()), pick(r["c_chunks"], j, pa.int32()), pa.array(score[i, j])], names=["note", "chunk", "path", "path_chunk", "score"])
+                i, j = np.nonzero(score >= kth[:, None])
+                pairs = pa.table([pa.array(r["c_paths"], pa.string()).take(pa.array(j)), pa.array(r["c_chunks"], pa.int32()).take(pa.array(j))], names=["path", "path_chunk"])
+                row, own = i, score[i, j]
+                if held:
+                    pairs, row, own = pa.concat_tables([held[1], pairs]), np.concatenate([held[2], row]), np.concatenate([held[3], own])
+                held = (r, *best(pairs, row, own))
+        if held:
+            yield send(*held)
 
     return run
 
 
-def knn_chunks(chunks: DataFrame, k: int = 40) -> DataFrame:
+def knn_chunks(chunks: DataFrame, k: int = 40, block: int = BLOCK) -> DataFrame:
     """note, chunk, path, path_chunk, score, rank: each chunk's k nearest of all chunks by cosine, itself and its siblings included.
 
     Blocks of chunks meet in pairs, scores to nine decimals, ties by path and
-    chunk. Nothing is gathered in one task, whatever the number of chunks.
+    chunk. A task keeps the best of one block while it meets the blocks of a
+    partition, so what is ranked at the end is k rows a chunk and partition.
+    Nothing is gathered in one task, whatever the number of chunks.
     """
     dealt = chunks.repartition(max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path", "chunk")
-    packed = dealt.mapInArrow(_pack, "paths array<string>, chunks array<int>, m binary")
+    packed = dealt.mapInArrow(_pack(block), "block long, paths array<string>, chunks array<int>, m binary")
     other = packed.select(F.col("paths").alias("c_paths"), F.col("chunks").alias("c_chunks"), F.col("m").alias("c_m"))
     best = packed.join(other, F.lit(True)).mapInArrow(_meet(k), "note string, chunk int, path string, path_chunk int, score double")
     place = F.row_number().over(Window.partitionBy("note", "chunk").orderBy(F.col("score").desc(), "path", "path_chunk"))

@@ -183,3 +183,23 @@ def test_whole_run(spark):
     plan = run.plan_writes(df, df.where("relpath like 'f1/%'"), kept, client, None, s).collect()
     assert len(plan) == 4 and all(r.changed and "related:\n  - " in r.new_text for r in plan)
     assert run.plan_writes(df, df.limit(0), kept, client, None, run.Settings(min_score=0.1, by_notes=True, refresh_all=True)).count() == 12
+
+
+def test_knn_over_many_blocks(spark):
+    import numpy as np
+
+    from notefold.operators import similarity as S
+
+    v = np.round(np.random.default_rng(5).normal(size=(90, 4)), 1)
+    v[60:] = v[:30]  # ties
+    rows = [(f"p{k // 3:02}", k % 3, [float(x) for x in v[k]]) for k in range(90)]
+    got = {}
+    for r in S.knn_chunks(spark.createDataFrame(rows, "path string, chunk int, v array<double>"), 5, 7).collect():
+        got.setdefault((r.note, r.chunk), []).append((r["rank"], r.path, r.path_chunk))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 9)
+    for k, (p, c, _) in enumerate(rows):
+        order = sorted(range(90), key=lambda j: (-score[k, j], rows[j][0], rows[j][1]))[:5]
+        near = [(rows[j][0], rows[j][1]) for j in order]
+        mine = [x[1:] for x in sorted(got[p, c])]
+        assert mine == near or [score[k, int(a[1:]) * 3 + b] for a, b in mine] == pytest.approx([score[k, j] for j in order], abs=2e-9)
