@@ -21,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from notefold.llm.common import small_batches, texts
+from notefold.llm.common import lean, small_batches, texts
 from notefold.llm.setsketch import mix
 from notefold.llm.tokens import PATTERN, ranks
 
@@ -135,6 +135,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _encode(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
@@ -145,6 +146,7 @@ def _encode(path: str):
 
 
 def _digests(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
@@ -172,6 +174,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and text (bytes) of rows that encode() returns."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for b in batches:

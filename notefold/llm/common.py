@@ -7,9 +7,13 @@ and the driver see them and a lost executor costs only its running tasks.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +47,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold; long texts fill a batch with few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives freed memory back to the machine at the end of its rows: workers that wait for the next task stay small."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
+
+    return wrapped
 
 
 def parallelism(spark: SparkSession) -> int:

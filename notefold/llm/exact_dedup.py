@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.llm.common import SPACE, cut, parallelism, texts
+from notefold.llm.common import SPACE, cut, lean, parallelism, texts
 
 #: Stands for a null id inside runs; larger than any id in use.
 NO_ID = (1 << 63) - 1
@@ -64,6 +64,7 @@ def _rows(node, sha, length, chk, ids, n) -> pa.RecordBatch:
 
 
 def _runs(fan: int, rounds: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -83,6 +84,7 @@ def _runs(fan: int, rounds: int):
 def _merge(fan: int, rounds: int, r: int):
     """Merge what a node has got (in digest order) and address it for round r; the last group of a batch waits for the next."""
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:

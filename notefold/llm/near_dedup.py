@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.llm.common import cut, parallelism, small_batches, texts
+from notefold.llm.common import cut, lean, parallelism, small_batches, texts
 from notefold.llm.components import components
 from notefold.llm.setsketch import REGISTERS, Words, band_keys, jaccard, shingles, sketch
 
@@ -44,6 +44,7 @@ FEW_IDS = 1_000_000
 
 
 def _sketch(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
@@ -59,6 +60,7 @@ def _sketch(width: int):
 
 
 def _sets(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
@@ -72,6 +74,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), REGISTERS)
 
 
+@lean
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = band_keys(_matrix(b["regs"]), ROWS)
@@ -88,6 +91,7 @@ def _estimates(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray) ->
 def _likely(least: float):
     """Keep pairs whose estimate is at least `least`."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
@@ -180,6 +184,7 @@ def _by_group(keys: tuple[str, ...], work):
         key = key_of(t)
         return work(t, np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(1)]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
@@ -201,6 +206,7 @@ def _by_group(keys: tuple[str, ...], work):
 def _confirmed(share: int):
     """Keep pairs with 100 * intersection >= share * union, on whole sets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notefold.llm.common import cut, small_batches, texts
+from notefold.llm.common import cut, lean, small_batches, texts
 from notefold.llm.tokens import fast_encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -41,6 +41,7 @@ def pieces_of(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def _pieces(vocabulary: str, size: int, end_id: int, with_ids: bool):
+    @lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -101,6 +102,7 @@ def plan(histogram: dict[int, int], size: int) -> np.ndarray:
 def _place(slots: np.ndarray):
     key = (slots[:, 0] << 48) | slots[:, 1]
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notefold.llm.common import cut, id_remainder, small_batches, texts
+from notefold.llm.common import cut, id_remainder, lean, small_batches, texts
 
 STATS = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "wide", "stop", "mark", "symbol", "bang", "bar", "cased_words", "symbol_words", "lone_symbols", "window_distinct", "top_word", "top_pair", "repeat_lines", "line_words", "ended_lines"]
 #: Labelled rows that the fit reads at most (those of smallest hash), whatever the corpus.
@@ -56,6 +56,7 @@ def measures(text: str) -> list[float]:
     ]
 
 
+@lean
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = np.array([measures(x) for x in b["text"].to_pylist()], float).reshape(-1, len(STATS))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from notefold.llm.common import cut, small_batches, texts
+from notefold.llm.common import cut, lean, small_batches, texts
 from notefold.llm.exact_dedup import NO_ID
 from notefold.llm.setsketch import mix
 
@@ -78,6 +78,7 @@ def normal(text: str) -> tuple[bytes, np.ndarray | None]:
 
 
 def _cut(average: int, longest: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -126,6 +127,7 @@ def _unpack(r: dict) -> tuple[np.ndarray, ...]:
     return own, np.cumsum(np.frombuffer(r["codes"], np.int32)), valid, ids, counts
 
 
+@lean
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from notefold.llm.common import small_batches, texts
+from notefold.llm.common import lean, small_batches, texts
 
 MARK = "▁"
 #: What an unknown character scores below the worst piece.
@@ -79,6 +79,7 @@ def trie(path: str) -> Trie:
 
 
 def _count(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie(path)
         for b in batches:

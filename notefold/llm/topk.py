@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notefold.llm.common import cut, parallelism, small_batches
+from notefold.llm.common import cut, lean, parallelism, small_batches
 
 _BLOCKS = "block long, dim int, norm double, ids binary, data binary"
 
@@ -38,6 +38,7 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 
 def _pack(most: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -72,6 +73,7 @@ def _blocks(rows: DataFrame, most: int, parts: int) -> DataFrame:
 
 
 def _gram(dim: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((dim, dim))
         for b in batches:
@@ -93,6 +95,7 @@ def _best(k: int, turn: np.ndarray, head: int):
         r = m @ turn
         return np.frombuffer(ids, np.int64), m, r[:, :head], np.sqrt((r[:, head:] ** 2).sum(1)), np.sqrt((r**2).sum(1))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, top, q = None, {}, None
         for b in batches:

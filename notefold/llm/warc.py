@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notefold.llm.common import cut, new_path, small_batches
+from notefold.llm.common import cut, lean, new_path, small_batches
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -67,6 +67,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
 _SEGMENT = "file string, at long, rel long, len long, seq long, succ long, exit long, last long, head string, http string, digest string, body string"
 
 
+@lean
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of segments within their split, successors of candidates, and where the chain from each leaves the split.
 
