@@ -84,9 +84,17 @@ def keep_first_ignoring_case(items: Column) -> Column:
     return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
 
-def normalize_concepts(items: Column, max_words: int = 4, limit: int = 4, lower: bool = True) -> Column:
-    kept = F.filter(F.transform(items, strip), lambda x: (x != "") & (word_count(x) <= max_words))
-    kept = keep_first_ignoring_case(F.transform(kept, lambda x: F.lower(x)) if lower else kept)
+def title_case(text: Column) -> Column:
+    """Every run of letters with its first in upper case and the others in lower case, wherever it stands: It'S E-Mail."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
+def normalize_concepts(items: Column, max_words: int = 4, limit: int = 4, case: str = "lower") -> Column:
+    """Items that are not empty or too long, once each whatever their case, in order, up to limit (0: all). case: lower, title or keep."""
+    shown = {"lower": F.lower, "title": title_case, "keep": lambda x: x}[case]
+    kept = F.filter(F.transform(items, strip), lambda x: (x != "") & (F.lit(not max_words) | (word_count(x) <= max_words)))
+    kept = keep_first_ignoring_case(F.transform(kept, lambda x: shown(x)))
     return F.slice(kept, 1, limit) if limit else kept
 
 

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notefold.functions.text import SECTION_HEADING, body_signature, strip, strip_frontmatter, strip_sections, title_of, word_count
+from notefold.functions.text import SECTION_HEADING, body_signature, in_folder, strip, strip_frontmatter, strip_sections, title_of, word_count
 
 
-def read_folder(spark: SparkSession, root: str, headings: tuple[str, ...] = (SECTION_HEADING,), min_words: int = 30) -> DataFrame:
-    """Notes of all markdown files under root: relpath, title, text, body, mtime. Bytes that are not UTF-8 become replacement characters."""
+def utf8(content: Column) -> Column:
+    """Bytes as text; bytes that are not UTF-8 are left out."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
+def read_folder(spark: SparkSession, root: str, headings: tuple[str, ...] = (SECTION_HEADING,), min_words: int = 30, scopes: list[str] | None = None) -> DataFrame:
+    """Notes of all markdown files under root: relpath, title, text, body, mtime; only of the folders in scopes, if given.
+
+    Notes of under min_words words are left out; a folder that is not there has no notes.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    text = F.decode("content", "UTF-8")
-    rel = F.element_at(F.split(F.col("path"), base), -1)
-    notes = files.select(rel.alias("relpath"), title_of(rel).alias("title"), text.alias("text"), F.col("modificationTime").alias("mtime"))
+    rel = F.substr(F.col("path"), F.lit(len(whole) + 2))
+    notes = files.select(rel.alias("relpath"), title_of(rel).alias("title"), utf8(F.col("content")).alias("text"), F.col("modificationTime").alias("mtime"))
+    if scopes is not None:
+        wanted = F.lit(False)
+        for folder in scopes:
+            wanted = wanted | in_folder(F.col("relpath"), F.lit(folder))
+        notes = notes.where(wanted)
     return notes.withColumn("body", strip_sections(strip_frontmatter(F.col("text")), list(headings))).where(word_count(F.col("body")) >= min_words)
 
 

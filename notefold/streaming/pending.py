@@ -15,12 +15,17 @@ def dirty_paths(events: DataFrame) -> DataFrame:
     return touched.where(F.col("path").isNotNull() & F.endswith(F.lower("path"), F.lit(".md"))).distinct()
 
 
-def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str | None = None) -> DataFrame:
-    """One row a burst: events (ts) with pauses under the gap; fires when the gap has passed. late: watermark of a stream."""
+def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a burst of each vault: events (ts) with pauses under the gap; fires when the gap has passed.
+
+    by: columns that name the vault, none for a single one; late: watermark of a stream.
+    """
     if late:
         events = events.withWatermark("ts", late)
+    # streams need a key beside the session: a single vault gets one that is always zero
+    keys = [F.col(c) for c in by] or [F.pmod(F.unix_micros("ts"), F.lit(1)).alias("__vault")]
     burst = F.session_window("ts", gap)
-    return events.groupBy(burst.alias("w")).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "n_events")
+    return events.groupBy(*keys, burst.alias("w")).agg(F.count("*").alias("n_events")).select(*by, F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "n_events")
 
 
 def start_refresh(events: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str):

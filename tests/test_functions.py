@@ -104,3 +104,11 @@ def test_nearest_tag(spark):
 
     tags = spark.createDataFrame([("abcd",), ("abcd",), ("zzz",), (None,)], "tag string")
     assert {r.tag: r.nearest for r in nearest_tags(tags, ["abce", "abcf"]).collect()} == {"abcd": "abcf", "zzz": None}
+
+
+def test_concepts(spark):
+    rows = [(["it's e-mail", "", "  IT'S E-mail ", "a b c d e", "été x"],)]
+    df = spark.createDataFrame(rows, "c array<string>")
+    get = lambda **how: df.select(T.normalize_concepts(F.col("c"), **how)).first()[0]
+    assert get(case="title") == ["It'S E-Mail", "Été X"] and get() == ["it's e-mail", "été x"] and get(case="keep", max_words=0) == ["it's e-mail", "a b c d e", "été x"]
+    assert get(limit=1) == ["it's e-mail"]

@@ -14,6 +14,7 @@ from notefold.operators import writes as W
 from notefold.operators.preflight import preflight_checks, rollup
 from notefold.plans import run
 from notefold.sources import config as C
+from notefold.sources import notes as src
 
 NEW = {"summary": "new summary", "tags": ["one", "two"], "concepts": ["focus"], "related": ["Notes/Other.md"]}
 ORDER = ["summary", "tags", "concepts", "related"]
@@ -203,3 +204,13 @@ def test_knn_over_many_blocks(spark):
         near = [(rows[j][0], rows[j][1]) for j in order]
         mine = [x[1:] for x in sorted(got[p, c])]
         assert mine == near or [score[k, int(a[1:]) * 3 + b] for a, b in mine] == pytest.approx([score[k, j] for j in order], abs=2e-9)
+
+
+def test_read_folder(spark, tmp_path):
+    root = tmp_path / "my vault+x"
+    for rel, raw in {"a.md": b"---\nk: 1\n---\none two three", "f/x/b.v1.md": "é two".encode() + b"\xff three\n", "f/short.md": b"one", "g/c.txt": b"one two three", "g/d.md": b"one two three"}.items():
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_bytes(raw)
+    got = {r.relpath: (r.title, r.body) for r in src.read_folder(spark, str(root), min_words=3).collect()}
+    assert got == {"a.md": ("a", "one two three\n"), "f/x/b.v1.md": ("b.v1", "é two three\n"), "g/d.md": ("d", "one two three\n")}
+    assert {r.relpath for r in src.read_folder(spark, str(root), min_words=3, scopes=["f", "none"]).collect()} == {"f/x/b.v1.md"}

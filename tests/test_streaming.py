@@ -26,3 +26,15 @@ def test_rescan(spark):
     dirty = spark.createDataFrame([("dirty",)], "path string")
     assert {r.relpath for r in rescan_needed(listed, known, dirty).collect()} == {"new", "mod", "dirty"}
     assert rescan_needed(listed, known, dirty.where(F.lit(False)), forced=True).count() == 4
+
+
+def test_bursts_of_a_stream(spark, tmp_path):
+    from notefold.streaming.pending import debounced
+
+    e = spark.sql("select timestamp '2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) as ts from values (0), (1), (2), (60), (61), (4000) t(s)")
+    e.coalesce(1).write.json(str(tmp_path / "in"))
+    s = spark.readStream.schema(e.schema).json(str(tmp_path / "in"))
+    q = debounced(s, "10 seconds", late="30 seconds").writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert sorted(r.n_events for r in spark.table("bursts").collect()) == [2, 3]  # the last burst is still open
+    assert sorted(r.n_events for r in debounced(e, "10 seconds").collect()) == [1, 2, 3]
