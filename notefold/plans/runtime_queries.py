@@ -320,3 +320,8 @@ def extract_metadata(spark, d):
 def tag_run(spark, d):
     n = src.notes(spark, d)
     return run.tag_notes(N.changed_notes(n, src.state(spark, d)), M.OfflineClient()).select("relpath", "summary", F.array_join("tags", ",").alias("tags"), F.array_join("concepts", ",").alias("concepts"))
+
+
+@query(f"WITH {_NOTES}, {_STATE} SELECT relpath FROM state EXCEPT SELECT relpath FROM notes")
+def except_removed(spark, d):
+    return src.state(spark, d).select("relpath").subtract(src.notes(spark, d).select("relpath"))
