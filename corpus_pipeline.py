@@ -1,39 +1,39 @@
 """From raw documents to packed training sequences, in five stages over all documents.
 
 Each stage is a function of (spark, docs, sf_dir); run() writes what it returns
-as Parquet to the shared folder and reads it back for the next one.
+as Parquet to the shared folder and reads it back for the next one.  Stages
+decide by row; ids, which may repeat or be null, only choose what stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notefold.llm import exact_dedup, near_dedup
 from notefold.llm.common import cut, table
-from notefold.llm.exact_dedup import drop_copies
-from notefold.llm.near_dedup import drop_near
 from notefold.llm.packing import pack
-from notefold.llm.quality import keep_good
-from notefold.llm.substring_dedup import cut_repeats
+from notefold.llm.quality import keep_good_rows
+from notefold.llm.substring_dedup import cut_repeats_of_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble does not reject."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    """Rows that the rule ensemble does not reject."""
+    return keep_good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return drop_copies(docs)
+    """One row of each group of equal texts."""
+    return exact_dedup.one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return drop_near(docs, width=5, share=80)
+    """One row of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.one_of_each(docs, width=5, share=80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document, or an earlier place, keeps."""
-    return cut_repeats(docs)
+    return cut_repeats_of_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

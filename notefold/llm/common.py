@@ -44,6 +44,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs and __row, a number of its own for every row: its file and its place there, the same each time it is read.
+
+    What is not read from Parquet files as it is goes to the shared folder first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = cut(docs, "rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    files = sorted(r[0] for r in placed.select("__path").distinct().collect())
+    number = docs.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __path string")
+    return placed.join(F.broadcast(number), "__path").select(*(docs[c] for c in docs.columns), (F.shiftleft("__file", 40) + F.col("__at")).alias("__row"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold; long texts fill a batch with few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -77,6 +90,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text (null: empty), under names that nothing else in docs can clash with."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """Only the id and the text (null: empty), and more where named, under names that nothing else in docs can clash with."""
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *more)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.llm.common import SPACE, cut, lean, parallelism, texts
+from notefold.llm.common import SPACE, cut, lean, parallelism, texts, with_rows
 
 #: Stands for a null id inside runs; larger than any id in use.
 NO_ID = (1 << 63) - 1
@@ -119,6 +119,13 @@ def merged_runs(slim: DataFrame, most_fan: int = 16) -> DataFrame:
     return runs.drop("node")
 
 
+def _digests(own: DataFrame) -> DataFrame:
+    """sha, len and chk of the texts of own, beside its other columns."""
+    more = [c for c in own.columns if c != "text"]
+    norm = F.regexp_replace("text", SPACE, " ")
+    return own.select(*more, norm.alias("norm")).select(*more, F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").cast("long").alias("len"), F.xxhash64("norm").alias("chk"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
@@ -128,9 +135,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     get a row, and all rows of the kept id are kept.  An empty table gives an
     empty result; other columns are ignored, whatever their names.
     """
-    norm = F.regexp_replace("text", SPACE, " ")
-    slim = texts(docs, id_col, text_col).select("doc_id", norm.alias("norm")).select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").cast("long").alias("len"), F.xxhash64("norm").alias("chk"))
-    slim = cut(slim, "digests")
+    slim = cut(_digests(texts(docs, id_col, text_col)), "digests")
     groups = merged_runs(slim).where("n > 1")
     out = slim.join(groups, ["sha", "len", "chk"], "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).when(F.col("min_id") != NO_ID, F.col("min_id"))
@@ -141,3 +146,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows that exact_groups does not keep; rows without an id stay, as none can name them."""
     gone = cut(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of equal texts, whatever ids repeat or are null: that of the smallest id (none comes last), then the first as stored."""
+    rows = with_rows(docs)
+    slim = cut(_digests(texts(rows, id_col, text_col, "__row")), "digests")
+    groups = merged_runs(slim.drop("__row")).where("n > 1").drop("n")
+    held = cut(slim.join(groups, ["sha", "len", "chk"]).select("__row", "sha", "len", "chk", (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("min_id")).alias("least")), "held")
+    stay = held.where("least").groupBy("sha", "len", "chk").agg(F.min("__row").alias("__row"))
+    gone = cut(held.select("__row").join(stay.select("__row"), "__row", "left_anti"), "gone")
+    return rows.join(gone, "__row", "left_anti").drop("__row")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.llm.common import cut, lean, parallelism, small_batches, texts
+from notefold.llm.common import cut, lean, parallelism, small_batches, texts, with_rows
 from notefold.llm.components import components
 from notefold.llm.setsketch import REGISTERS, Words, band_keys, jaccard, shingles, sketch
 
@@ -308,3 +308,13 @@ def drop_near(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "d
     """docs with one document of each group; rows without an id stay, as none can name them."""
     gone = cut(near_groups(docs, width, share, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group, whatever ids repeat or are null: that of the smallest id (none comes last), then the first as stored."""
+    rows = with_rows(docs)
+    groups = near_groups(rows, width, share, "__row", text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("comp"))
+    named = cut(groups.join(rows.select("__row", rows[id_col].cast("long").alias("id")), "__row"), "groups")
+    stay = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("__row"))).alias("best")).select("best.__row")
+    gone = cut(named.select("__row").join(stay, "__row", "left_anti"), "gone")
+    return rows.join(gone, "__row", "left_anti").drop("__row")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notefold.llm.common import cut, id_remainder, lean, small_batches, texts
+from notefold.llm.common import cut, id_remainder, lean, small_batches, texts, with_rows
 
 STATS = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "wide", "stop", "mark", "symbol", "bang", "bar", "cased_words", "symbol_words", "lone_symbols", "window_distinct", "top_word", "top_pair", "repeat_lines", "line_words", "ended_lines"]
 #: Labelled rows that the fit reads at most (those of smallest hash), whatever the corpus.
@@ -202,3 +202,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, at: float = 0.3, id_col: str =
     """docs without the rows that score under `at`; rows without an id stay, as none can name them."""
     bad = cut(score_quality(docs, labels, at, id_col=id_col, text_col=text_col).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "rejected")
     return docs.join(bad, docs[id_col] == F.col("__gone"), "left_anti")
+
+
+def keep_good_rows(docs: DataFrame, labels: DataFrame, at: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that score under `at`, each on its own text, whatever ids repeat or are null."""
+    rows = with_rows(docs)
+    stats = cut(statistics(rows, "__row", text_col), "statistics").withColumnRenamed("doc_id", "__row")
+    named = stats.join(rows.select("__row", rows[id_col].cast("long").alias("doc_id")), "__row")
+    score = fit_quality(named, labels, sample).column()
+    bad = cut(stats.where(score < at).select("__row"), "rejected")
+    return rows.join(bad, "__row", "left_anti").drop("__row")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from notefold.llm.common import cut, lean, small_batches, texts
+from notefold.llm.common import cut, lean, small_batches, texts, with_rows
 from notefold.llm.exact_dedup import NO_ID
 from notefold.llm.setsketch import mix
 
@@ -43,7 +43,7 @@ _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 BATCH_BYTES = 1 << 19
 #: Spans are broadcast to their texts up to this many (16 MB), and joined by shuffle beyond.
 FEW_NUMBERS = 1_000_000
-_CHUNKS = "batch long, docs binary, ids binary, counts binary, digests binary, codes binary, sizes binary"
+_CHUNKS = "batch long, docs binary, ids binary, counts binary, digests binary, codes binary, sizes binary, rows binary"
 
 
 def boundaries(raw: np.ndarray, average: int, longest: int) -> np.ndarray:
@@ -83,7 +83,7 @@ def _cut(average: int, longest: int):
         from pyspark import TaskContext
 
         part, serial = TaskContext.get().partitionId(), 0
-        ids, counts, codes, sizes, held = [], [], [], [], 0
+        ids, rows, counts, codes, sizes, held = [], [], [], [], [], 0
         index: dict[bytes, int] = {}
 
         def row() -> pa.RecordBatch:
@@ -91,13 +91,14 @@ def _cut(average: int, longest: int):
             valid = np.array([x is not None for x in ids], np.uint8)
             step = np.diff(np.array(codes, np.int32), prepend=np.int32(0))  # mostly ones: packs well
             cols = [pa.array([(part << 19) | serial], pa.int64())]
-            cols += [pa.array([x], pa.binary()) for x in (valid.tobytes(), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array(counts, np.int32).tobytes(), b"".join(index), step.tobytes(), np.array(sizes, np.int32).tobytes())]
+            cols += [pa.array([x], pa.binary()) for x in (valid.tobytes(), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array(counts, np.int32).tobytes(), b"".join(index), step.tobytes(), np.array(sizes, np.int32).tobytes(), np.array(rows, np.int64).tobytes())]
             serial, held = serial + 1, 0
-            for x in (ids, counts, codes, sizes, index):
+            for x in (ids, rows, counts, codes, sizes, index):
                 x.clear()
             return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CHUNKS.split(", ")])
 
         for b in batches:
+            numbers = iter(b["__row"].to_pylist()) if "__row" in b.schema.names else None
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 raw, place = normal(text)
                 ends = boundaries(np.frombuffer(raw, np.uint8), average, longest) if raw else np.zeros(0, np.int64)
@@ -109,6 +110,8 @@ def _cut(average: int, longest: int):
                 if place is not None:
                     at = np.r_[place, len(text.encode())][at]
                 ids.append(doc)
+                if numbers:
+                    rows.append(next(numbers))
                 counts.append(len(ends))
                 sizes += np.diff(at).tolist()
                 held += len(raw)
@@ -142,7 +145,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["batch", "code", "hi", "lo", "doc"])
 
 
-def _spans(least: int):
+def _spans(least: int, by_row: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_chunks": [], "n_repeated": [], "spans": []}
         for r in left.to_pylist():
@@ -154,6 +157,12 @@ def _spans(least: int):
             keeps = np.zeros(len(code), bool)
             keeps[first] = True  # of a document's equal chunks, the first
             keeps &= (at >= 0) & (np.r_[right["doc"].to_numpy(), -1][at] == doc)
+            if by_row:  # of the rows of an id, the first of the first batch
+                at_keeper = np.flatnonzero(keeps & np.r_[right["own"].to_numpy(zero_copy_only=False), False][at])
+                _, one = np.unique(code[at_keeper], return_index=True)
+                keeps[:] = False
+                keeps[at_keeper[one]] = True
+                named = np.frombuffer(r["rows"], np.int64)
             sizes, begin = np.frombuffer(r["sizes"], np.int32), 0
             for k, n in enumerate(counts.tolist()):
                 rep = at[begin : begin + n] >= 0
@@ -166,7 +175,7 @@ def _spans(least: int):
                             repeated += b - a
                             gone = np.flatnonzero(np.diff(np.r_[0, (~keeps[begin + a : begin + b]).astype(np.int8), 0])) + a
                             spans += [{"start": int(s[x]), "end": int(s[y])} for x, y in zip(gone[::2], gone[1::2], strict=True) if s[y] - s[x] >= least]
-                out["doc_id"].append(int(ids[k]) if valid[k] else None)
+                out["doc_id"].append(int(named[k]) if by_row else int(ids[k]) if valid[k] else None)
                 out["n_chunks"].append(n)
                 out["n_repeated"].append(repeated)
                 out["spans"].append(spans)
@@ -177,7 +186,7 @@ def _spans(least: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least: int = 96, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, n_chunks, n_repeated, spans for every row of docs.
 
     n_repeated counts the chunks in runs of at least `least` bytes of chunks
@@ -189,24 +198,38 @@ def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least
 
     A null or empty text has no chunks.  Rows that repeat an id each get a row
     and keep each on its own.  Rows without an id keep only what no
-    row with an id holds.  An empty table gives an empty result.  Other columns
+    row with an id holds.  With row_col (a number of its own for each row, no
+    null), doc_id is that number, and of the rows that repeat an id, or have
+    none, only one keeps a chunk.  An empty table gives an empty result.  Other columns
     are ignored.
     """
     small_batches(docs.sparkSession)
-    packed = cut(texts(docs, id_col, text_col).mapInArrow(_cut(average, longest), _CHUNKS), "chunks")
+    packed = cut(texts(docs, id_col, text_col, *([F.col(row_col).alias("__row")] if row_col else [])).mapInArrow(_cut(average, longest), _CHUNKS), "chunks")
     same = Window.partitionBy("hi", "lo")
     # code: twice the batch's code, plus one where the batch has the digest more than once
     rows = packed.mapInArrow(_distinct, "batch long, code int, hi long, lo int, doc long")
-    repeats = rows.select("batch", "code", F.count("*").over(same).alias("times"), F.min("doc").over(same).alias("doc")).where("times > 1 or code % 2 = 1")
-    back = repeats.select("batch", F.shiftright("code", 1).alias("code"), "doc")
+    first = F.min(F.struct("doc", "batch")).over(same).alias("first") if row_col else F.min("doc").over(same).alias("doc")
+    repeats = rows.select("batch", "code", F.count("*").over(same).alias("times"), first).where("times > 1 or code % 2 = 1")
+    back = repeats.select("batch", F.shiftright("code", 1).alias("code"), *(["first.doc", (F.col("first.batch") == F.col("batch")).alias("own")] if row_col else ["doc"]))
     packed = packed.drop("digests")
-    return packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_spans(least), "doc_id long, n_chunks long, n_repeated long, spans array<struct<start: long, end: long>>")
+    return packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_spans(least, row_col is not None), "doc_id long, n_chunks long, n_repeated long, spans array<struct<start: long, end: long>>")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with their repeated spans cut out of the text; documents of which only white space is left go; rows that share an id stay as they are."""
-    columns = docs.columns
-    found = cut(repeated_spans(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.first("spans").alias("__spans")).where("k = 1 and size(__spans) > 0").drop("k"), "spans").withColumnRenamed("doc_id", "__id")
+    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.first("spans").alias("__spans")).where("k = 1 and size(__spans) > 0")
+    return _without(docs, found.select("doc_id", "__spans"), id_col, text_col)
+
+
+def cut_repeats_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with their repeated spans cut out of the text of every row, whatever ids repeat or are null; rows of which only white space is left go."""
+    rows = with_rows(docs)
+    found = repeated_spans(rows, id_col=id_col, text_col=text_col, row_col="__row", **how).where("size(spans) > 0")
+    return _without(rows, found.select("doc_id", F.col("spans").alias("__spans")), "__row", text_col).drop("__row")
+
+
+def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    columns, found = docs.columns, cut(found, "spans").withColumnRenamed("doc_id", "__id")
     if found.agg(F.coalesce(F.sum(F.size("__spans") + 2), F.lit(0))).first()[0] <= FEW_NUMBERS:
         found = F.broadcast(found)
 
