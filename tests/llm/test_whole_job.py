@@ -2,6 +2,7 @@
 
 import random
 import string
+import zlib
 
 import corpus_pipeline
 from notefold.llm.lm_scoring import score_texts
@@ -59,3 +60,8 @@ def test_quality_stage_decides_by_row(spark):
     new = spark.createDataFrame([(None, bad), (None, good), (10**9, bad), (10**9, good)], "doc_id long, text string")
     out = STAGES["quality"](spark, docs.select("doc_id", "text").union(new), SMALL).where("doc_id is null or doc_id = 1000000000").collect()
     assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(None, good), (10**9, good)], key=repr)
+
+
+def test_pipeline_gives_token_ids(spark):
+    for r in STAGES["packing"](spark, spark.createDataFrame([(1, A), (2, B * 20)], "doc_id long, text string"), SMALL).collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
