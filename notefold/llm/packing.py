@@ -40,12 +40,12 @@ def pieces_of(n: int, size: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, size) for s in range(first, n, size)]
 
 
-def _pieces(vocabulary: str, size: int, end_id: int, with_ids: bool):
+def _pieces(vocabulary: str, size: int, end_id: int, with_ids: bool, added: bool):
     @lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, encode = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), fast_encoder(vocabulary)
+        part, seen, encode = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), fast_encoder(vocabulary, added)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, piece, start, length, crc, nth, data = [], [], [], [], [], [], []
@@ -116,18 +116,20 @@ def _place(slots: np.ndarray):
     return place
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, with_ids: bool = True, added: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Place every document of docs in sequences of at most `size` tokens.
 
     Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and,
     with with_ids, the ids as little-endian 32-bit integers.  A null or empty
     text is the end id alone.  Longer documents are cut into full pieces after a
     shorter first one.  Rows that repeat an id, and rows with a null id, are
-    documents of their own.  Other columns are ignored.  An empty table gives
+    documents of their own.  With added, the file's added tokens that a text
+    spells out are one id each, as the tokenizers library has them by default.
+    Other columns are ignored.  An empty table gives
     an empty result.
     """
     small_batches(docs.sparkSession)
-    made = texts(docs, id_col, text_col).mapInArrow(_pieces(vocabulary, size, end_id, with_ids), PIECE + ", ids binary" * with_ids)
+    made = texts(docs, id_col, text_col).mapInArrow(_pieces(vocabulary, size, end_id, with_ids, added), PIECE + ", ids binary" * with_ids)
     made = cut(made, "pieces")
     counts = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

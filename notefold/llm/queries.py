@@ -47,7 +47,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notefold.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), with_ids=False, added=True)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 from collections.abc import Callable
 
 #: What splits a text into pre-tokens before byte-level merges (fixed value: the published pattern of this tokenizer family).
@@ -46,8 +47,11 @@ def json_ranks(path: str) -> dict[bytes, int] | None:
 
 
 @functools.lru_cache(2)
-def fast_encoder(path: str) -> Callable[[str], bytes]:
-    """Text to ids (little-endian 32-bit), as the tokenizers library gives them for the file at path, without special tokens.
+def fast_encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
+    """Text to ids (little-endian 32-bit), as the tokenizers library gives them for the file at path, with none put around the text.
+
+    Added tokens of the file that a text spells out are one id each where
+    `added` is set, as the library has them by default, and spelt out else.
 
     Where the ids of a byte-level file are its merge ranks, the rank encoder
     gives the same ids in a third of the time; other files go through the
@@ -57,10 +61,20 @@ def fast_encoder(path: str) -> Callable[[str], bytes]:
         import tiktoken
 
         encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_to_numpy
-        return lambda text: encode(text).astype("<u4", copy=False).tobytes()
+        plain = lambda text: encode(text).astype("<u4", copy=False).tobytes()
+        names = [t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])]
+        if not (added and names):
+            return plain
+        holds = re.compile("|".join(map(re.escape, names))).search
+        return lambda text: _library(path, True)(text) if holds(text) else plain(text)
+    return _library(path, added)
+
+
+@functools.lru_cache(2)
+def _library(path: str, added: bool) -> Callable[[str], bytes]:
     import numpy as np
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = not added
     return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -4,7 +4,12 @@ import random
 import string
 import zlib
 
+import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from notefold.llm import queries
 from notefold.llm.lm_scoring import score_texts
 from notefold.llm.quality import score_quality
 from tests.conftest import SMALL
@@ -65,3 +70,13 @@ def test_quality_stage_decides_by_row(spark):
 def test_pipeline_gives_token_ids(spark):
     for r in STAGES["packing"](spark, spark.createDataFrame([(1, A), (2, B * 20)], "doc_id long, text string"), SMALL).collect():
         assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
+def test_added_tokens_as_the_library_has_them(spark, tmp_path):
+    tok, texts = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {1: "a <|endoftext|> b", 2: "<|endoftext|><|endoftext|>\n\n x", 3: "a < |endoftext|>", 4: A}
+    want = {d: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for d, t in texts.items()}
+    assert np.frombuffer(want[1], "<u4").tolist() == [64, 220, 50256, 275, 0]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: bytes(r.ids) for r in STAGES["packing"](spark, docs, SMALL).collect()} == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.ids_crc32 for r in queries.op5_best_fit_packing(spark, str(tmp_path)).collect()} == {d: zlib.crc32(x) for d, x in want.items()}
