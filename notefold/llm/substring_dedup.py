@@ -43,7 +43,7 @@ _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 BATCH_BYTES = 1 << 19
 #: Spans are broadcast to their texts up to this many (16 MB), and joined by shuffle beyond.
 FEW_NUMBERS = 1_000_000
-_CHUNKS = "batch long, docs binary, ids binary, counts binary, digests binary, codes binary, sizes binary, rows binary"
+_CHUNKS = "batch long, docs binary, ids binary, counts binary, digests binary, codes binary, sizes binary"
 
 
 def boundaries(raw: np.ndarray, average: int, longest: int) -> np.ndarray:
@@ -90,12 +90,13 @@ def _cut(average: int, longest: int):
             nonlocal serial, held
             valid = np.array([x is not None for x in ids], np.uint8)
             step = np.diff(np.array(codes, np.int32), prepend=np.int32(0))  # mostly ones: packs well
+            named = len(rows)
             cols = [pa.array([(part << 19) | serial], pa.int64())]
-            cols += [pa.array([x], pa.binary()) for x in (valid.tobytes(), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array(counts, np.int32).tobytes(), b"".join(index), step.tobytes(), np.array(sizes, np.int32).tobytes(), np.array(rows, np.int64).tobytes())]
+            cols += [pa.array([x], pa.binary()) for x in (valid.tobytes(), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array(counts, np.int32).tobytes(), b"".join(index), step.tobytes(), np.array(sizes, np.int32).tobytes(), *([np.array(rows, np.int64).tobytes()] if rows else []))]
             serial, held = serial + 1, 0
             for x in (ids, rows, counts, codes, sizes, index):
                 x.clear()
-            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CHUNKS.split(", ")])
+            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _CHUNKS.split(", ")] + ["rows"] * bool(named))
 
         for b in batches:
             numbers = iter(b["__row"].to_pylist()) if "__row" in b.schema.names else None
@@ -204,7 +205,7 @@ def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least
     are ignored.
     """
     small_batches(docs.sparkSession)
-    packed = cut(texts(docs, id_col, text_col, *([F.col(row_col).alias("__row")] if row_col else [])).mapInArrow(_cut(average, longest), _CHUNKS), "chunks")
+    packed = cut(texts(docs, id_col, text_col, *([F.col(row_col).alias("__row")] if row_col else [])).mapInArrow(_cut(average, longest), _CHUNKS + ", rows binary" * (row_col is not None)), "chunks")
     same = Window.partitionBy("hi", "lo")
     # code: twice the batch's code, plus one where the batch has the digest more than once
     rows = packed.mapInArrow(_distinct, "batch long, code int, hi long, lo int, doc long")
