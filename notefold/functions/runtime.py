@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from notefold.functions.text import strip
+from notefold.functions.text import inside, lexical, strip
 
 # Least interval of the scheduler (minutes) and its default, arguments that runs accept, required assets, roots of old and new installs.
 MIN_INTERVAL = 5
@@ -70,6 +70,11 @@ def interval(minutes: Column) -> Column:
     return F.when(finite, F.greatest(F.lit(MIN_INTERVAL).cast("long"), F.floor(minutes + 0.5))).otherwise(F.lit(MIN_INTERVAL).cast("long"))
 
 
+def next_run(mode: Column, minutes: Column, now_ms: Column) -> Column:
+    """When an interval scheduler runs next (ms); null for manual runs."""
+    return F.when(mode == "interval", now_ms + interval(minutes) * 60_000)
+
+
 def scheduler_action(mode: Column, running: Column) -> Column:
     return F.when(~mode.eqNullSafe("interval"), "skip-disabled").when(running, "skip-running").otherwise("run")
 
@@ -111,16 +116,6 @@ def migrated_root(config: Column, prefix: Column) -> Column:
 # ---- runtime paths
 
 
-def lexical(path: Column) -> Column:
-    """An absolute path without empty, '.' and '..' parts; climbing past the root stays there."""
-    step = lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
-    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
-
-
-def inside(path: Column, root: Column) -> Column:
-    return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
-
-
 def _file(raw: Column, defaults: list[Column], root: Column, files: Column) -> Column:
     """(path, problem) of a script or config setting: relative to the root and inside it, or blank for the first default that exists."""
     own = strip(raw)

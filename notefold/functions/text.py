@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 SECTION_HEADING = "## Mindmap"
 SECTION_MARKS = "mindmap:(start|end)"
 CALLOUT = "> [!mindmap]- Mindmap"
-CALLOUT_PATTERN = r"^>\s*\[![^\]]*\]-?\s*(mindmap|related)"
+CALLOUT_PATTERN = r">[^\S\n]*\[![^\n]*\]-[^\S\n]*(?:mindmap|related)"
+OLD_HEADINGS = ("## related", "## mindmap")
 LINK_CLASS = "mindmap-link is-"
 
 
@@ -41,10 +42,15 @@ def window_sizes(target_tokens: int, overlap_tokens: int) -> tuple[int, int]:
 def chunks(text: Column, target_tokens: int = 300, overlap_tokens: int = 40) -> Column:
     """Overlapping windows of words; the last ends with the text. No words: no chunks."""
     size, shared = window_sizes(target_tokens, overlap_tokens)
-    w, step = words(text), size - shared
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step)).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+    step = size - shared
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step)).cast("int")
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    # the words are a variable of a function here, so a text is split once, not for each chunk
+    return F.flatten(F.transform(F.array(words(text)), cut))
 
 
 def title_of(path: Column) -> Column:
@@ -127,28 +133,24 @@ def strip_trailing_dividers(text: Column) -> Column:
 
 
 def strip_sections(text: Column, headings: list[str]) -> Column:
-    """Text without generated sections: lines with a section marker, sections under the headings, callouts; stripped, with a newline."""
-    low = [h.strip().lower() for h in headings]
-    own = F.filter(lines(text), lambda x: ~F.lower(x).rlike(SECTION_MARKS))
-    empty = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
-
-    def fold(items: Column, skip_now) -> Column:
-        def step(acc, x):
-            skip = skip_now(acc["skip"], x)
-            return F.struct(skip.alias("skip"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
+    """Text without generated sections: lines with a section marker, sections under the headings or the old ones, folded callouts; stripped, with a newline.
 
-        return F.aggregate(items, empty, step, lambda acc: acc["out"])
-
-    own = fold(own, lambda skip, x: F.when(F.lower(strip(x)).isin(*low), True).when(F.startswith(x, F.lit("#")), False).otherwise(skip))
-    own = fold(own, lambda skip, x: F.when(F.lower(strip(x)).rlike(CALLOUT_PATTERN), True).otherwise(skip & F.startswith(x, F.lit(">"))))
-    return F.concat(strip(F.array_join(own, "\n")), F.lit("\n"))
+    Each kind goes in one pass: a section lasts to the next line with a # at its start, a callout to the next line without a >.
+    """
+    low = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in h) for h in dict.fromkeys([*(h.strip().lower() for h in headings), *OLD_HEADINGS]))
+    blank, rest = r"[^\S\n]*", r"(?s:.)*?"
+    own = F.regexp_replace(text, "\r\n?", "\n")
+    own = F.regexp_replace(own, rf"(?dmi)^[^\n]*{SECTION_MARKS}[^\n]*(?:\n|\z)", "")
+    own = F.regexp_replace(own, rf"(?dmiUu)^{blank}(?:{low}){blank}$" + rest + r"(?=\n#|\z)\n?", "")
+    own = F.regexp_replace(own, rf"(?dmiUu)^{blank}{CALLOUT_PATTERN}{blank}$" + rest + r"(?=\n(?!>)|\z)\n?", "")
+    return F.concat(strip(own), F.lit("\n"))
 
 
 def render_links(links: Column, heading: str = CALLOUT) -> Column:
-    """A callout with a line for each link (path, kind); paths that are null or empty are left out."""
+    """A callout with a line for each link (path, kind; none: core); paths that are null or empty are left out. No links: empty."""
     shown = F.filter(links, lambda l: F.coalesce(l["path"], F.lit("")) != "")
-    row = lambda l: F.concat(F.lit(f'> - <span class="{LINK_CLASS}'), l["kind"], F.lit('">[['), l["path"], F.lit("|"), title_of(l["path"]), F.lit("]]</span>"))
-    return F.when(F.size(shown) > 0, F.concat(F.lit(f"{heading}\n"), F.array_join(F.transform(shown, row), "\n"))).otherwise("")
+    row = lambda l: F.concat(F.lit(f'\n> - <span class="{LINK_CLASS}'), F.coalesce(l["kind"], F.lit("core")), F.lit('">[['), l["path"], F.lit("|"), title_of(l["path"]), F.lit("]]</span>"))
+    return F.when(F.size(links) > 0, F.concat(F.lit(heading), F.array_join(F.transform(shown, row), ""))).otherwise("")
 
 
 def salvaged_json(content: Column) -> Column:
@@ -158,22 +160,31 @@ def salvaged_json(content: Column) -> Column:
     return F.when(ok(content), content).when((inner != "") & ok(inner), inner)
 
 
-def target_code(target: Column) -> Column:
-    """What is wrong with a relative write target, or OK."""
-    parts = F.split(F.replace(target, F.lit("\\"), F.lit("/")), "/")
-    return (
-        F.when(strip(target) == "", "WRITE_TARGET_EMPTY").when(F.startswith(target, F.lit("/")), "WRITE_TARGET_OUTSIDE_VAULT")
-        .when(F.array_contains(parts, ".."), "WRITE_TARGET_TRAVERSAL").when(~F.endswith(F.lower(target), F.lit(".md")), "WRITE_TARGET_NOT_MARKDOWN").otherwise("OK")
-    )
+def lexical(path: Column) -> Column:
+    """An absolute path without empty, '.' and '..' parts; climbing past the root stays there."""
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
 
 
-def next_run(mode: Column, minutes: Column, now_ms: Column) -> Column:
-    """When an interval scheduler runs next (ms); null for manual runs. At least five minutes, rounded half up."""
-    whole = F.when(minutes.isNull() | F.isnan(minutes), 5).otherwise(F.greatest(F.lit(5), F.floor(minutes + 0.5)))
-    return F.when(mode == "interval", now_ms + whole * 60_000)
+def inside(path: Column, root: Column) -> Column:
+    return (path == root) | (root == "/") | F.startswith(path, F.concat(root, F.lit("/")))
+
+
+def target_code(target: Column, root: str | None = None) -> Column:
+    """What is wrong with a write target, or OK. Relative ones must not climb; absolute ones must lie in root, and none does without a root.
+
+    A name that is nothing but the suffix is no markdown file.
+    """
+    own = strip(target)
+    absolute, parts = F.startswith(own, F.lit("/")), F.split(F.replace(own, F.lit("\\"), F.lit("/")), "/")
+    within = inside(lexical(own), lexical(F.lit(root))) if root is not None else F.lit(False)
+    return (
+        F.when(F.coalesce(own, F.lit("")) == "", "WRITE_TARGET_EMPTY").when(~absolute & F.array_contains(parts, ".."), "WRITE_TARGET_TRAVERSAL")
+        .when(absolute & ~within, "WRITE_TARGET_OUTSIDE_VAULT").when(~lexical(F.concat(F.lit("/"), own)).rlike(r"(?i)[^/]\.md$"), "WRITE_TARGET_NOT_MARKDOWN").otherwise("OK")
+    )
 
 
-def diagnostic_line(level: Column, code: Column, message: Column, context: Column) -> Column:
-    """[level][code] message, with the context map's entries after it if there are any."""
+def diagnostic_line(level: Column, code: Column, message: Column, context: Column, guidance: Column | None = None) -> Column:
+    """[level][code] message, with guidance and the context map's entries after it if there are any."""
     pairs = F.array_join(F.transform(F.map_entries(context), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
-    return F.concat(F.lit("["), level, F.lit("]["), code, F.lit("] "), message, F.when(F.size(context) > 0, F.concat(F.lit(" Context: "), pairs)).otherwise(""))
+    return F.concat(F.lit("["), level, F.lit("]["), code, F.lit("] "), message, F.coalesce(F.concat(F.lit(" Guidance: "), F.nullif(guidance, F.lit(""))), F.lit("")) if guidance is not None else F.lit(""), F.when(F.size(context) > 0, F.concat(F.lit(" Context: "), pairs)).otherwise(""))

@@ -5,10 +5,15 @@ from __future__ import annotations
 import difflib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notefold.functions.text import allowed_tags
+from notefold.functions.text import allowed_tags, normalize_tags
+
+
+def normal_vocabulary(spark: SparkSession, controlled: list[str]) -> list[str]:
+    """A vocabulary as tags are: normalised, once each, in order."""
+    return spark.createDataFrame([(controlled,)], "c array<string>").select(normalize_tags(F.col("c"))).first()[0]
 
 
 def nearest_tags(tags: DataFrame, controlled: list[str], least: float = 0.75) -> DataFrame:
@@ -16,7 +21,7 @@ def nearest_tags(tags: DataFrame, controlled: list[str], least: float = 0.75) ->
 
     Of equally similar ones the last in order wins. Only distinct tags reach Python.
     """
-    vocabulary = sorted(controlled)
+    vocabulary = normal_vocabulary(tags.sparkSession, controlled)
 
     def run(batches):
         for b in batches:
@@ -29,11 +34,12 @@ def nearest_tags(tags: DataFrame, controlled: list[str], least: float = 0.75) ->
 def controlled_tags(tagged: DataFrame, controlled: list[str], allow_free: bool = True, min_length: int = 2, max_words: int = 3) -> DataFrame:
     """note, tags: those long and short enough, mapped to a vocabulary; in order, once each.
 
-    A tag of the vocabulary stays, another becomes the nearest one, and one
+    The vocabulary counts as normalised.  A tag of it stays, another becomes the nearest one, and one
     without a near one stays only if free tags are allowed.  Without a
     vocabulary all stay.
     """
     own = tagged.select("note", allowed_tags(F.col("tags"), min_length, max_words).alias("tags"))
+    controlled = normal_vocabulary(tagged.sparkSession, controlled)
     if not controlled:
         return own
     each = own.select("note", F.posexplode_outer("tags").alias("i", "tag"))

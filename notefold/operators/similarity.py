@@ -101,6 +101,12 @@ def candidates(near: DataFrame, least: float) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("note").orderBy(F.col("score").desc(), "path")))
 
 
+def among(ranked: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Ranked candidates whose path is allowed (path), ranked anew."""
+    own = ranked.join(allowed, "path", "left_semi")
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("note").orderBy(F.col("score").desc(), "path")))
+
+
 def select_links(ranked: DataFrame, limit: int = 8, overreach: int = 2, creative: int = 2, low: float = 0.45, high: float = 0.7) -> DataFrame:
     """note, path, kind, pos: core by rank, then other folders, then the middle band, then the rest.
 

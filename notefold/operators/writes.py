@@ -21,7 +21,7 @@ def preview_updates(entry: Column) -> Column:
     return F.struct(F.coalesce(entry["summary"], F.lit("")).alias("summary"), *[F.coalesce(entry[k], none).alias(k) for k in ("tags", "concepts", "related")])
 
 
-def preview_codes(lines: DataFrame, listed: DataFrame) -> DataFrame:
+def preview_codes(lines: DataFrame, listed: DataFrame, root: str | None = None) -> DataFrame:
     """seq, path, code of preview lines (seq, value) that are not blank; listed: (relpath, is_file) of what exists.
 
     code is OK or what is wrong: PREVIEW_LINE_INVALID, PREVIEW_ENTRY_INVALID,
@@ -33,7 +33,7 @@ def preview_codes(lines: DataFrame, listed: DataFrame) -> DataFrame:
     named = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.path", "variant")) == "STRING", F.lit(False)) & (F.trim(path) != "")
     own = lines.where(F.trim("value") != "").select("seq", F.when(named, path).alias("path"), v.isNull().alias("broken"), F.startswith(F.schema_of_variant(v), F.lit("OBJECT")).alias("object"))
     known = listed.select(F.col("relpath").alias("path"), F.col("is_file"))
-    target = target_code(F.col("path"))
+    target = target_code(F.col("path"), root)
     code = (
         F.when(F.col("broken"), "PREVIEW_LINE_INVALID").when(~F.col("object"), "PREVIEW_ENTRY_INVALID").when(F.col("path").isNull(), "PREVIEW_PATH_MISSING").when(target != "OK", target)
         .when(F.col("is_file").isNull(), "PREVIEW_TARGET_MISSING").when(~F.col("is_file"), "PREVIEW_TARGET_NOT_FILE").otherwise("OK")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notefold.functions import runtime as R
 from notefold.functions import text as T
 from notefold.operators import fuzzy
 from notefold.operators import notes as N
@@ -130,7 +131,7 @@ def removed_notes(spark, d):
 
 @query(f"WITH {_NOTES} SELECT relpath FROM notes ORDER BY relpath LIMIT 20")
 def limit_notes(spark, d):
-    return src.notes(spark, d).select("relpath").orderBy("relpath").limit(20)
+    return N.first_notes(src.notes(spark, d).select("relpath"), 20)
 
 
 @query(f"WITH {_CHUNKS} SELECT path, chunk, v[1] AS first FROM chunks WHERE path = 'f3/n13'")
@@ -143,16 +144,17 @@ def vector_count(spark, d):
     return src.chunk_vectors(spark, d).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_CHUNKS} SELECT path, chunk, v[1] AS first FROM chunks WHERE path NOT LIKE 'f1/%' UNION ALL SELECT path, 0, 1.0 FROM chunks WHERE path LIKE 'f1/%' AND chunk = 0")
+@query(f"WITH {_CHUNKS}, u AS (SELECT * FROM chunks WHERE path NOT LIKE 'f1/%' UNION ALL SELECT path, 0, list_transform(v, lambda x: 1.0::DOUBLE) FROM chunks WHERE path LIKE 'f1/%' AND chunk = 0) SELECT path, chunk, CAST(len(v) AS INTEGER) AS size, round(list_sum(v), 6) AS total FROM u")
 def vector_upsert(spark, d):
-    c = src.chunk_vectors(spark, d).select("path", "chunk", F.element_at("v", 1).alias("first"))
-    return N.upsert(c, c.where("path like 'f1/%' and chunk = 0").withColumn("first", F.lit(1.0)))
+    c = src.chunk_vectors(spark, d)
+    new = N.upsert(c, c.where("path like 'f1/%' and chunk = 0").withColumn("v", F.transform("v", lambda x: F.lit(1.0))))
+    return new.select("path", "chunk", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"WITH {_CHUNKS} SELECT path, chunk FROM chunks WHERE path NOT IN (SELECT path FROM chunks WHERE path LIKE 'f2/%')")
 def vector_delete_removed(spark, d):
     c = src.chunk_vectors(spark, d).select("path", "chunk")
-    return c.join(c.where("path like 'f2/%'").select("path").distinct(), "path", "left_anti")
+    return N.only_listed(c, c.where("path not like 'f2/%'").select(F.col("path").alias("relpath")))
 
 
 @query(f"WITH {_CHUNKS}, e AS (SELECT path, unnest(v) AS x, unnest(range(len(v))) AS i FROM chunks) SELECT path, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS x FROM e GROUP BY path, i")
@@ -191,7 +193,7 @@ def candidate_score_filter(spark, d):
 def allowed_semi(spark, d):
     c = src.chunk_vectors(spark, d)
     allowed = c.where("path like 'f1/%' or path like 'f4/%'").select("path").distinct()
-    return S.candidates(S.knn_chunks(c), 0.15).join(allowed, "path", "left_semi").select("note", "path")
+    return S.among(S.candidates(S.knn_chunks(c), 0.15), allowed).select("note", "path")
 
 
 def _links_sql(low: float, high: float) -> str:
@@ -316,15 +318,13 @@ def pending_top_items(spark, d):
 
 @query(f"WITH {_PENDING}, t AS (SELECT scope, count(*) AS total FROM pend GROUP BY scope), i AS (SELECT scope, relpath FROM pend QUALIFY row_number() OVER (PARTITION BY scope ORDER BY mtime DESC, relpath) <= 5) SELECT scope, total, string_agg(relpath, ',' ORDER BY relpath) AS items FROM t JOIN i USING (scope) GROUP BY scope, total")
 def pending_snapshot(spark, d):
-    pend = _pending(spark, d)
-    items = N.newest_pending(pend).groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list("relpath")), ",").alias("items"))
-    return pend.groupBy("scope").agg(F.count("*").alias("total")).join(items, "scope")
+    return N.pending_snapshot(_pending(spark, d)).select("scope", "total", F.array_join(F.array_sort(F.transform("items", lambda x: x["relpath"])), ",").alias("items"))
 
 
 @query(f"WITH {_NOTES}, {_STATE} SELECT s.relpath, s.hash FROM state s WHERE s.relpath IN (SELECT relpath FROM notes WHERE starts_with(relpath, 'src0/'))")
 def entry_eviction(spark, d):
     listed = src.notes(spark, d).where(F.startswith("relpath", F.lit("src0/")))
-    return src.state(spark, d).join(listed, "relpath", "left_semi")
+    return N.only_listed(src.state(spark, d), listed, "relpath")
 
 
 @query(f"WITH {_EVENTS} SELECT DISTINCT path FROM ev WHERE kind IN ('create', 'modify', 'delete', 'rename')")
@@ -355,11 +355,13 @@ def json_salvage(spark, d):
     return src.load(spark, d, "conversations").select("conv_id", "turn", F.get_json_object(T.salvaged_json(c), "$.summary").alias("summary"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'WRITE_TARGET_EMPTY' WHEN 1 THEN 'WRITE_TARGET_TRAVERSAL' WHEN 2 THEN 'WRITE_TARGET_OUTSIDE_VAULT' WHEN 3 THEN 'WRITE_TARGET_NOT_MARKDOWN' ELSE 'OK' END AS code FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'WRITE_TARGET_EMPTY' WHEN doc_id % 9 = 1 THEN 'WRITE_TARGET_TRAVERSAL' WHEN doc_id % 9 IN (2, 5) THEN 'WRITE_TARGET_OUTSIDE_VAULT' WHEN doc_id % 9 IN (3, 6) THEN 'WRITE_TARGET_NOT_MARKDOWN' ELSE 'OK' END AS code FROM documents")
 def write_target_validation(spark, d):
-    k = F.col("doc_id") % 5
-    target = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("../"), "source", F.lit(".md"))).when(k == 2, F.concat(F.lit("/etc/"), "source", F.lit(".md"))).when(k == 3, F.concat("source", F.lit("/a.txt"))).otherwise(F.concat("source", F.lit("/a.MD")))
-    return src.load(spark, d, "documents").select("doc_id", T.target_code(target).alias("code"))
+    k, own = F.col("doc_id") % 9, F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    shapes = (F.lit(" "), F.concat(F.lit("../"), own, F.lit(".md")), F.concat(F.lit("/etc/"), own, F.lit(".md")), F.concat(own, F.lit(".txt")), F.concat(F.lit(" "), own, F.lit(".MD ")),
+              F.concat(F.lit("/vault/a/../../"), own, F.lit(".md")), F.concat(own, F.lit("/.md")), F.concat(F.lit("/vault/b/../"), own, F.lit(".md")), F.concat(own, F.lit("/./x.md")))
+    target = F.element_at(F.array(*shapes), (k + 1).cast("int"))
+    return src.load(spark, d, "documents").select("doc_id", T.target_code(target, "/vault").alias("code"))
 
 
 @query(r"""SELECT p_partkey, regexp_replace(replace('/' || replace(p_name, ' ', chr(92)) || '//', chr(92), '/'), '^/+|/+$', '', 'g') AS folder FROM part""")
@@ -368,10 +370,11 @@ def normalize_folder(spark, d):
     return src.load(spark, d, "part").select("p_partkey", T.normalize_folder(path).alias("folder"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_id * 1000 + greatest(5, CAST(floor(value + 0.5) AS BIGINT)) * 60000 END AS next_ms FROM events""")
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_id * 1000 + CASE WHEN event_id % 9 < 3 THEN 5 ELSE greatest(5, CAST(floor(value + 0.5) AS BIGINT)) END * 60000 END AS next_ms FROM events""")
 def schedule_next(spark, d):
-    mode = F.when(F.col("event_type") == "view", "manual").otherwise("interval")
-    return src.load(spark, d, "events").select("event_id", T.next_run(mode, F.col("value"), F.col("event_id") * 1000).cast("long").alias("next_ms"))
+    mode, k = F.when(F.col("event_type") == "view", "manual").otherwise("interval"), F.col("event_id") % 9
+    minutes = F.when(k == 0, float("inf")).when(k == 1, float("nan")).when(k > 2, F.col("value"))  # or none
+    return src.load(spark, d, "events").select("event_id", R.next_run(mode, minutes, F.col("event_id") * 1000).cast("long").alias("next_ms"))
 
 
 @query(f"WITH {_EVENTS} SELECT event_id, kind FROM ev QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 50")
@@ -391,17 +394,20 @@ def preflight_rollup(spark, d):
     return c.groupBy("conv_id").agg(F.bool_and(F.col("turn") % 7 != 6).alias("ok"), F.coalesce(F.expr("min_by(text, turn) filter (where turn % 7 = 6)"), F.lit("ready")).alias("summary"))
 
 
-@query("SELECT doc_id, doc_id % 4 AS bad FROM documents WHERE doc_id % 4 IN (2, 3)")
+_ARGS = ", ".join(f"'{a}'" for a in R.RUN_ARGS)
+
+
+@query(f"""WITH a AS (SELECT doc_id, list_filter(list_transform(range(3), lambda k: [{_ARGS}, '--x' || source, 'x', ''][1 + (doc_id * 7 + k * 5) % 14]), lambda x: x NOT IN ({_ARGS})) AS bad FROM documents) SELECT doc_id, array_to_string(bad, '|') AS refused FROM a WHERE len(bad) > 0""")
 def args_allowlist(spark, d):
-    allowed = F.array(*map(F.lit, ("--index", "--tag", "--apply", "--current", "--all")))
-    args = F.when(F.col("doc_id") % 4 < 2, F.array(F.lit("--all"), F.lit("--apply"))).otherwise(F.array(F.lit("--all"), F.concat(F.lit("--x"), F.col("source"))))
-    return src.load(spark, d, "documents").where(F.size(F.array_except(args, allowed)) > 0).select("doc_id", (F.col("doc_id") % 4).alias("bad"))
+    every = F.array(*map(F.lit, R.RUN_ARGS), F.concat(F.lit("--x"), F.col("source")), F.lit("x"), F.lit(""))
+    args = F.transform(F.array(*map(F.lit, range(3))), lambda k: F.element_at(every, (1 + (F.col("doc_id") * 7 + k * 5) % 14).cast("int")))
+    bad = src.load(spark, d, "documents").select("doc_id", R.refused_args(args).alias("bad"))
+    return bad.where(F.size("bad") > 0).select("doc_id", F.array_join("bad", "|").alias("refused"))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN '\"' || p_name || '\"' ELSE p_name END || ' ' || p_brand AS line FROM part")
 def command_preview(spark, d):
-    quoted = lambda c: F.when(F.contains(c, F.lit(" ")), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
-    return src.load(spark, d, "part").select("p_partkey", F.concat_ws(" ", quoted(F.col("p_name")), F.replace("p_brand", F.lit("\0"), F.lit(""))).alias("line"))
+    return src.load(spark, d, "part").select("p_partkey", R.command_line(F.array("p_name", "p_brand")).alias("line"))
 
 
 _MD = f"{_NOTES}, md AS (SELECT relpath, body, '---' || chr(10) || 'summary: old' || chr(10) || '---' || chr(10) || body AS text FROM notes)"
@@ -421,17 +427,18 @@ def strip_trailing_dividers(spark, d):
     return src.notes(spark, d).select("relpath", F.sha1(T.strip_trailing_dividers(F.concat("body", F.lit("\n---\n\n---\n"))).cast("binary")).alias("hash"))
 
 
-@query(f"WITH {_NOTES} SELECT relpath, sha1(body) AS hash FROM notes")
+@query(f"WITH {_NOTES} SELECT relpath, sha1(body || chr(10) || '> [!note] related work by others' || chr(10) || '> kept' || chr(10) || '# Next' || chr(10) || '#x' || chr(10) || 'last' || chr(10)) AS hash FROM notes")
 def strip_related_section(spark, d):
-    made = F.concat("body", F.lit(f"\n## Related\n- [[a]]\n\n{T.CALLOUT}\n> - [[x]]\n"))
-    return src.notes(spark, d).select("relpath", F.sha1(T.strip_sections(made, ["## Related", T.SECTION_HEADING]).cast("binary")).alias("hash"))
+    # a callout of the user's own that only begins like a generated one stays
+    made = F.concat("body", F.lit(f"\n> [!note] related work by others\n> kept\n<!-- mindmap:START -->\n  ## related\n- [[a]]\n# Next\n## Links\ngone\n## Mindmap\ngone\n#x\n{T.CALLOUT}\n> - [[x]]\n> [!tip]- RELATED\n> y\nlast\n"))
+    return src.notes(spark, d).select("relpath", F.sha1(T.strip_sections(made, ["## Links"]).cast("binary")).alias("hash"))
 
 
 @query(_links_sql(0.15, 0.25).replace("SELECT note, path, ['core'", f"SELECT note, string_agg('> - <span class=\"{T.LINK_CLASS}' || kind || '\">[[' || path || '|' || split_part(path, '/', 2) || ']]</span>', chr(10) ORDER BY pos) AS block FROM (SELECT note, path, ['core'") + ") GROUP BY note")
 def render_links(spark, d):
     links = select_links(spark, d).groupBy("note").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path", "kind"))), lambda x: F.struct(x["path"].alias("path"), x["kind"].alias("kind"))).alias("links"))
-    shown = T.render_links(F.col("links"))
-    return links.select("note", F.array_join(F.slice(F.split(shown, "\n"), 2, 1000), "\n").alias("block"))
+    kinds = F.transform("links", lambda x: F.struct(x["path"].alias("path"), F.when(x["kind"] != "core", x["kind"]).alias("kind")))  # core is what a link without a kind is
+    return links.select("note", F.substr(T.render_links(kinds), F.lit(len(T.CALLOUT) + 2)).alias("block"))
 
 
 @query(f"WITH {_TAGS} SELECT '{{\"path\":' || note || ',\"tags\":[' || array_to_string(list_transform(tags, lambda t: '\"' || t || '\"'), ',') || ']}}' AS line FROM tags")
@@ -462,6 +469,6 @@ def pending_metrics(spark, d):
 @query("""SELECT conv_id, turn, '[' || CASE WHEN turn % 2 = 0 THEN 'warn' ELSE 'error' END || '][T' || turn || '] ' || role || CASE WHEN turn % 3 = 0 THEN ' Guidance: retry' ELSE '' END || ' Context: conv=' || conv_id AS line FROM conversations""")
 def diagnostic_line(spark, d):
     level = F.when(F.col("turn") % 2 == 0, "warn").otherwise("error")
-    guidance = F.when(F.col("turn") % 3 == 0, " Guidance: retry").otherwise("")
+    guidance = F.when(F.col("turn") % 3 == 0, "retry").when(F.col("turn") % 3 == 1, "")
     context = F.create_map(F.lit("conv"), F.col("conv_id").cast("string"))
-    return src.load(spark, d, "conversations").select("conv_id", "turn", T.diagnostic_line(level, F.concat(F.lit("T"), F.col("turn").cast("string")), F.concat("role", guidance), context).alias("line"))
+    return src.load(spark, d, "conversations").select("conv_id", "turn", T.diagnostic_line(level, F.concat(F.lit("T"), F.col("turn").cast("string")), F.col("role"), context, guidance).alias("line"))

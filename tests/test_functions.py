@@ -1,6 +1,8 @@
 """Text functions against plain Python on small cases."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,61 @@ def test_sections_go(spark):
     assert one(spark, text, lambda c: T.strip_sections(c, ["## Related"])) == "keep\n# next\nmore\nend\n"
 
 
+def plain_strip(text, heading):
+    """Line by line, as the sections are defined."""
+    own = [x for x in text.split("\n") if "mindmap:start" not in x.lower() and "mindmap:end" not in x.lower()]
+    out, skip = [], False
+    for x in own:
+        if x.strip().lower() in {heading.strip().lower(), "## related", "## mindmap"}:
+            skip = True
+        elif x.startswith("#"):
+            skip = False
+        if not skip:
+            out.append(x)
+    own, out, skip = out, [], False
+    for x in own:
+        skip = bool(re.match(r"^>\s*\[!.*\]-\s*(mindmap|related)\s*$", x.strip(), re.I)) or skip and x.startswith(">")
+        if not skip:
+            out.append(x)
+    return "\n".join(out).strip() + "\n"
+
+
+def test_sections_match_a_loop(spark):
+    rng = random.Random(9)
+    kinds = ["text", "", "# A", "#b", "## Related", "  ## RELATED  ", "## Mindmap", "## My links", "> [!mindmap]- Mindmap", "> [!note] related work by others", " >[!x]-  Related ", "> [!a] b]- mindmap", "> - [[x]]", ">", "x mindmap:start y", "MINDMAP:END", "> [!related]- other"]
+    cases = ["\n".join(rng.choice(kinds) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    got = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, x string").select("k", T.strip_sections(F.col("x"), ["## My links "]).alias("y")).collect()
+    assert {r.k: r.y for r in got} == {k: plain_strip(c, "## My links ") for k, c in enumerate(cases)}
+
+
+def test_long_texts_take_linear_time(spark):
+    took = []
+    for n in (40_000, 160_000):
+        text = "\n".join(f"line {k}" for k in range(n)) + "\n## Related\n" + "\n".join(["> x"] * n)
+        start = time.perf_counter()
+        assert one(spark, text, lambda c: T.strip_sections(c, [])).endswith(f"line {n - 1}\n")
+        assert one(spark, text, lambda c: F.size(T.chunks(c))) > n / 100
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 2
+
+
+def test_links_without_kind_or_path(spark):
+    df = spark.createDataFrame([([("a/b.md", None), (None, "core")],), ([(None, "core")],), ([],)], "l array<struct<path:string,kind:string>>")
+    assert [r[0] for r in df.select(T.render_links(F.col("l"))).collect()] == [f'{T.CALLOUT}\n> - <span class="{T.LINK_CLASS}core">[[a/b.md|b]]</span>', T.CALLOUT, ""]
+
+
+@pytest.mark.parametrize(("target", "code"), [("/v/a.md", "OK"), ("/v/../a.md", "OUTSIDE_VAULT"), (" a.md ", "OK"), (".md", "NOT_MARKDOWN"), ("x/.md", "NOT_MARKDOWN"), ("a/../b.md", "TRAVERSAL"), ("", "EMPTY"), (None, "EMPTY"), ("/vault/a.md", "OUTSIDE_VAULT")])
+def test_targets(spark, target, code):
+    assert one(spark, target, lambda c: T.target_code(c, "/v")).removeprefix("WRITE_TARGET_") == code
+
+
+def test_vocabulary_is_normalised(spark):
+    from notefold.operators.fuzzy import controlled_tags
+
+    tagged = spark.createDataFrame([("n", ["big-idea", "big-ideas", "else"])], "note string, tags array<string>")
+    assert controlled_tags(tagged, ["Big Idea!", " big-idea"], allow_free=False).first().tags == ["big-idea"]
+
+
 def test_front_matter(spark):
     assert one(spark, "---\na: 1\n --- \nbody", T.strip_frontmatter) == "body"
     assert one(spark, "---\nnever closed", T.strip_frontmatter) == "---\nnever closed"
