@@ -4,8 +4,10 @@
    and packed in blocks.
 2. The Gram matrix (its size depends on the dimension alone) gives a rotation
    that puts most of the length in the first coordinates.
-3. Every block of queries meets every block of candidates in stripes; a stripe
-   takes its blocks by descending length.  It stops for a query once length
+3. Groups of query blocks meet stripes of candidate blocks, every group every
+   stripe, so a block is sent once for each group or stripe of some 16,000
+   vectors and not for each block.  A stripe takes its blocks by descending
+   length.  It stops for a query once length
    times length is under the query's k-th best score.  Within a block, the
    partial sum of the first coordinates plus the product of the residual
    lengths bounds the score; only candidates whose bound reaches the k-th best
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 
 from notefold.llm.common import cut, lean, parallelism, small_batches
 
+#: Blocks of candidates in a stripe, and of queries in a group, where there are many: 8 MB each at 64 dimensions.
+STRIPE, GROUP = 16, 64
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _BLOCKS = "block long, dim int, norm double, ids binary, data binary"
 
 
@@ -95,32 +100,29 @@ def _best(k: int, turn: np.ndarray, head: int):
         r = m @ turn
         return np.frombuffer(ids, np.int64), m, r[:, :head], np.sqrt((r[:, head:] ** 2).sum(1)), np.sqrt((r**2).sum(1))
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, top, q = None, {}, None
-        for b in batches:
-            for x in b.to_pylist():
-                if (x["q"], x["stripe"]) != key:
-                    if key is not None:
-                        yield rows(q, top)
-                    key, top, q = (x["q"], x["stripe"]), {}, rotated(x["q_ids"], x["q_data"], x["q_dim"])
-                    least = np.full(len(q[0]), -np.inf)
-                live = np.flatnonzero(q[4] * x["norm"] * (1 + 1e-9) + 1e-3 >= least)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = [rotated(*x) for x in zip(right["ids"].to_pylist(), right["data"].to_pylist(), right["dim"].to_pylist(), strict=True)]
+        best: list[dict] = [{} for _ in asked]
+        least = [np.full(len(q[0]), -np.inf) for q in asked]
+        for x in left.sort_by([("norm", "descending"), ("block", "ascending")]).to_pylist() if asked else ():
+            c = None
+            for q, top, low in zip(asked, best, least, strict=True):
+                live = np.flatnonzero(q[4] * x["norm"] * (1 + 1e-9) + 1e-3 >= low)
                 if not len(live):
                     continue
-                c = rotated(x["ids"], x["data"], x["dim"])
+                c = c or rotated(x["ids"], x["data"], x["dim"])
                 bound = q[2][live] @ c[2].T + np.outer(q[3][live], c[3])
                 slack = 1e-9 * np.outer(q[4][live], c[4]) + 1e-3
                 for row, i in enumerate(live):
-                    j = np.flatnonzero((bound[row] + slack[row] >= least[i]) & (c[0] != q[0][i]))
+                    j = np.flatnonzero((bound[row] + slack[row] >= low[i]) & (c[0] != q[0][i]))
                     if len(j):
                         ids, scores = np.r_[top.get(i, ((), ()))[0], c[0][j]].astype(np.int64), np.r_[top.get(i, ((), ()))[1], c[1][j] @ q[1][i]].astype(np.int64)
                         order = np.lexsort((ids, -scores))[:k]
                         top[i] = ids[order], scores[order]
                         if len(order) == k:
-                            least[i] = scores[order[-1]]
-        if key is not None:
-            yield rows(q, top)
+                            low[i] = scores[order[-1]]
+        parts = [rows(q, top) for q, top in zip(asked, best, strict=True)]
+        return pa.Table.from_batches(parts, _FOUND) if parts else _FOUND.empty_table()
 
     def rows(q, top) -> pa.RecordBatch:
         own = np.concatenate([np.full(len(v[0]), q[0][i]) for i, v in top.items()] or [np.zeros(0, np.int64)])
@@ -152,11 +154,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         gram[at] = g
     _, turn = np.linalg.eigh(gram.reshape(dim, dim))
     turn = np.ascontiguousarray(turn[:, ::-1])
-    q = asked.select(F.col("block").alias("q"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    every = F.array(*[F.lit(r.q) for r in q.select("q").collect()] or [F.lit(None).cast("long")])  # one number for some 25,000 rows
-    stripe = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
-    met = candidates.select("*", stripe.alias("stripe"), F.explode(every).alias("q")).join(q, "q")
-    met = met.repartition(4 * parts, "q", "stripe").sortWithinPartitions("q", "stripe", F.col("norm").desc())
-    best = met.mapInArrow(_best(k, turn, max(1, dim // 4)), "query_id long, vec_id long, score long")
+    n_candidates, n_queries = candidates.count(), asked.count()
+    stripes, groups = max(1, min(n_candidates, parts), -(-n_candidates // STRIPE)), max(1, -(-n_queries // GROUP))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = candidates.select("*", dealt(stripes).alias("stripe"), every(groups).alias("group")).groupBy("stripe", "group")
+    right = asked.select("*", dealt(groups).alias("group"), every(stripes).alias("stripe")).groupBy("stripe", "group")
+    best = left.cogroup(right).applyInArrow(_best(k, turn, max(1, dim // 4)), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.select("query_id", place.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
