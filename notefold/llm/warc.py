@@ -44,8 +44,9 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     page = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"], F.lit("")).alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"))
     slim = cut(page.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size"), F.xxhash64("html").alias("chk")), "payloads")
     first = cut(slim.where(F.col("size") >= least).groupBy("digest", "size", "chk").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    refers = cut(slim.join(first, ["digest", "size", "chk"]).where("page_id <> first").select("page_id", "first").distinct(), "revisits")
-    page = page.join(refers, "page_id", "left").withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
+    key = ["page_id", "digest", "size", "chk"]  # a page_id may repeat with another payload
+    refers = cut(slim.join(first, key[1:]).where("page_id <> first").select(*key, "first").distinct(), "revisits")
+    page = page.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long"), "chk": F.xxhash64("html")}).join(refers, key, "left")
     revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -116,15 +117,19 @@ def _reached(left: pa.Table, right: pa.Table) -> pa.Table:
     """Rows of a split with the record that each belongs to: itself, if reached from the split's entry."""
     left = left.sort_by("seq")
     rel, succ = left["rel"].to_numpy(), left["succ"].to_numpy()
-    n, own = len(rel), np.full(len(rel), -1, np.int64)
-    at = {r: k for k, r in enumerate(rel.tolist())}
-    entry = right["entry"].to_pylist()
+    n, entry = len(rel), right["entry"].to_pylist()
     before = right["before"].to_pylist()[0] if len(right) else None
     base = right["base"].to_pylist()[0] if len(right) else 0
-    k = at.get(entry[0]) if entry else None
-    while k is not None:
-        own[k] = rel[k]
-        k = at.get(int(succ[k])) if succ[k] >= 0 else None
+    at = np.minimum(np.searchsorted(rel, succ), n - 1)
+    jump = np.where(rel[at] == succ, at, np.arange(n))  # nothing here follows: to itself
+    reached = (rel == entry[0]) if entry and entry[0] is not None else np.zeros(n, bool)
+    while True:  # each round reaches twice as far
+        wider = reached.copy()
+        wider[jump[reached]] = True
+        if (wider == reached).all():
+            break
+        reached, jump = wider, jump[jump]
+    own = np.where(reached, rel, -1)
     mark = np.maximum.accumulate(np.where(own >= 0, np.arange(n), -1))
     of = np.where(mark >= 0, base + rel[np.maximum(mark, 0)], -1 if before is None else before)
     names = ["file", "off", "len", "record", "head", "http", "digest", "body"]
@@ -211,9 +216,10 @@ def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Payloads are the html in UTF-8 (null: empty).  Of records with equal
     payloads of at least `least` bytes, that with the smallest page_id is the
-    response, the others are revisits that refer to it.  page_id identifies a
-    page: rows that repeat one get a record each, and rows without one a record
-    whose page_id reads back as null; they are responses.  A url may be null or
+    response, the others are revisits that refer to it.  Rows that repeat
+    a page_id get a record each, on their own payload (all rows of a response's
+    page_id and payload are responses), and rows without one a record whose
+    page_id reads back as null; they are responses.  A url may be null or
     hold any character; white space in it is escaped.  An empty table gives an
     empty result.  Other columns are ignored.
     """
