@@ -71,8 +71,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notefold.llm.substring_dedup import repeated_spans
 
-    # a row for each document that holds a repeated passage, those that keep it included
-    return repeated_spans(table(spark, sf_dir, "documents")).where("n_repeated > 0")
+    return repeated_spans(table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = r"""

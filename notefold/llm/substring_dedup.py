@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from notefold.llm.common import cut, lean, small_batches, texts, with_rows
+from notefold.llm.common import cut, fresh, lean, small_batches, texts, with_rows
 from notefold.llm.exact_dedup import NO_ID
 from notefold.llm.setsketch import mix
 
@@ -47,7 +47,7 @@ _CHUNKS = "batch long, docs binary, ids binary, counts binary, digests binary, c
 
 
 def boundaries(raw: np.ndarray, average: int, longest: int) -> np.ndarray:
-    """Ends of the chunks of some bytes; the last is their number."""
+    """Ends of the chunks of some bytes of UTF-8, all between characters; the last is their number."""
     h = GEAR[raw]
     w = 1
     while w < _WINDOW:  # the hash of the last 2w bytes from two of the last w
@@ -61,6 +61,9 @@ def boundaries(raw: np.ndarray, average: int, longest: int) -> np.ndarray:
     if len(size) and size.max() > longest:
         extra = [np.arange(e - n + longest, e, longest) for e, n in zip(ends[size > longest], size[size > longest], strict=True)]
         ends = np.unique(np.concatenate([ends, *extra]))
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    if len(starts) < len(raw):  # a chunk ends where a character does
+        ends = np.unique(np.r_[starts, len(raw)][np.searchsorted(starts, ends)])
     return ends
 
 
@@ -216,22 +219,22 @@ def repeated_spans(docs: DataFrame, average: int = 24, longest: int = 256, least
     return packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_spans(least, row_col is not None), "doc_id long, n_chunks long, n_repeated long, spans array<struct<start: long, end: long>>")
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with their repeated spans cut out of the text; documents of which only white space is left go; rows that share an id stay as they are."""
-    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.first("spans").alias("__spans")).where("k = 1 and size(__spans) > 0")
-    return _without(docs, found.select("doc_id", "__spans"), id_col, text_col)
-
-
 def cut_repeats_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with their repeated spans cut out of the text of every row, whatever ids repeat or are null; rows of which only white space is left go."""
-    rows = with_rows(docs)
-    found = repeated_spans(rows, id_col=id_col, text_col=text_col, row_col="__row", **how).where("size(spans) > 0")
-    return _without(rows, found.select("doc_id", F.col("spans").alias("__spans")), "__row", text_col).drop("__row")
+    """docs with their repeated spans cut out of the text of every row; rows of which only white space is left go.
+
+    Decides by row, so ids may repeat or be null.  A text that is null or has
+    no repeated span stays as it is.  Columns of any names stay as they are; an
+    empty table stays empty.
+    """
+    rows, row = with_rows(docs)
+    found = repeated_spans(rows, id_col=id_col, text_col=text_col, row_col=row, **how).where("size(spans) > 0")
+    return _without(rows, found.select(F.col("doc_id").alias(row), "spans"), row, text_col).drop(row)
 
 
-def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    columns, found = docs.columns, cut(found, "spans").withColumnRenamed("doc_id", "__id")
-    if found.agg(F.coalesce(F.sum(F.size("__spans") + 2), F.lit(0))).first()[0] <= FEW_NUMBERS:
+def _without(docs: DataFrame, found: DataFrame, row: str, text_col: str) -> DataFrame:
+    own, new = fresh(docs, "__spans"), fresh(docs, "__text")
+    found = cut(found, "spans").withColumnRenamed("spans", own)
+    if found.agg(F.coalesce(F.sum(F.size(own) + 2), F.lit(0))).first()[0] <= FEW_NUMBERS:
         found = F.broadcast(found)
 
     @arrow_udf("string")
@@ -244,11 +247,11 @@ def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
                     kept.append(raw[at : s["start"]])
                     at = s["end"]
                 kept.append(raw[at:])
-                t = b" ".join(x for x in kept if x).decode("utf-8", "ignore")
+                t = b" ".join(x for x in kept if x).decode()
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = docs.join(found, docs[id_col] == F.col("__id"), "left")
-    shorter = joined.withColumn("__text", F.when(F.col("__spans").isNull(), docs[text_col]).otherwise(left(docs[text_col], F.col("__spans"))))
-    kept = shorter.where(F.col("__spans").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*[(F.col("__text").alias(c) if c == text_col else docs[c]) for c in columns])
+    text, spans = F.col(f"`{text_col}`"), F.col(own)
+    shorter = docs.join(found, row, "left").withColumn(new, F.when(spans.isNull(), text).otherwise(left(text, spans)))
+    kept = shorter.where(spans.isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*[(F.col(new).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
