@@ -24,10 +24,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; one of our own only where the session names none and is one process (tests). A cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="notefold-"))
     return _own_dir[0]
@@ -41,20 +44,38 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs and __row, a number of its own for every row: its file and its place there, the same each time it is read.
+def forget(df: DataFrame) -> None:
+    """Delete what cut wrote for df; nothing may read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for every row (its file and its place there, the same each time it is read), and that column's name.
 
     What is not read from Parquet files as it is goes to the shared folder first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = cut(docs, "rows")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
-    files = sorted(r[0] for r in placed.select("__path").distinct().collect())
-    number = docs.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __path string")
-    return placed.join(F.broadcast(number), "__path").select(*(docs[c] for c in docs.columns), (F.shiftleft("__file", 40) + F.col("__at")).alias("__row"))
+    row, path, at, file = (fresh(docs, x) for x in ("__row", "__path", "__at", "__file"))
+    place = docs.metadataColumn("_metadata")
+    placed = docs.select("*", place["file_path"].alias(path), place["row_index"].alias(at))
+    files = sorted(r[0] for r in placed.select(path).distinct().collect())
+    number = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{file} long, {path} string")
+    return placed.join(F.broadcast(number), path).select(*(docs[f"`{c}`"] for c in docs.columns), (F.shiftleft(file, 40) + F.col(at)).alias(row)), row
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -142,18 +142,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups does not keep; rows without an id stay, as none can name them."""
-    gone = cut(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, whatever ids repeat or are null: that of the smallest id (none comes last), then the first as stored."""
-    rows = with_rows(docs)
-    slim = cut(_digests(texts(rows, id_col, text_col, "__row")), "digests")
+    """docs with one row of each group of equal texts: that of the smallest id (none comes last), then the first as stored.
+
+    Decides by row, so ids may repeat or be null.  A null text is the empty
+    one, and one such row stays.  Columns of any names stay as they are; an
+    empty table stays empty.
+    """
+    rows, row = with_rows(docs)
+    slim = cut(_digests(texts(rows, id_col, text_col, F.col(row).alias("__row"))), "digests")
     groups = merged_runs(slim.drop("__row")).where("n > 1").drop("n")
     held = cut(slim.join(groups, ["sha", "len", "chk"]).select("__row", "sha", "len", "chk", (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("min_id")).alias("least")), "held")
     stay = held.where("least").groupBy("sha", "len", "chk").agg(F.min("__row").alias("__row"))
-    gone = cut(held.select("__row").join(stay.select("__row"), "__row", "left_anti"), "gone")
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    gone = cut(held.select("__row").join(stay.select("__row"), "__row", "left_anti").withColumnRenamed("__row", row), "gone")
+    return rows.join(gone, row, "left_anti").drop(row)

@@ -304,17 +304,16 @@ def near_groups(docs: DataFrame, width: int = 3, share: int = 85, id_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 
 
-def drop_near(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group; rows without an id stay, as none can name them."""
-    gone = cut(near_groups(docs, width, share, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-
-
 def one_of_each(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group, whatever ids repeat or are null: that of the smallest id (none comes last), then the first as stored."""
-    rows = with_rows(docs)
-    groups = near_groups(rows, width, share, "__row", text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("comp"))
-    named = cut(groups.join(rows.select("__row", rows[id_col].cast("long").alias("id")), "__row"), "groups")
+    """docs with one row of each group of near_groups: that of the smallest id (none comes last), then the first as stored.
+
+    Decides by row, so ids may repeat or be null.  Rows without words link with
+    nothing and all stay.  Columns of any names stay as they are; an empty
+    table stays empty.
+    """
+    rows, row = with_rows(docs)
+    groups = near_groups(rows, width, share, row, text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("comp"))
+    named = cut(groups.join(rows.select(F.col(row).alias("__row"), rows[f"`{id_col}`"].cast("long").alias("id")), "__row"), "groups")
     stay = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("__row"))).alias("best")).select("best.__row")
-    gone = cut(named.select("__row").join(stay, "__row", "left_anti"), "gone")
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    gone = cut(named.select("__row").join(stay, "__row", "left_anti").withColumnRenamed("__row", row), "gone")
+    return rows.join(gone, row, "left_anti").drop(row)

@@ -64,7 +64,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and STATS of every row of docs."""
+    """doc_id and STATS of every row of docs; zeros, or the length alone, for a text that is null, empty or without words. Ids may repeat or be null."""
     small_batches(docs.sparkSession)
     return texts(docs, id_col, text_col).mapInArrow(_measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
 
@@ -198,17 +198,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, at: float = 0.3, sample: i
     return stats.select("doc_id", (id_remainder(F.col("doc_id")) == 0).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= at, 1).otherwise(0))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, at: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score under `at`; rows without an id stay, as none can name them."""
-    bad = cut(score_quality(docs, labels, at, id_col=id_col, text_col=text_col).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "rejected")
-    return docs.join(bad, docs[id_col] == F.col("__gone"), "left_anti")
-
-
 def keep_good_rows(docs: DataFrame, labels: DataFrame, at: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score under `at`, each on its own text, whatever ids repeat or are null."""
-    rows = with_rows(docs)
-    stats = cut(statistics(rows, "__row", text_col), "statistics").withColumnRenamed("doc_id", "__row")
-    named = stats.join(rows.select("__row", rows[id_col].cast("long").alias("doc_id")), "__row")
+    """docs without the rows that score under `at`, each on its own text.
+
+    Decides by row, so ids may repeat or be null.  A null text scores as the
+    empty one.  Columns of any names stay as they are; an empty table stays
+    empty.
+    """
+    rows, row = with_rows(docs)
+    stats = cut(statistics(rows, row, text_col), "statistics").withColumnRenamed("doc_id", "__row")
+    named = stats.join(rows.select(F.col(row).alias("__row"), rows[f"`{id_col}`"].cast("long").alias("doc_id")), "__row")
     score = fit_quality(named, labels, sample).column()
-    bad = cut(stats.where(score < at).select("__row"), "rejected")
-    return rows.join(bad, "__row", "left_anti").drop("__row")
+    bad = cut(stats.where(score < at).select(F.col("__row").alias(row)), "rejected")
+    return rows.join(bad, row, "left_anti").drop(row)

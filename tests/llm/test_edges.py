@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from notefold.llm.components import components
-from notefold.llm.exact_dedup import drop_copies
-from notefold.llm.near_dedup import drop_near, near_groups
+from notefold.llm.near_dedup import near_groups
 from notefold.llm.packing import pack
 from notefold.llm.quality import score_quality
 from notefold.llm.setsketch import Words, jaccard, shingles, sketch
-from notefold.llm.substring_dedup import cut_repeats
+from notefold.llm.substring_dedup import boundaries, cut_repeats_of_rows
 from notefold.llm.topk import top_k
 from notefold.llm.warc import archive_round_trip
 from tests.conftest import SMALL
@@ -43,18 +42,23 @@ def test_stage(spark, hard, name):
         assert out.columns == hard.columns and 0 < rows <= len(HARD)
 
 
-def test_copies_that_go(hard):
-    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
-    # (2, None) shares its id with a copy of 1, which names what goes; ids that are null name nothing
-    assert {i for _, i in ids(drop_copies(hard))} == {0, 1, 4, 5, 6}
-    assert {i for _, i in ids(drop_near(hard))} == {0, 1, 3, 5, 6}
-    assert drop_copies(hard).where("doc_id is null").count() == drop_near(hard).where("doc_id is null").count() == 2
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES if n != "packing"])
+def test_stages_take_any_column_names(spark, name):
+    rows = [(k, f"{LONG} {k % 2}", 1, 2, 3, 4, 5, 6, 7) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row int, __PATH int, __at int, `__spans` int, __text int, `__gone` int, `x.y` int")
+    out = dict(corpus_pipeline.STAGES)[name](spark, df, SMALL)
+    assert out.columns == df.columns and all(tuple(r)[2:] == (1, 2, 3, 4, 5, 6, 7) for r in out.collect())
 
 
-def test_cut_keeps_rows_that_share_an_id(hard):
-    left = cut_repeats(hard).collect()
-    assert sum(r.doc_id == 5 for r in left) == 2 and all(r.text == "é" * 5000 for r in left if r.doc_id == 5)
-    assert [r.text for r in left if r.doc_id == 1] == [LONG]
+def test_chunks_end_between_characters(spark):
+    rng = np.random.default_rng(3)
+    for text in ("日本語" * 400, "é" * 3000, "".join(chr(int(c)) for c in rng.choice([0x41, 0xE9, 0x65E5, 0x1F600], 4000))):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = boundaries(raw, 24, 256)
+        assert ends[-1] == len(raw) and not any((raw[e] & 0xC0) == 0x80 for e in ends[:-1]) and np.diff(np.r_[0, ends]).max() < 260
+    passage = "".join(chr(int(c)) for c in rng.choice(np.arange(0x4E00, 0x9000), 300))
+    left = {r.doc_id: r.text for r in cut_repeats_of_rows(spark.createDataFrame([(1, passage), (2, f"前{passage}後")], "doc_id long, text string")).collect()}
+    assert left[1] == passage and "\ufffd" not in left[2] and len(left[2]) < 60 and left[2][0] == "前" and left[2][-1] == "後"
 
 
 def test_pack_repeats_and_nulls(hard):
@@ -77,6 +81,11 @@ def test_warc_repeats_and_nulls(spark):
     rows = [(3, None, None), (1, "u", "p"), (1, "u", "p"), (2, "\r\nx: y", "p"), (4, "é", "é" * 70_000)]
     got = archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows)
+    again = [(1, "u", "A"), (2, "u", "A"), (2, "u", "B"), (5, "u", "B"), (3, "u", "C"), (3, "u", "A")]
+    back = archive_round_trip(spark.createDataFrame(again, "page_id long, url string, html string")).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(1, "A", "response", None), (2, "A", "revisit", 1), (2, "B", "response", None), (5, "B", "revisit", 2), (3, "C", "response", None), (3, "A", "revisit", 1)]
+    assert sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in back), key=repr) == sorted(((i, digest(t), k, f) for i, t, k, f in want), key=repr)
     assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id in (2, 3, 4)} == {(2, "revisit", 1), (3, "response", None), (4, "response", None)}
     assert {r.payload_digest for r in got if r.page_id == 4} == {base64.b32encode(hashlib.sha1("é".encode() * 70_000).digest()).decode()}
 

@@ -20,7 +20,7 @@ from notefold.llm.lm_scoring import score_texts
 from notefold.llm.near_dedup import near_groups
 from notefold.llm.packing import pack, plan
 from notefold.llm.quality import score_quality
-from notefold.llm.substring_dedup import cut_repeats, repeated_spans
+from notefold.llm.substring_dedup import cut_repeats_of_rows, repeated_spans
 from notefold.llm.token_counts import MARK, Trie, pieces, token_counts
 from notefold.llm.topk import top_k
 from notefold.llm.warc import MAGIC, archive_round_trip
@@ -178,9 +178,9 @@ def test_substrings(docs):
     assert got[13].spans and got[7].spans and not got[6].spans  # the first copy keeps the passage
     assert got[3].n_chunks == got[4].n_chunks == 0 and not got[1].spans
     assert [(s.start, s.end) for s in got[9].spans] == [(256, 69_888)]  # equal letters: all full chunks but the first
-    left = {r.doc_id: r.text for r in cut_repeats(docs).collect()}
+    left = {r.doc_id: r.text for r in cut_repeats_of_rows(docs).collect()}
     assert left[13].startswith("intro") and len(left[13]) < len(BASE) / 2 and left[6] == BASE
-    assert cut_repeats(docs).columns == docs.columns
+    assert cut_repeats_of_rows(docs).columns == docs.columns
 
 
 def test_warc(spark):
