@@ -252,6 +252,7 @@ def _without(docs: DataFrame, found: DataFrame, row: str, text_col: str) -> Data
         return pa.array(out, pa.string())
 
     text, spans = F.col(f"`{text_col}`"), F.col(own)
-    shorter = docs.join(found, row, "left").withColumn(new, F.when(spans.isNull(), text).otherwise(left(text, spans)))
+    shortened = left.asNondeterministic()(F.when(spans.isNotNull(), text), spans)  # once a row, though a filter uses it too; only texts that lose something go to Python
+    shorter = docs.join(found, row, "left").withColumn(new, shortened).withColumn(new, F.when(spans.isNull(), text).otherwise(F.col(new)))
     kept = shorter.where(spans.isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[(F.col(new).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
