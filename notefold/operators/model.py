@@ -35,6 +35,11 @@ class Client(Protocol):
     def chat(self, prompt: str) -> str: ...
 
 
+def listed_models(base_url: str) -> list[str]:
+    """What preflight_checks asks a server for."""
+    return HttpClient(base_url, "", "").models()
+
+
 def with_retries(call: Callable[[], dict], retries: int = 1, backoff: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> dict:
     """call(), again after a failure, up to `retries` more times, waiting longer each time; the last failure is raised."""
     for attempt in range(1, max(1, retries + 1) + 1):
@@ -56,6 +61,13 @@ class HttpClient:
     chat_timeout: int = 180
     retries: int = 1
     backoff: float = 2.0
+    system: str = "You describe personal notes. Answer with JSON only, briefly, and from the note alone."
+
+    def models(self, timeout: int = 10) -> list[str]:
+        """Names of the models that the server has."""
+        with request.urlopen(self.base_url.rstrip("/") + "/api/tags", timeout=timeout) as r:
+            listed = json.loads(r.read()).get("models", [])
+        return [str(m["name"]) for m in listed if isinstance(m, dict) and m.get("name")]
 
     def _post(self, endpoint: str, payload: dict, timeout: int) -> dict:
         req = request.Request(self.base_url.rstrip("/") + endpoint, json.dumps(payload).encode(), {"Content-Type": "application/json"})
@@ -73,7 +85,7 @@ class HttpClient:
         return r["embeddings"] if "embeddings" in r else [r["embedding"]]
 
     def chat(self, prompt: str) -> str:
-        r = self._post("/api/chat", {"model": self.chat_model, "messages": [{"role": "user", "content": prompt}], "format": "json", "stream": False}, self.chat_timeout)
+        r = self._post("/api/chat", {"model": self.chat_model, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}], "format": "json", "stream": False}, self.chat_timeout)
         return r.get("message", {}).get("content", "")
 
 

@@ -1,4 +1,8 @@
-"""A batch run over notes: index what changed, relate, tag, and plan the writes. Every result is a DataFrame; nothing is written here."""
+"""A batch run over notes: index what changed, relate, tag, and plan the writes. Every result is a DataFrame.
+
+What a model says is kept in the shared folder before it is used, so each text
+is sent once, and everything made from it agrees.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from notefold.operators import notes as N
 from notefold.operators import similarity as S
 from notefold.operators import writes as W
 from notefold.operators.model import Client, embed_chunks, extract_metadata
+from notefold.plans.shared import kept
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ def index_notes(notes: DataFrame, state: DataFrame, index: DataFrame, client: Cl
     """
     work = notes.withColumn("hash", T.body_signature(F.col("body"))) if index.isEmpty() else N.changed_notes(notes, state)
     chunks = work.select(F.col("relpath").alias("path"), F.posexplode(T.chunks(F.col("body"), s.target_tokens, s.overlap_tokens)).alias("chunk", "text"))
-    made = embed_chunks(chunks, client)
+    made = kept(embed_chunks(chunks, client), "vectors")
     known = notes.select(F.col("relpath").alias("path"))
     new_index = N.upsert(index.join(known, "path", "left_semi"), made)
     done = work.join(made.select(F.col("path").alias("relpath")).distinct(), "relpath", "left_semi").select("relpath", "hash")
@@ -56,13 +61,15 @@ def index_notes(notes: DataFrame, state: DataFrame, index: DataFrame, client: Cl
     return new_index, new_state
 
 
-def relate(index: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """note, links (path, kind) in order, from chunk vectors or from their means."""
+def relate(index: DataFrame, s: Settings = Settings(), allowed: DataFrame | None = None) -> DataFrame:
+    """note, links (path, kind) in order, from chunk vectors or from their means; only to allowed notes (path), if given."""
     if s.by_notes:
         near = S.knn_chunks(S.mean_vectors(index).withColumn("chunk", F.lit(0)), max(10, s.related_limit + 1)).where(F.col("score") >= s.min_score)
         ranked = S.candidates(near, 0)
     else:
         ranked = S.candidates(S.knn_chunks(index, s.candidate_limit), s.min_score)
+    if allowed is not None:
+        ranked = S.among(ranked, allowed)
     chosen = S.select_links(ranked, s.related_limit, s.overreach, s.creative, s.creative_low, s.creative_high)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "path", "kind")))
     return chosen.groupBy("note").agg(F.transform(ordered, lambda e: F.struct(e["path"].alias("path"), e["kind"].alias("kind"))).alias("links"))
@@ -70,23 +77,28 @@ def relate(index: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def tag_notes(notes: DataFrame, client: Client, aliases: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
     """relpath, summary, tags, concepts of notes whose metadata could be had; tags are mapped, capped, and counted over these notes."""
-    said = extract_metadata(notes, client, tag_limit=s.tag_limit, concept_limit=s.concept_limit, controlled=s.controlled, allow_free=s.allow_free_tags).where("error is null")
+    said = extract_metadata(notes, client, tag_limit=s.tag_limit, concept_limit=s.concept_limit, controlled=s.controlled, allow_free=s.allow_free_tags)
+    said = kept(said, "said").where("error is null")
     tagged = said.select(F.col("relpath").alias("note"), T.normalize_tags(F.col("tags")).alias("tags"))
     if aliases is not None:
         tagged = tagged.select("note").join(N.mapped_tags(tagged, aliases), "note", "left").select("note", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     mapped = fuzzy.controlled_tags(tagged, s.controlled, s.allow_free_tags, s.min_tag_length, s.tag_max_words)
     capped = mapped.select("note", F.slice("tags", 1, s.tag_limit).alias("tags"))
-    kept = N.frequent_tags(capped, s.min_tag_frequency, s.tag_frequency_fallback)
+    often = N.frequent_tags(capped, s.min_tag_frequency, s.tag_frequency_fallback)
     concepts = T.normalize_concepts(F.col("concepts"), s.concept_max_words, s.concept_limit)
-    return said.select("relpath", "summary", concepts.alias("concepts")).join(kept.withColumnRenamed("note", "relpath"), "relpath")
+    return said.select("relpath", "summary", concepts.alias("concepts")).join(often.withColumnRenamed("note", "relpath"), "relpath")
+
 
+def plan_writes(notes: DataFrame, changed: DataFrame, index: DataFrame, client: Client, aliases: DataFrame | None = None, s: Settings = Settings(), allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The planned writes (relpath, new_text, changed) and what a preview shows (relpath, summary, tags, concepts, related).
 
-def plan_writes(notes: DataFrame, changed: DataFrame, index: DataFrame, client: Client, aliases: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
-    """relpath, new_text, changed for the notes (relpath, text, body) that changed names, or for all if they are refreshed."""
+    For the notes (relpath, text, body) that changed names, or for all if they are refreshed.
+    """
     work = notes if s.refresh_all else notes.join(changed.select("relpath"), "relpath", "left_semi")
     tagged = tag_notes(work, client, aliases, s)
-    links = relate(index, s).withColumnRenamed("note", "relpath")
+    links = relate(index, s, allowed).withColumnRenamed("note", "relpath")
     none = F.array().cast("array<struct<path:string,kind:string>>")
     both = work.select("relpath", "text").join(tagged, "relpath").join(links, "relpath", "left").withColumn("links", F.coalesce("links", none))
-    updates = F.struct("summary", "tags", "concepts", F.transform("links", lambda x: x["path"]).alias("related"))
-    return W.planned_writes(both.select("relpath", "text", updates.alias("updates"), "links"))
+    both = kept(both.withColumn("related", F.transform("links", lambda x: x["path"])), "plan")
+    updates = F.struct("summary", "tags", "concepts", "related")
+    return W.planned_writes(both.select("relpath", "text", updates.alias("updates"), "links")), both.select("relpath", "summary", "tags", "concepts", "related")

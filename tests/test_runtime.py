@@ -181,9 +181,9 @@ def test_whole_run(spark):
     kept = new_index.cache()
     again, _ = run.index_notes(df, new_state, kept, client, s)
     assert again.count() == kept.count()
-    plan = run.plan_writes(df, df.where("relpath like 'f1/%'"), kept, client, None, s).collect()
+    plan = run.plan_writes(df, df.where("relpath like 'f1/%'"), kept, client, None, s)[0].collect()
     assert len(plan) == 4 and all(r.changed and "related:\n  - " in r.new_text for r in plan)
-    assert run.plan_writes(df, df.limit(0), kept, client, None, run.Settings(min_score=0.1, by_notes=True, refresh_all=True)).count() == 12
+    assert run.plan_writes(df, df.limit(0), kept, client, None, run.Settings(min_score=0.1, by_notes=True, refresh_all=True))[0].count() == 12
 
 
 def test_knn_over_many_blocks(spark):
