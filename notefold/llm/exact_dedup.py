@@ -1,23 +1,31 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
-Each input task sorts its digests into a run of (digest, length, check hash,
-smallest id, count), equal texts already merged.  The runs then meet in rounds
-of a k-ary hypercube exchange (binomial for k = 2): in round r a node hands
-every partner along axis r the part of its run whose digest has that partner's
-r-th digit, and merges the runs it gets.  After the last round node d holds the
-one run of digest range d.  Rows of equal digest, length and check hash merge
-at every level into the smallest identifier, so a text that a third of the rows
-share is one entry a run before anything is exchanged, and no node ever sees
-more than its own digest range.
-
-Digests are SHA-256; an entry only merges where the length in bytes and an
-independent 64-bit hash agree as well (the verification at each level).
+Each input task sorts its digests into runs of entries (digest, length, check
+hash, smallest id, count), equal texts already merged.  The runs then meet in
+rounds of a k-ary hypercube exchange (binomial for k = 2): in round r a node
+hands every partner along axis r the part of its run whose digest has that
+partner's r-th digit, and merges the runs it gets.  After the last round node d
+holds the one run of digest range d.
+
+Runs travel as blocks of at most BLOCK entries.  A node takes its blocks in the
+order of their first entries and merges by a heap of the heads of the runs: a
+block is opened once every smaller entry has gone, so no more than one block of
+a run is open.  Entries are never sorted again after their first run.
+
+Entries of equal digest, length and check hash merge at every level into the
+smallest identifier, so a text that a third of the rows share is one entry a
+run before anything is exchanged.  Digests are SHA-256; an entry only merges
+where the length in bytes and an independent 64-bit hash agree as well (the
+verification at each level).
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,39 +36,70 @@ from notefold.llm.common import SPACE, cut, lean, parallelism, texts, with_rows
 
 #: Stands for a null id inside runs; larger than any id in use.
 NO_ID = (1 << 63) - 1
-RUN = "node int, sha binary, len long, chk long, min_id long, n long"
-_SCHEMA = pa.schema([("node", pa.int32()), ("sha", pa.binary()), ("len", pa.int64()), ("chk", pa.int64()), ("min_id", pa.int64()), ("n", pa.int64())])
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    """Digests as rows of 32 bytes."""
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), 32)
-
-
-def _digit(sha: np.ndarray, fan: int, rounds: int, r: int) -> np.ndarray:
-    """The r-th digit, base fan, of the digest's place among fan ** rounds equal ranges."""
-    head = sha[:, :4].astype(np.uint64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint64)
-    place = (head * np.uint64(fan**rounds)) >> np.uint64(32)
-    return (place // np.uint64(fan ** (rounds - 1 - r)) % np.uint64(fan)).astype(np.int64)
-
-
-def _address(node: np.ndarray, digit: np.ndarray, fan: int, rounds: int, r: int) -> np.ndarray:
-    """Node numbers with their r-th digit replaced."""
-    unit = fan ** (rounds - 1 - r)
-    return node + (digit - node // unit % fan) * unit
-
-
-def _collapse(sha: np.ndarray, length: np.ndarray, chk: np.ndarray, ids: np.ndarray, n: np.ndarray):
-    """Merge adjacent entries of equal text."""
-    new = np.ones(len(ids), bool)
-    new[1:] = (sha[1:] != sha[:-1]).any(1) | (length[1:] != length[:-1]) | (chk[1:] != chk[:-1])
-    at = np.flatnonzero(new)
-    return sha[at], length[at], chk[at], np.minimum.reduceat(ids, at), np.add.reduceat(n, at)
-
-
-def _rows(node, sha, length, chk, ids, n) -> pa.RecordBatch:
-    cols = [pa.array(node.astype(np.int32)), pa.array([x.tobytes() for x in sha], pa.binary()), *(pa.array(x) for x in (length, chk, ids, n))]
-    return pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
+#: An entry: digest, length and check hash (its key), then smallest id and count, all big-endian.
+KEY, TAIL = 48, ">qq"
+ENTRY = KEY + struct.calcsize(TAIL)
+#: Entries of a run at most (32 MB), and of a block of one (128 KB).
+RUN, BLOCK = 1 << 19, 1 << 11
+_BLOCKS = "node int, head binary, entries binary"
+_SCHEMA = pa.schema([("node", pa.int32()), ("head", pa.binary()), ("entries", pa.binary())])
+_GROUPS = "sha binary, len long, chk long, min_id long, n long"
+
+
+def sorted_run(sha: pa.Array, length: np.ndarray, chk: np.ndarray, ids: np.ndarray) -> bytes:
+    """The entries of some rows in the order of their keys, equal keys merged."""
+    own = np.empty((len(ids), 6), np.uint64)
+    own[:, :4] = np.frombuffer(b"".join(sha.to_pylist()), ">u8").reshape(-1, 4)
+    own[:, 4], own[:, 5] = length.astype(np.uint64), chk.view(np.uint64)
+    order = np.lexsort(own.T[::-1])
+    own, ids = own[order], ids[order]
+    new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(1)])
+    least = np.minimum.reduceat(ids, new).view(np.uint64)
+    return np.column_stack([own[new], least, np.diff(np.r_[new, len(ids)]).astype(np.uint64)]).astype(">u8").tobytes()
+
+
+def merged_heads(blocks: Iterable[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, int, int]]:
+    """(key, smallest id, count) in the order of keys, from the blocks (first key, entries) of any number of runs in the order of first keys."""
+    heads, held, least, n = [], None, 0, 0
+    for serial, (first, block) in enumerate(itertools.chain(blocks, [(None, b"")])):
+        while heads and (first is None or heads[0][0] < first):
+            key, of, own, at = heads[0]
+            own_id, own_n = struct.unpack_from(TAIL, own, at + KEY)
+            if key == held:
+                least, n = min(least, own_id), n + own_n
+            else:
+                if held is not None:
+                    yield held, least, n
+                held, least, n = key, own_id, own_n
+            at += ENTRY
+            if at < len(own):
+                heapq.heapreplace(heads, (own[at : at + KEY], of, own, at))
+            else:
+                heapq.heappop(heads)
+        if first is not None:
+            heapq.heappush(heads, (first, serial, block, 0))
+    if held is not None:
+        yield held, least, n
+
+
+def _blocks(entries: Iterable[bytes], node: int, fan: int, rounds: int, r: int) -> Iterator[pa.RecordBatch]:
+    """The entries of node's run as blocks for its partners of round r: those with the r-th digit, base fan, of the digest's place among fan ** rounds ranges."""
+    unit, nodes = fan ** (rounds - 1 - r), fan**rounds
+    held, to = [], None
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([held[0][:KEY]], pa.binary()), pa.array([b"".join(held)], pa.binary())], schema=_SCHEMA)
+
+    for e in entries:
+        digit = (int.from_bytes(e[:4], "big") * nodes >> 32) // unit % fan
+        own = node + (digit - node // unit % fan) * unit
+        if held and (own != to or len(held) == BLOCK):
+            yield block()
+            held.clear()
+        to = own
+        held.append(e)
+    if held:
+        yield block()
 
 
 def _runs(fan: int, rounds: int):
@@ -69,54 +108,59 @@ def _runs(fan: int, rounds: int):
         from pyspark import TaskContext
 
         me = TaskContext.get().partitionId() % fan**rounds
+
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            entries = sorted_run(t["sha"], t["len"].to_numpy(), t["chk"].to_numpy(), t["doc_id"].fill_null(NO_ID).to_numpy())
+            return _blocks((entries[k : k + ENTRY] for k in range(0, len(entries), ENTRY)), me, fan, rounds, 0)
+
+        held, rows = [], 0
         for b in batches:
-            if not len(b):
-                continue
-            sha, length, chk = _matrix(b["sha"]), b["len"].to_numpy(), b["chk"].to_numpy()
-            ids = b["doc_id"].fill_null(NO_ID).to_numpy()
-            order = np.lexsort((chk, length, *sha.view(">u8").T[::-1]))
-            parts = _collapse(sha[order], length[order], chk[order], ids[order], np.ones(len(ids), np.int64))
-            yield _rows(_address(np.full(len(parts[0]), me), _digit(parts[0], fan, rounds, 0), fan, rounds, 0), *parts)
+            if rows and rows + len(b) > RUN:
+                yield from out(held)
+                held, rows = [], 0
+            if len(b):
+                held.append(b)
+                rows += len(b)
+        if held:
+            yield from out(held)
 
     return run
 
 
 def _merge(fan: int, rounds: int, r: int):
-    """Merge what a node has got (in digest order) and address it for round r; the last group of a batch waits for the next."""
+    """Merge the runs that a node has got; their entries as blocks for round r, or as rows after the last."""
 
     @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not len(b):
-                continue
-            own = (_matrix(b["sha"]), *(b[c].to_numpy() for c in ("len", "chk", "min_id", "n")), b["node"].to_numpy().astype(np.int64))
-            if held is not None:
-                own = tuple(np.concatenate(x) for x in zip(held, own, strict=True))
-            node = own[5][0]
-            parts = _collapse(*own[:5])
-            held = (*(x[-1:] for x in parts), np.array([node]))
-            if len(parts[0]) > 1:
-                yield address(node, tuple(x[:-1] for x in parts))
-        if held is not None:
-            yield address(held[5][0], held[:5])
-
-    def address(node: int, parts) -> pa.RecordBatch:
-        at = np.full(len(parts[0]), node)
-        return _rows(_address(at, _digit(parts[0], fan, rounds, r), fan, rounds, r) if r < rounds else at, *parts)
+        rows = (x for b in batches for x in zip(b["node"].to_pylist(), b["head"].to_pylist(), b["entries"].to_pylist(), strict=True))
+        for node, own in itertools.groupby(rows, lambda x: x[0]):
+            merged = merged_heads(x[1:] for x in own)
+            if r < rounds:
+                yield from _blocks((key + struct.pack(TAIL, least, n) for key, least, n in merged), node, fan, rounds, r)
+            else:
+                yield from map(_groups, itertools.batched(merged, 4 * BLOCK))
 
     return merge
 
 
+def _groups(part: tuple[tuple[bytes, int, int], ...]) -> pa.RecordBatch:
+    keys, least, n = zip(*part, strict=True)
+    more = np.frombuffer(b"".join(k[32:] for k in keys), ">i8").reshape(-1, 2).astype(np.int64)
+    cols = [pa.array([k[:32] for k in keys], pa.binary()), *(pa.array(x, pa.int64()) for x in (more[:, 0], more[:, 1], least, n))]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _GROUPS.split(", ")])
+
+
 def merged_runs(slim: DataFrame, most_fan: int = 16) -> DataFrame:
     """(sha, len, chk, min_id, n) of every distinct text of slim (doc_id, sha, len, chk)."""
     want = parallelism(slim.sparkSession)
     rounds = max(2, math.ceil(math.log(want, most_fan)))
     fan = max(2, math.ceil(want ** (1 / rounds)))
-    runs = slim.mapInArrow(_runs(fan, rounds), RUN)
+    runs = slim.mapInArrow(_runs(fan, rounds), _BLOCKS)
     for r in range(1, rounds + 1):
-        runs = runs.repartitionById(fan**rounds, F.col("node")).sortWithinPartitions("sha", "len", "chk").mapInArrow(_merge(fan, rounds, r), RUN)
-    return runs.drop("node")
+        met = runs.repartitionById(fan**rounds, F.col("node")).sortWithinPartitions("node", "head")
+        runs = met.mapInArrow(_merge(fan, rounds, r), _BLOCKS if r < rounds else _GROUPS)
+    return runs
 
 
 def _digests(own: DataFrame) -> DataFrame:
