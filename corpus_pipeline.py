@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("substrings", substrings), ("packing", packing)]
 
-#: Learned rules, sketches and chunk boundaries have no SQL form; tests check each stage on hand-made rows.
+#: Learned rules, sketches and chunk boundaries have no SQL form; tests compare each stage with plain loops on a small table.
 ORACLE_SQL = None
 
 
