@@ -460,10 +460,16 @@ def fuzzy_tag_join(spark, d):
     return fuzzy.nearest_tags(tags, controlled)
 
 
-@query(f"WITH {_PENDING} SELECT count(DISTINCT relpath) AS listed, count(DISTINCT relpath) FILTER (scope = 'current') AS in_current, count(DISTINCT relpath) FILTER (mtime % 2 = 0) AS even FROM pend")
+@query(f"""WITH {_NOTES}, l AS (SELECT doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 13 = 0 AS due, len(string_split(body, ' ')) >= 200 AS long FROM notes WHERE doc_id % 7 <> 0)
+SELECT count(*) AS listed, count(*) FILTER (due) AS scanned, count(*) FILTER (due AND long) AS updated, count(*) FILTER (NOT due OR long) AS tracked, (SELECT count(*) FROM notes WHERE doc_id % 13 = 0) AS dirty_paths FROM l""")
 def pending_metrics(spark, d):
-    p = _pending(spark, d)
-    return p.agg(F.countDistinct("relpath").alias("listed"), F.countDistinct(F.when(F.col("scope") == "current", F.col("relpath"))).alias("in_current"), F.countDistinct(F.when(F.col("mtime") % 2 == 0, F.col("relpath"))).alias("even"))
+    n = src.notes(spark, d)
+    flags = F.startswith("relpath", F.lit("src0/")).alias("in_current"), F.lit(True).alias("in_all")
+    listed = n.where("doc_id % 7 <> 0").select("relpath", "mtime", *flags)
+    known = n.where("doc_id % 3 <> 0").select("relpath", F.when(F.col("doc_id") % 5 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")).alias("mtime"), *flags, F.sha1("body").alias("hash"))
+    dirty = n.where("doc_id % 13 = 0").select(F.col("relpath").alias("path"))
+    read = lambda due: due.join(n.select("relpath", F.sha1("body").alias("hash"), F.size(F.split("body", " ")).alias("words")), "relpath")
+    return P.refresh_metrics(P.refreshed(known, listed, dirty, read, least_words=200), listed, dirty)
 
 
 @query("""SELECT conv_id, turn, '[' || CASE WHEN turn % 2 = 0 THEN 'warn' ELSE 'error' END || '][T' || turn || '] ' || role || CASE WHEN turn % 3 = 0 THEN ' Guidance: retry' ELSE '' END || ' Context: conv=' || conv_id AS line FROM conversations""")

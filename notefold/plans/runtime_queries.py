@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notefold.functions import frontmatter as Y
+from notefold.functions import reports as REP
 from notefold.functions import runtime as R
 from notefold.functions import text as T
 from notefold.operators import fuzzy
@@ -149,12 +150,32 @@ def status_priority(spark, d):
     return src.load(spark, d, "conversations").select("conv_id", "turn", _status(F.col("conv_id") % 7, F.col("turn")).alias("status"))
 
 
-@query(f"""SELECT conv_id, turn, 'Running: ' || CASE WHEN conv_id % 7 = 0 THEN 'Yes' ELSE 'No' END || {NL} || 'State: ' || {_STATUS} || {NL} || 'Items: ' || CASE WHEN turn % 2 = 0 THEN 'None' ELSE role || ', b' END || CASE WHEN turn % 3 = 0 THEN {NL} || 'Last run: ' || turn ELSE '' END AS report FROM conversations""")
+@query(f"""WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 'None' ELSE role || ', b' END AS items, CASE WHEN conv_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS yes, conv_id % 2 = 0 AS even FROM conversations)
+SELECT conv_id, turn,
+    'Mode: ' || CASE WHEN even THEN 'interval' ELSE 'manual' END || {NL} || 'Internal scheduler enabled: ' || yes || {NL} || 'Interval: ' || greatest(5, turn) || ' minutes' || {NL} || 'Next run: ' || CASE WHEN even THEN CAST(conv_id AS VARCHAR) ELSE 'Not scheduled' END || {NL} || 'Last result: ' || role || {NL} || 'Active run: ' || yes || CASE WHEN turn % 3 = 0 THEN {NL} || 'Last run at: ' || turn ELSE '' END AS scheduler,
+    CASE WHEN turn % 3 = 0 THEN 'Pending scan unavailable: ' || role ELSE 'Current scope: ' || turn || ' pending' || {NL} || 'All scopes: ' || (turn + 1) || ' pending' || {NL} || 'Top current items: ' || items || {NL} || 'Top all items: None' || {NL} || 'Last scan: ' || conv_id || 'ms, listed 4, rescanned 3, updated 2' END AS pending,
+    'Configured: ' || yes || {NL} || 'Config: ' || CASE WHEN turn % 3 = 0 THEN 'Unavailable' ELSE role END || {NL} || 'Current scope: ' || items || {NL} || 'All scopes: None' || {NL} || 'do ' || role AS scopes,
+    'Preflight running: ' || yes || {NL} || 'Last preflight: ' || CASE WHEN turn % 3 = 0 THEN 'Not scheduled' ELSE CAST(turn AS VARCHAR) END || {NL} || CASE WHEN turn % 3 = 0 THEN 'No preflight result recorded yet.' ELSE 'Status: ' || CASE WHEN even THEN 'Ready' ELSE 'Not ready' END || {NL} || 'Summary: s' || turn || {NL} || '[ok] ' || role || ': m' || CASE WHEN even THEN {NL} || 'Guidance: g' ELSE '' END END || CASE WHEN turn % 2 = 0 THEN {NL} || 'Recent diagnostics:' || {NL} || '2' || {NL} || '3' || {NL} || '4' || {NL} || '5' || {NL} || '6' || {NL} || '7' ELSE '' END AS diagnostics,
+    CASE WHEN turn % 5 = 4 THEN 'no ' || role ELSE 'Runtime trust: ' || role || '. Runs: current a --x; all b. ' || CASE WHEN even THEN 'Scheduler: interval (next ' || conv_id || ').' ELSE 'Scheduler: manual.' END || ' ' || CASE WHEN turn % 3 = 0 THEN 'Pending unavailable: ' || role || '.' ELSE 'Pending current/all: ' || turn || '/' || (turn + 1) || '.' END || ' ' || CASE WHEN turn % 3 = 0 THEN 'Preflight: not run yet.' ELSE 'Preflight: ' || CASE WHEN even THEN 'ready' ELSE 'failed' END || ' (s' || turn || ').' END || ' ' || CASE WHEN even THEN 'Scope setup: ready (2/' || turn || ').' ELSE 'Scope setup: required. do ' || role END END AS notice
+FROM c""")
 def status_reports(spark, d):
-    k, turn = F.col("conv_id") % 7, F.col("turn")
-    items = F.when(turn % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("role"), F.lit("b")))
-    text = R.report(("Running", R.yes_no(k == 0)), ("State", _status(k, turn)), ("Items", R.listed(items)), ("Last run", F.when(turn % 3 == 0, turn)))
-    return src.load(spark, d, "conversations").select("conv_id", "turn", text.alias("report"))
+    k, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    even, third, none = k % 2 == 0, turn % 3 == 0, F.array().cast("array<string>")
+    items, do = F.when(turn % 2 == 0, none).otherwise(F.array(role, F.lit("b"))), F.concat(F.lit("do "), role)
+    mode = F.when(even, "interval").otherwise("manual")
+    summary = F.concat(F.lit("s"), turn.cast("string"))
+    checks = F.array(F.struct(role.alias("label"), F.lit("ok").alias("status"), F.lit("m").alias("message"), F.when(even, "g").otherwise("").alias("guidance")))
+    log = F.when(turn % 2 == 0, F.transform(F.sequence(F.lit(1), F.lit(7)), lambda x: x.cast("string"))).otherwise(none)
+    metrics = F.struct(k.alias("ms"), F.lit(4).alias("listed"), F.lit(3).alias("scanned"), F.lit(2).alias("updated"))
+    runs = F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("command")) for a, b in (("current", "a --x"), ("all", "b"))])
+    return src.load(spark, d, "conversations").select(
+        "conv_id", "turn",
+        REP.scheduler_report(mode, turn.cast("double"), k, role, even, F.when(third, turn)).alias("scheduler"),
+        REP.pending_report(~third, role, F.struct(turn.alias("total"), items.alias("items")), F.struct((turn + 1).alias("total"), none.alias("items")), metrics).alias("pending"),
+        REP.scope_report(even, F.when(~third, role), items, none, do).alias("scopes"),
+        REP.diagnostics_report(even, F.when(~third, turn), F.when(~third, F.struct(even.alias("ok"), summary.alias("summary"), checks.alias("checks"))), log).alias("diagnostics"),
+        REP.runtime_notice(F.when(turn % 5 == 4, F.concat(F.lit("no "), role)), role, runs, mode, k, F.struct((~third).alias("available"), role.alias("reason"), turn.alias("current"), (turn + 1).alias("every")), F.when(~third, F.struct(even.alias("ok"), summary.alias("summary"))), F.struct(even.alias("complete"), F.lit(2).alias("current"), turn.alias("every"), do.alias("guidance"))).alias("notice"),
+    )
 
 
 @query(f"WITH {_EVENTS} SELECT path, count(*) AS n FROM ev GROUP BY path")
