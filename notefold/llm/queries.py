@@ -82,6 +82,12 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.whitening import whitening_rows
+
+    return whitening_rows(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = r"""
 WITH t AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -146,5 +152,5 @@ WITH rows AS (
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_blocks FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_token_counts, op4_top_k, op6_bpe, op5_best_fit_packing, op7_substring_dedup, op8_warc, op9_quality, op10_near_dedup, op11_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_token_counts, op4_top_k, op6_bpe, op5_best_fit_packing, op7_substring_dedup, op8_warc, op9_quality, op10_near_dedup, op11_chat_formatting, op12_whitening)}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_top_k": OP4_SQL, "op8_warc": OP8_SQL, "op11_chat_formatting": OP11_SQL}
