@@ -88,6 +88,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notefold.llm.clustering import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = r"""
 WITH t AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -152,5 +158,28 @@ WITH rows AS (
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_blocks FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_token_counts, op4_top_k, op6_bpe, op5_best_fit_packing, op7_substring_dedup, op8_warc, op9_quality, op10_near_dedup, op11_chat_formatting, op12_whitening)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_top_k": OP4_SQL, "op8_warc": OP8_SQL, "op11_chat_formatting": OP11_SQL}
+def _op13_sql(rounds: int = 10) -> str:
+    """Rounds as a chain of tables: vectors and centroids a row a component."""
+    tables = ["""WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM kept
+), first AS (
+    SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster FROM kept WHERE vec_id IS NOT NULL QUALIFY cluster < 8
+), c0 AS MATERIALIZED (SELECT cluster, unnest(range(64)) AS i, unnest(v) AS x FROM first"""]
+    for k in range(rounds + 1):
+        tables.append(f"""d{k} AS (SELECT r, cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{k} c USING (i) GROUP BY r, cluster
+), a{k} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(cluster, d * 100 + cluster) AS cluster FROM d{k} GROUP BY r""")
+        if k < rounds:
+            tables.append(f"""m{k} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM v JOIN a{k} USING (r) GROUP BY cluster, i
+), c{k + 1} AS MATERIALIZED (SELECT cluster, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{k} LEFT JOIN m{k} USING (cluster, i)""")
+    tables.append(f"h AS (SELECT cluster, sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)")
+    return "\n), ".join(tables) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN h USING (cluster)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_token_counts, op4_top_k, op6_bpe, op5_best_fit_packing, op7_substring_dedup, op8_warc, op9_quality, op10_near_dedup, op11_chat_formatting, op12_whitening, op13_clustering)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_top_k": OP4_SQL, "op8_warc": OP8_SQL, "op11_chat_formatting": OP11_SQL, "op13_clustering": _op13_sql()}
