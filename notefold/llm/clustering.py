@@ -2,11 +2,11 @@
 
 1. Vectors become whole numbers, and go as blocks of rows to the shared folder
    once; every round reads the blocks.
-2. In a round centroids are sorted by length.  The least distance to a few of
-   them (a square root of their number, spread over the lengths, and the one of
-   a length like the vector's) is an upper bound u.  Only centroids whose length
-   is within u of the vector's, a run that two binary searches find, can be as
-   near; they are compared exactly, those on the boundary too, so ties go to the
+2. In a round centroids are sorted by length, and binary searches find a
+   vector's place among them and the run of those whose length is within u of
+   the vector's: no other can be as near, if u is the distance of one already
+   compared.  Comparing goes outwards from the place, so u and the run shrink
+   early.  It is exact, those on the boundary included, and ties go to the
    smallest number.
 3. A task sends a sum and a count for each centroid that it meets; what is
    merged does not grow with the vectors.  The driver holds the centroids.
@@ -15,7 +15,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,26 +73,28 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     own = np.sqrt((x.astype(float) ** 2).sum(1))
     best = np.full(len(x), np.iinfo(np.int64).max)
     label = np.full(len(x), len(centroids))
+    low, high = np.zeros(len(x), int), np.full(len(x), len(c))
     compared = 0
 
-    def compare(rows: np.ndarray, k: int) -> None:
+    def compare(rows: np.ndarray, k: np.ndarray) -> None:
+        """Compare rows with a centroid each, and narrow the annulus of those that come nearer."""
         nonlocal compared
         compared += len(rows)
         d = ((x[rows] - c[k]) ** 2).sum(1)
         better = (d < best[rows]) | ((d == best[rows]) & (order[k] < label[rows]))
-        best[rows[better]], label[rows[better]] = d[better], order[k]
-
-    probes = np.unique(np.linspace(0, len(c) - 1, math.isqrt(len(c) - 1) + 1).astype(int))
-    beside = np.clip(np.searchsorted(length, own), 0, len(c) - 1)  # of lengths like the vector's
-    every = np.arange(len(x))
-    for k in probes:
-        compare(every, k)
-    for k in np.setdiff1d(beside, probes):
-        compare(np.flatnonzero(beside == k), k)
-    u = np.sqrt(best.astype(float)) * (1 + SLACK) + SLACK * own + SLACK
-    low, high = np.searchsorted(length, own - u), np.searchsorted(length, own + u, "right")
-    for k in np.setdiff1d(np.arange(int(low.min(initial=0)), int(high.max(initial=0))), probes):
-        compare(np.flatnonzero((low <= k) & (k < high) & (k != beside)), k)
+        rows = rows[better]
+        best[rows], label[rows] = d[better], order[k[better]]
+        u = np.sqrt(best[rows].astype(float)) * (1 + SLACK) + SLACK * own[rows] + SLACK
+        low[rows], high[rows] = np.searchsorted(length, own[rows] - u), np.searchsorted(length, own[rows] + u, "right")
+
+    place = np.searchsorted(length, own)
+    for step in range(len(c)):  # from a vector's own length outwards
+        above, below = place + step, place - 1 - step
+        up, down = np.flatnonzero(above < high), np.flatnonzero(below >= low)
+        if not len(up) and not len(down):
+            break
+        compare(up, above[up])
+        compare(down[below[down] >= low[down]], below[down[below[down] >= low[down]]])
     return label, best, compared
 
 

@@ -64,9 +64,9 @@ def test_annulus_finds_what_all_comparisons_find():
         label, d, compared = nearest(x, c)
         full = ((x[:, None, :] - c[None]) ** 2).sum(2)
         assert (d == full.min(1)).all() and (label == full.argmin(1)).all()
-        assert compared < 0.85 * full.size  # far from all centroids
+        assert compared < 0.6 * full.size  # far from all centroids
         beside = c[rng.integers(0, 150, 3000)] + rng.integers(-1, 2, (3000, 5))
-        assert spread < 30 or nearest(beside, c)[2] < 0.4 * 3000 * 150
+        assert nearest(beside, c)[2] < 0.25 * 3000 * 150
     assert nearest(np.array([[3, 0], [-3, 0]]), np.array([[0, 3], [0, -3], [0, 3]]))[0].tolist() == [0, 0]
 
 
