@@ -16,7 +16,7 @@ LINK_CLASS = "mindmap-link is-"
 
 def strip(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++\z", "")  # a run within the text is read once
 
 
 def words(text: Column) -> Column:
@@ -64,7 +64,7 @@ def top_folder(path: Column) -> Column:
 
 
 def normalize_folder(path: Column) -> Column:
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+|/+$", "")
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/++|(?<!/)/++$", "")
 
 
 def in_folder(path: Column, folder: Column) -> Column:
@@ -73,7 +73,7 @@ def in_folder(path: Column, folder: Column) -> Column:
 
 def normalize_tag(tag: Column) -> Column:
     kept = F.regexp_replace(F.lower(strip(tag)), r"(?U)[^a-z0-9\s-]", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"(?U)\s+", "-"), "-+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"(?U)\s+", "-"), "-+", "-"), "^-|-$", "")
 
 
 def normalize_tags(tags: Column) -> Column:
@@ -86,8 +86,12 @@ def split_list_field(value: Column) -> Column:
 
 
 def keep_first_ignoring_case(items: Column) -> Column:
-    low = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    """Items that are not null, once each whatever their case, in order: sorted by name and place, the first of each name, back in order."""
+    named = F.array_sort(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x, i: F.struct(F.lower(x).alias("name"), i.alias("place"), x.alias("item"))))
+    # the sorted list is a variable of a function here, so it is made once, not for each item
+    firsts = F.transform(F.array(named), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["name"] != x["name"])))
+    back = F.array_sort(F.transform(F.flatten(firsts), lambda x: F.struct(x["place"].alias("place"), x["item"].alias("item"))))
+    return F.transform(back, lambda x: x["item"])
 
 
 def title_case(text: Column) -> Column:

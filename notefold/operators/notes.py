@@ -41,10 +41,10 @@ def upsert(index: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
 
 
 def mapped_tags(tagged: DataFrame, aliases: DataFrame) -> DataFrame:
-    """note, tags with aliases (alias, canonical) replaced and duplicates dropped, in order; aliases of any number."""
+    """note, tags with aliases (alias, canonical) replaced and duplicates dropped, in order; aliases of any number. A note without tags keeps none."""
     # Spark broadcasts aliases where their size allows, and joins by tag with split partitions where not
-    each = tagged.select("note", F.posexplode("tags").alias("i", "tag")).join(aliases, F.col("tag") == F.col("alias"), "left")
-    ordered = F.array_sort(F.collect_list(F.struct("i", F.coalesce("canonical", "tag").alias("t"))))
+    each = tagged.select("note", F.posexplode_outer("tags").alias("i", "tag")).join(aliases, F.col("tag") == F.col("alias"), "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("i", F.coalesce("canonical", "tag").alias("t")))))
     return each.groupBy("note").agg(F.array_distinct(F.transform(ordered, lambda e: e["t"])).alias("tags"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,87 +11,413 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notefold.functions.text import top_folder
+from notefold.plans.shared import kept
 
-#: Vectors in a block; a task holds two blocks and a block's scores (8 MB).
+#: Vectors in a block.
 BLOCK = 1024
+#: Candidate blocks and asking blocks that meet in one task: some 8 MB of either at 64 dimensions.
+STRIPE, GROUP = 16, 8
+#: Pivots, and the vectors that they are fitted on. Both only decide how much is skipped, never what is found.
+PIVOTS, SAMPLE = 256, 16_384
+#: Places that tasks know of; more blocks than that share places.
+PLACES = 1 << 18
+#: Bytes of candidates up to which they go to every task instead of being shuffled.
+SENT = 32 << 20
+#: What angles and scores to nine decimals may be off by.
+SLACK = 1e-7
+_ROWS = "path string, chunk int, floor double, cell int, angle double, u binary"
+_BLOCKS = "block long, cell int, low double, high double, n int, paths array<string>, chunks array<int>, floors binary, m binary"
+_NEAR = "note string, chunk int, path string, path_chunk int, score double"
+
+
+def _units(v: pa.ListArray) -> np.ndarray:
+    """Vectors scaled to length one, a row each; shorter ones are padded with zeros, and zeros stay."""
+    sizes = np.diff(v.offsets.to_numpy())
+    m = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    m[np.arange(m.shape[1]) < sizes[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _fitted_pivots(sample: np.ndarray, most: int, rounds: int = 6) -> np.ndarray:
+    """Directions that a sample of unit vectors gathers around."""
+    at = sample[np.linspace(0, len(sample) - 1, most).astype(int)]
+    for _ in range(rounds):
+        label = (sample @ at.T).argmax(1)
+        sums = np.zeros_like(at)
+        np.add.at(sums, label, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        at = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), at)
+    return at
+
+
+def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d = min(m.shape[1], pivots.shape[1])  # beyond it one of the two is zero
+    return np.arccos(np.clip(m[:, :d] @ pivots[:, :d].T, -1, 1))
+
+
+def _dealt(pivots: np.ndarray):
+    """Rows with the pivot that they are nearest to, and their angle to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = _units(b["v"])
+            angle = _angles(u, pivots)
+            cell = angle.argmin(1) if len(u) else np.zeros(0, int)
+            own = pa.array([row.tobytes() for row in u], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["path"], b["chunk"], b["floor"], pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(u)), cell]), own], names=["path", "chunk", "floor", "cell", "angle", "u"])
+
+    return run
 
 
 def _pack(size: int):
+    """Rows in order of cell and angle as blocks, none of two cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, serial = TaskContext.get().partitionId(), 0
-        for b in batches:
-            paths, chunks, v = b["path"].to_pylist(), b["chunk"].to_pylist(), b["v"].to_pylist()
-            for s in range(0, len(paths), size):
-                m = np.array(v[s : s + size], float)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | serial]), pa.array([paths[s : s + size]]), pa.array([chunks[s : s + size]], pa.list_(pa.int32())), pa.array([m.tobytes()])], names=["block", "paths", "chunks", "m"])
+        held: pa.Table | None = None
+
+        def blocks(t: pa.Table, over: bool):
+            nonlocal serial
+            cells = t["cell"].to_numpy()
+            while len(t):
+                end = min(size, int(np.searchsorted(cells, cells[0], "right")))
+                if end == len(t) and end < size and not over:
+                    break  # the cell may go on
+                own = t.slice(0, end).combine_chunks()
+                u = [np.frombuffer(x) for x in own["u"].to_pylist()]
+                m = np.zeros((end, max(map(len, u))))
+                for k, x in enumerate(u):
+                    m[k, : len(x)] = x
+                angle = own["angle"].to_numpy()
+                column = lambda c: own[c].combine_chunks()
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, end], pa.int32()), values.chunk(0) if isinstance(values, pa.ChunkedArray) else values)
+                floors = own["floor"].fill_null(-np.inf).to_numpy()
+                row = [pa.array([part << 32 | serial]), pa.array(cells[:1], pa.int32()), pa.array([angle.min()]), pa.array([angle.max()]), pa.array([end], pa.int32()), one(column("path")), one(column("chunk")), pa.array([floors.tobytes()]), pa.array([m.tobytes()])]
                 serial += 1
+                yield pa.RecordBatch.from_arrays(row, names=["block", "cell", "low", "high", "n", "paths", "chunks", "floors", "m"])
+                t, cells = t.slice(end), cells[end:]
+            return t
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = yield from blocks(pa.concat_tables([held, t]) if held is not None else t, False)
+        if held is not None:
+            yield from blocks(held, True)
 
     return run
 
 
-def _meet(k: int):
-    """The best of each row of a block among the blocks it meets in a run of rows; a new block, or the end, sends them on."""
+def _asking(rows: DataFrame) -> DataFrame:
+    floor = F.col("floor") if "floor" in rows.columns else F.lit(None).cast("double").alias("floor")
+    return rows.where("v is not null").select("path", "chunk", floor, F.col("v").cast("array<double>").alias("v"))
+
 
-    def best(pairs: pa.Table, row: np.ndarray, score: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        """Rows with a score of at least the k-th of their chunk; ties of the last place stay for the final ranking."""
-        order = np.lexsort((-score, row))
-        row, score = row[order], score[order]
-        start = np.searchsorted(row, row)
-        place = np.arange(len(row)) - start
-        last = np.minimum(start + k - 1, np.searchsorted(row, row, "right") - 1)
-        keep = (place < k) | (score >= score[last])
-        return pairs.take(pa.array(order[keep])), row[keep], score[keep]
+def _blocks(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["cell", "angle", F.xxhash64("path", "chunk")]  # copies of one vector are dealt by their names
+    return _asking(rows).mapInArrow(_dealt(pivots), _ROWS).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(size), _BLOCKS)
 
-    def send(q: dict, pairs: pa.Table, row: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-        pick = lambda x, kind: pa.array(x, kind).take(pa.array(row))
-        cols = [pick(q["paths"], pa.string()), pick(q["chunks"], pa.int32()), pairs["path"].combine_chunks(), pairs["path_chunk"].combine_chunks(), pa.array(score)]
-        return pa.RecordBatch.from_arrays(cols, names=["note", "chunk", "path", "path_chunk", "score"])
+
+def _matrices(m: bytes, n: int, other: bytes, other_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two blocks at the same width."""
+    a, b = np.frombuffer(m).reshape(n, -1), np.frombuffer(other).reshape(other_n, -1)
+    d = min(a.shape[1], b.shape[1])
+    return a[:, :d], b[:, :d]
+
+
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    return -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] >= k else np.full(len(score), -np.inf)
+
+
+def _needs(k: int, pivots: np.ndarray, places: dict[str, np.ndarray]):
+    """For each asking block: a first k-th score of its rows, from a block beside it, and the places that may hold as high a score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for b in batches:
-            for r in b.to_pylist():
-                if held and held[0]["block"] != r["block"]:
-                    yield send(*held)
-                    held = None
-                q, c = (np.frombuffer(r[x]).reshape(len(r[p]), -1) for x, p in (("m", "paths"), ("c_m", "c_paths")))
-                score = np.round(q @ c.T, 9)
-                kth = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
-                i, j = np.nonzero(score >= kth[:, None])
-                pairs = pa.table([pa.array(r["c_paths"], pa.string()).take(pa.array(j)), pa.array(r["c_chunks"], pa.int32()).take(pa.array(j))], names=["path", "path_chunk"])
-                row, own = i, score[i, j]
-                if held:
-                    pairs, row, own = pa.concat_tables([held[1], pairs]), np.concatenate([held[2], row]), np.concatenate([held[3], own])
-                held = (r, *best(pairs, row, own))
-        if held:
-            yield send(*held)
+            found = []
+            for r in b.select(["n", "floors", "m", "h_n", "h_m"]).to_pylist():
+                least = np.frombuffer(r["floors"])
+                if r["h_m"] is not None:
+                    q, c = _matrices(r["m"], r["n"], r["h_m"], r["h_n"])
+                    least = np.maximum(least, _kth(np.round(q @ c.T, 9), k))
+                # a vector at angles low to high from a pivot is at least this far from one at another angle
+                own = _angles(np.frombuffer(r["m"]).reshape(r["n"], -1), pivots)[:, places["cell"]]
+                gap = np.maximum(0, np.maximum(own - places["high"], places["low"] - own))
+                able = (np.cos(gap) + SLACK >= least[:, None]).any(0)
+                found.append((least.tobytes(), places["place"][able].tolist(), int(r["n"]) * int(places["n"][able].sum())))
+            least, place, pairs = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b["block"], pa.array(least, pa.binary()), pa.array(place, pa.list_(pa.int64())), pa.array(pairs, pa.int64())], names=["block", "least", "places", "pairs"])
 
     return run
 
 
-def knn_chunks(chunks: DataFrame, k: int = 40, block: int = BLOCK) -> DataFrame:
-    """note, chunk, path, path_chunk, score, rank: each chunk's k nearest of all chunks by cosine, itself and its siblings included.
+def _top(k: int, row: np.ndarray, at: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those with a score of at least the k-th of their row; ties of the last place stay for the final ranking."""
+    order = np.lexsort((-score, row))
+    row, at, score = row[order], at[order], score[order]
+    start = np.searchsorted(row, row)
+    last = np.minimum(start + k - 1, np.searchsorted(row, row, "right") - 1)
+    keep = (np.arange(len(row)) - start < k) | (score >= score[last])
+    return row[keep], at[keep], score[keep]
+
+
+def _best(k: int):
+    """The best of each asking row among the candidate blocks of a stripe."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = pa.schema([("note", pa.string()), ("chunk", pa.int32()), ("path", pa.string()), ("path_chunk", pa.int32()), ("score", pa.float64())])
+        if not len(left) or not len(right):
+            return kind.empty_table()
+        flat = lambda t, c: t[c].combine_chunks().flatten()
+        offset = np.r_[0, np.cumsum(left["n"].to_numpy())]
+        asked, out = np.r_[0, np.cumsum(right["n"].to_numpy())], []
+        for at, q in enumerate(right.select(["n", "m", "least", "places"]).to_pylist()):
+            least, wanted = np.frombuffer(q["least"]), set(q["places"])
+            held = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            for b in range(len(left)):
+                if left["place"][b].as_py() in wanted:
+                    x, y = _matrices(q["m"], q["n"], left["m"][b].as_buffer(), left["n"][b].as_py())
+                    score = np.round(x @ y.T, 9)
+                    i, j = np.nonzero(score >= least[:, None])
+                    held = _top(k, *(np.concatenate(p) for p in zip(held, (i, offset[b] + j, score[i, j]), strict=True)))
+            out.append((held[0] + asked[at], held[1], held[2]))
+        row, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        pick = lambda t, c, i: flat(t, c).take(pa.array(i))
+        return pa.table([pick(right, "paths", row), pick(right, "chunks", row), pick(left, "paths", at), pick(left, "chunks", at), pa.array(score)], schema=kind)
+
+    return run
+
+
+def _sent(have: DataFrame, asking: DataFrame, k: int, block: int, count: int) -> Found:
+    """Neighbours among few candidates, which go to every task."""
+    rows = have.toArrow()  # of a checked size
+    u = _units(rows["v"].combine_chunks())
+    spread = np.linspace(0, count - 1, min(SAMPLE, count)).astype(int)
+    pivots = _fitted_pivots(u[spread], min(PIVOTS, max(1, count // (2 * block))))
+    angle = _angles(u, pivots)
+    cell = angle.argmin(1)
+    angle = angle[np.arange(count), cell]
+    order = np.lexsort((angle, cell))
+    u, cell, angle, names = u[order], cell[order], angle[order], rows.select(["path", "chunk"]).take(pa.array(order)).combine_chunks()
+    starts = [int(s) for c in np.unique(cell) for s in range(int(np.searchsorted(cell, c)), int(np.searchsorted(cell, c, "right")), block)]
+    ends = [*starts[1:], count]
+    place = np.empty(count, np.int64)
+    place[sorted(range(count), key=list(zip(*names.to_pydict().values(), strict=True)).__getitem__)] = np.arange(count)
+    low, high = (np.array([angle[x] for x in at]) for at in (starts, [e - 1 for e in ends]))
+
+    def best(q: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Row, candidate and score of each row's best, and how many were compared."""
+        at = _angles(q, pivots)[:, cell[starts]]
+        bound = np.cos(np.maximum(0, np.maximum(at - high, low - at))) + SLACK
+        home, least, d = bound.argmax(1) if len(q) else np.zeros(0, int), floors.copy(), min(q.shape[1], u.shape[1])
+        held, compared = (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), 0
+        for first in (True, False):
+            for b, (s, e) in enumerate(zip(starts, ends, strict=True)):
+                own = np.flatnonzero((home == b) == first) if first else np.flatnonzero((home != b) & (bound[:, b] >= least))
+                if not len(own):
+                    continue
+                compared += len(own) * (e - s)
+                score = np.round(q[own, :d] @ u[s:e, :d].T, 9)
+                i, j = np.nonzero(score >= least[own, None])
+                held = _top(k, *(np.concatenate(p) for p in zip(held, (own[i], s + j, score[i, j]), strict=True)))
+                start = np.searchsorted(held[0], own)
+                full = np.searchsorted(held[0], own, "right") - start >= k
+                least[own[full]] = np.maximum(least[own[full]], held[2][start[full] + k - 1])
+        row, found, score = held
+        order = np.lexsort((place[found], -score, row))
+        row, found, score = row[order], found[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], found[keep], score[keep], compared
+
+    def asked(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+        for s in range(0, len(b), block):
+            part = b.slice(s, block)
+            yield part, best(_units(part["v"]), part["floor"].fill_null(-np.inf).to_numpy(zero_copy_only=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, (row, found, score, _) in asked(b):
+                i, j = pa.array(row), pa.array(found)
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.RecordBatch.from_arrays([part["path"].take(i), part["chunk"].take(i), names["path"].combine_chunks().take(j), names["chunk"].combine_chunks().take(j), pa.array(score), pa.array(rank, pa.int32())], names=["note", "chunk", "path", "path_chunk", "score", "rank"])
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x[3] for _, x in asked(b))]), pa.array([len(b) * count])], names=["pairs", "possible"])
 
-    Blocks of chunks meet in pairs, scores to nine decimals, ties by path and
-    chunk. A task keeps the best of one block while it meets the blocks of a
-    partition, so what is ranked at the end is k rows a chunk and partition.
-    Nothing is gathered in one task, whatever the number of chunks.
+    parts = max(1, int(have.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _asking(asking).repartition(parts, "path", "chunk")
+
+    def counted() -> tuple[int, int]:
+        r = dealt.mapInArrow(count_pairs, "pairs long, possible long").agg(F.sum("pairs"), F.sum("possible")).first()
+        return r[0] or 0, r[1] or 0
+
+    return Found(dealt.mapInArrow(run, _NEAR + ", rank int"), counted)
+
+
+@dataclass(frozen=True)
+class Found:
+    """Neighbours, and how many of all pairs of vectors are compared for them (counted when asked for)."""
+
+    rows: DataFrame
+    counted: Callable[[], tuple[int, int]] = lambda: (0, 0)
+
+    @property
+    def compared(self) -> int:
+        return self.counted()[0]
+
+    @property
+    def possible(self) -> int:
+        return self.counted()[1]
+
+
+def nearest_chunks(chunks: DataFrame, k: int = 40, asking: DataFrame | None = None, block: int = BLOCK) -> Found:
+    """note, chunk, path, path_chunk, score, rank: the k nearest of all chunks (path, chunk, v) by cosine of each chunk that asks, itself and its siblings included.
+
+    All chunks ask where no `asking` (path, chunk, v) is given; a column `floor`
+    of it names a score under which nothing is wanted, null for none.  Scores
+    have nine decimals, ties go by path and chunk.  A null vector takes no part.
+
+    Candidates of at most SENT bytes (checked) go to every task, in blocks like
+    those below, and asking rows meet the blocks that they need there.
+
+    1. Pivots are fitted on a bounded sample.  Chunks go by pivot and angle to it
+       into blocks that hold a range of angles, however many are alike.
+    2. The k-th score of a chunk in a block beside it is a first bound.  By the
+       triangle inequality of angles, a range of angles around a pivot can only
+       hold scores up to the cosine of the gap to it; ranges that reach no
+       asking row's bound are skipped, for whole blocks.
+    3. Groups of asking blocks meet stripes of the candidate blocks that they
+       need.  Vectors without structure need all; what is found is the same.
     """
-    dealt = chunks.repartition(max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path", "chunk")
-    packed = dealt.mapInArrow(_pack(block), "block long, paths array<string>, chunks array<int>, m binary")
-    other = packed.select(F.col("paths").alias("c_paths"), F.col("chunks").alias("c_chunks"), F.col("m").alias("c_m"))
-    best = packed.join(other, F.lit(True)).mapInArrow(_meet(k), "note string, chunk int, path string, path_chunk int, score double")
-    place = F.row_number().over(Window.partitionBy("note", "chunk").orderBy(F.col("score").desc(), "path", "path_chunk"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k)
+    spark = chunks.sparkSession
+    have = chunks.where("v is not null").select("path", "chunk", F.col("v").cast("array<double>").alias("v"))
+    count, numbers, letters = have.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0)), F.coalesce(F.sum(F.octet_length("path")), F.lit(0))).first()
+    if not count:
+        return Found(spark.createDataFrame([], _NEAR + ", rank int"))
+    if 8 * numbers + 2 * letters + 64 * count <= SENT:
+        return _sent(have, chunks if asking is None else asking, k, block, count)
+    sample = have.orderBy(F.xxhash64("path", "chunk")).limit(SAMPLE).select("v").toArrow()  # a bounded number
+    units = _units(sample["v"].combine_chunks())
+    pivots = _fitted_pivots(units, min(PIVOTS, len(units), max(1, count // (2 * block))))
+    have = kept(_blocks(have, pivots, block), "blocks")
+    share = max(1, -(-count // (block * PLACES)))
+    place = ((F.shiftright("block", 32) * (1 << 31)) + F.floor((F.col("block") % (1 << 32)) / share)).cast("long").alias("place")
+    have = have.withColumn("place", place)
+    known = have.select("place", "cell", "low", "high", "n", F.col("block").alias("one"))
+    if share > 1:
+        known = known.groupBy("place", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.min("one").alias("one"))
+    listed = known.toArrow().sort_by([("place", "ascending"), ("cell", "ascending")])  # PLACES rows, one a cell border, and one a task
+    places = {c: listed[c].to_numpy() for c in listed.column_names}
+    asked = have.drop("place") if asking is None else kept(_blocks(asking, pivots, block), "asking")
+    if asking is None:
+        first = asked.withColumns({"h_n": F.col("n"), "h_m": F.col("m")})
+    else:
+        home = have.select(F.col("block").alias("h"), F.col("n").alias("h_n"), F.col("m").alias("h_m"))
+        first = asked.mapInArrow(_beside(places), _BLOCKS + ", h long").join(home, "h", "left")
+    firsts = kept(first.mapInArrow(_needs(k, pivots, places), "block long, least binary, places array<long>, pairs long"), "needs")
+    stripes = max(1, -(-len(listed) // STRIPE))
+    group = F.floor(F.col("block") / GROUP).alias("group")  # blocks of a partition are neighbours
+    wants = firsts.select("block", group, "least", F.explode("places").alias("place")).withColumn("stripe", F.pmod(F.xxhash64("place"), F.lit(stripes)))
+    left = wants.select("group", "stripe", "place").distinct().join(have.select("place", "n", "paths", "chunks", "m"), "place")
+    right = wants.groupBy("block", "group", "stripe").agg(F.first("least").alias("least"), F.collect_list("place").alias("places")).join(asked.select("block", "n", "paths", "chunks", "m"), "block")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own: both sides come from the same blocks
+    best = left.groupBy("group", "stripe").cogroup(right.groupBy("group", "stripe")).applyInArrow(_best(k), _NEAR)
+    order = F.row_number().over(Window.partitionBy("note", "chunk").orderBy(F.col("score").desc(), "path", "path_chunk"))
+    def counted() -> tuple[int, int]:
+        pairs, n = firsts.join(asked.select("block", "n"), "block").agg(F.sum("pairs"), F.sum("n")).first()
+        return pairs or 0, count * (n or 0)
+
+    return Found(best.withColumn("rank", order).where(F.col("rank") <= k), counted)
+
+
+def _beside(places: dict[str, np.ndarray]):
+    """Asking blocks with the block whose angles are most like theirs, of their cell if it has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = (places["low"] + places["high"]) / 2
+        for b in batches:
+            far = [np.abs(middle - (lo + hi) / 2) + 10 * (places["cell"] != c) for c, lo, hi in zip(*(b[x].to_pylist() for x in ("cell", "low", "high")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(places["one"][f.argmin()]) for f in far], pa.int64())], names=[*b.schema.names, "h"])
+
+    return run
+
+
+def knn_chunks(chunks: DataFrame, k: int = 40, asking: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """The rows of nearest_chunks."""
+    return nearest_chunks(chunks, k, asking, block).rows
+
+
+def renewed_neighbours(known: DataFrame, index: DataFrame, changed: DataFrame, k: int = 40, spare: int = 40, block: int = BLOCK) -> Found:
+    """The neighbours of every chunk of index (path, chunk, v), from those known before some notes changed; k + spare of each, or as many as are sure.
+
+    known: what this or nearest_chunks gave for the index as it was, ranked;
+    changed: paths of notes that are new, changed or gone.  Each list holds the
+    first of all chunks in order, so it stays right without the rows of notes
+    that changed, and new chunks enter it where they come before its last row.
+    Only chunks of changed notes, and those whose list has become shorter than
+    k, ask all chunks again; the others meet the new chunks alone.
+    """
+    depth = k + spare
+    paths = changed.select("path").distinct()
+    whole = known.select("note", "chunk").distinct().count() <= depth  # then lists hold every chunk
+    old = known.join(paths.withColumnRenamed("path", "note"), "note", "left_anti").join(paths, "path", "left_anti").select("note", "chunk", "path", "path_chunk", "score", "rank")
+    last = old.groupBy("note", "chunk").agg(F.max_by(F.struct("score", "path", "path_chunk"), "rank").alias("last"))
+    fresh, stay = index.join(paths, "path", "left_semi"), index.join(paths, "path", "left_anti")
+    bound = F.lit(None).cast("double") if whole else F.col("last.score")
+    asking = stay.join(last.withColumnRenamed("note", "path"), ["path", "chunk"]).select("path", "chunk", "v", bound.alias("floor"))
+    met = nearest_chunks(fresh, depth, asking, block)
+    before = F.lit(whole) | (F.col("score") > F.col("last.score")) | ((F.col("score") == F.col("last.score")) & (F.struct("path", "path_chunk") < F.struct("last.path", "last.path_chunk")))
+    entering = met.rows.join(last, ["note", "chunk"]).where(before).select("note", "chunk", "path", "path_chunk", "score")
+    order = F.row_number().over(Window.partitionBy("note", "chunk").orderBy(F.col("score").desc(), "path", "path_chunk"))
+    lists = kept(old.drop("rank").unionByName(entering).withColumn("rank", order).where(F.col("rank") <= depth), "lists")
+    enough = lists.where(F.col("rank") == min(k, index.where("v is not null").count())).select(F.col("note").alias("path"), "chunk")
+    again = kept(index.join(enough, ["path", "chunk"], "left_anti"), "again")
+    full = nearest_chunks(index, depth, again, block)
+    out = lists.join(again.select(F.col("path").alias("note"), "chunk"), ["note", "chunk"], "left_anti").unionByName(full.rows)
+    return Found(out, lambda: (met.compared + full.compared, index.where("v is not null").count() ** 2))
+
+
+def _partial_sums(most: int):
+    """Sums by path of what a task has read, sent on when they are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
+
+        def row() -> pa.RecordBatch:
+            n, total = zip(*sums.values(), strict=True) if sums else ((), ())
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(n, pa.int64()), pa.array([t.tolist() for t in total], pa.list_(pa.float64()))], names=["path", "n", "total"])
+            sums.clear()
+            return out
+
+        for b in batches:
+            values, ends = b["v"].flatten().to_numpy(zero_copy_only=False), b["v"].offsets.to_numpy()
+            ends = ends - ends[0]
+            for k, path in enumerate(b["path"].to_pylist()):
+                v = values[ends[k] : ends[k + 1]]
+                if path in sums:
+                    sums[path][0] += 1
+                    sums[path][1] = sums[path][1] + v
+                else:
+                    sums[path] = [1, v]
+            if len(sums) >= most:
+                yield row()
+        yield row()
+
+    return run
+
+
+def _means(rows: pa.Table) -> pa.Table:
+    total, n = np.sum(rows["total"].to_pylist(), axis=0), sum(rows["n"].to_pylist())
+    return pa.table([rows["path"].slice(0, 1), pa.array([(total / n).tolist()], pa.list_(pa.float64()))], names=["path", "v"])
 
 
 def mean_vectors(chunks: DataFrame) -> DataFrame:
-    """path, v: the mean of each note's chunk vectors, not scaled again."""
-    parts = chunks.select("path", F.posexplode("v").alias("i", "x")).groupBy("path", "i").agg(F.avg("x").alias("x"))
-    return parts.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
+    """path, v: the mean of each note's chunk vectors, not scaled again. Tasks add up what they read, so one shuffle moves a vector a note and task."""
+    own = chunks.where("v is not null").select("path", F.col("v").cast("array<double>").alias("v"))
+    return own.mapInArrow(_partial_sums(10_000), "path string, n long, total array<double>").groupBy("path").applyInArrow(_means, "path string, v array<double>")
 
 
 def candidates(near: DataFrame, least: float) -> DataFrame:

@@ -27,6 +27,8 @@ from notefold.sources.notes import read_folder
 
 INDEX = "path string, chunk int, v array<double>"
 STATE = "relpath string, hash string"
+#: Refused lines of a preview that a result names; the log in the store has all.
+SHOWN = 1000
 
 
 def _folder(spark: SparkSession, path: str):
@@ -109,7 +111,12 @@ def run(
         if lines.isEmpty():
             return Result({"preview": 0}, ["PREVIEW_EMPTY"])
         plan, codes = preview_plan(notes, lines, root)
-        bad = [f"[skip] {r.code}: {r.path or '<missing>'}" for r in codes.where("code <> 'OK'").orderBy("seq").limit(1000).collect()]
+        refused = codes.where("code <> 'OK'")
+        shown = refused.orderBy("seq").limit(SHOWN).collect()
+        bad = [f"[skip] {r.code}: {r.path or '<missing>'}" for r in shown]
+        if len(shown) == SHOWN and (more := refused.count() - SHOWN):  # all of them are in the log's table
+            bad.append(f"[skip] {more} more refused lines")
+        refused.select(F.concat(F.lit("[skip] "), "code", F.lit(": "), F.coalesce("path", F.lit("<missing>"))).alias("value")).write.mode("append").text(f"{store}/log")
         plan = kept(plan, "plan")
         done = kept(W.apply_writes(plan, root), "written").count()
         save(N.upsert(load(spark, f"{store}/state", STATE), kept(W.state_after(plan.where("new_text is not null"), headings), "state"), "relpath"), f"{store}/state")

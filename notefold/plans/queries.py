@@ -167,6 +167,21 @@ def knn_chunks(spark, d):
     return S.knn_chunks(src.chunk_vectors(spark, d)).select("note", "chunk", "path", "path_chunk", F.round("score", 6).alias("score"))
 
 
+_RENEWED = """kept AS (SELECT path, chunk, CASE WHEN vec_id // 4 % 50 = 7 THEN list_reverse(v) ELSE v END AS v FROM (SELECT vec_id, 'f' || ((vec_id // 4) % 10) || '/n' || (vec_id // 4) AS path, CAST(vec_id % 4 AS INTEGER) AS chunk, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) WHERE vec_id // 4 % 50 <> 13)"""
+
+
+@query(f"""WITH {_RENEWED} SELECT q.path AS note, q.chunk, c.path, c.chunk AS path_chunk, round(round(list_cosine_similarity(q.v, c.v), 9), 6) AS score FROM kept q, kept c
+QUALIFY row_number() OVER (PARTITION BY q.path, q.chunk ORDER BY round(list_cosine_similarity(q.v, c.v), 9) DESC, c.path, c.chunk) <= 20""")
+def renewed_neighbours(spark, d):
+    # lists of the whole table, renewed after one note in fifty has changed and another is gone
+    before = src.chunk_vectors(spark, d)
+    number = F.regexp_extract("path", "([0-9]+)$", 1).cast("long") % 50
+    after = before.where(number != 13).withColumn("v", F.when(number == 7, F.reverse("v")).otherwise(F.col("v")))
+    changed = before.where(number.isin(7, 13)).select("path").distinct()
+    found = S.renewed_neighbours(S.knn_chunks(before, 40), after, changed, k=20, spare=20)
+    return found.rows.where("rank <= 20").select("note", "chunk", "path", "path_chunk", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {_CHUNKS}, e AS (SELECT path, unnest(v) AS x, unnest(range(len(v))) AS i FROM chunks), m AS (SELECT path, i, avg(x) AS x FROM e GROUP BY path, i), n AS (SELECT path, list(x ORDER BY i) AS v FROM m GROUP BY path),
 near AS (SELECT q.path AS note, c.path, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM n q, n c QUALIFY row_number() OVER (PARTITION BY q.path ORDER BY round(list_cosine_similarity(q.v, c.v), 9) DESC, c.path) <= 10) SELECT note, path, score FROM near WHERE note <> path""")
 def knn_notes(spark, d):
@@ -235,10 +250,11 @@ def normalize_tags(spark, d):
     return _tags(spark, d).select("note", F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"WITH {_TAGS}, x AS (SELECT note, i, CASE WHEN tag = 'promo-brushed-tin' THEN 'promotion' WHEN tag = 'brand13' THEN 'brand' ELSE tag END AS tag FROM once), y AS (SELECT note, tag, min(i) AS i FROM x GROUP BY ALL) SELECT note, string_agg(tag, ',' ORDER BY i) AS tags FROM y GROUP BY note")
+@query(f"WITH {_TAGS}, x AS (SELECT note, i, CASE WHEN tag = 'promo-brushed-tin' THEN 'promotion' WHEN tag = 'brand13' THEN 'brand' ELSE tag END AS tag FROM once WHERE note % 9 <> 0), y AS (SELECT note, tag, min(i) AS i FROM x GROUP BY ALL), z AS (SELECT note, string_agg(tag, ',' ORDER BY i) AS tags FROM y GROUP BY note) SELECT note, coalesce(z.tags, '') AS tags FROM raw LEFT JOIN z USING (note)")
 def alias_map(spark, d):
     aliases = spark.createDataFrame([("promo-brushed-tin", "promotion"), ("brand13", "brand")], "alias string, canonical string")
-    return N.mapped_tags(_tags(spark, d), aliases).select("note", F.array_join("tags", ",").alias("tags"))
+    own = F.when(F.col("note") % 18 == 0, F.lit(None)).when(F.col("note") % 9 == 0, F.array().cast("array<string>")).otherwise(F.col("tags"))  # some notes have none
+    return N.mapped_tags(_tags(spark, d).select("note", own.alias("tags")), aliases).select("note", F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"WITH {_TAGS} SELECT tag, count(*) AS n FROM once GROUP BY tag")

@@ -61,13 +61,17 @@ def index_notes(notes: DataFrame, state: DataFrame, index: DataFrame, client: Cl
     return new_index, new_state
 
 
-def relate(index: DataFrame, s: Settings = Settings(), allowed: DataFrame | None = None) -> DataFrame:
-    """note, links (path, kind) in order, from chunk vectors or from their means; only to allowed notes (path), if given."""
+def relate(index: DataFrame, s: Settings = Settings(), allowed: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """note, links (path, kind) in order, from chunk vectors or from their means; only to allowed notes (path), and only of the notes `only` (path) names, if given.
+
+    Only those notes' vectors ask for neighbours.
+    """
+    own = S.mean_vectors(index).withColumn("chunk", F.lit(0)) if s.by_notes else index
+    asking = own.join(only, "path", "left_semi") if only is not None else None
     if s.by_notes:
-        near = S.knn_chunks(S.mean_vectors(index).withColumn("chunk", F.lit(0)), max(10, s.related_limit + 1)).where(F.col("score") >= s.min_score)
-        ranked = S.candidates(near, 0)
+        ranked = S.candidates(S.knn_chunks(own, max(10, s.related_limit + 1), asking).where(F.col("score") >= s.min_score), 0)
     else:
-        ranked = S.candidates(S.knn_chunks(index, s.candidate_limit), s.min_score)
+        ranked = S.candidates(S.knn_chunks(own, s.candidate_limit, asking), s.min_score)
     if allowed is not None:
         ranked = S.among(ranked, allowed)
     chosen = S.select_links(ranked, s.related_limit, s.overreach, s.creative, s.creative_low, s.creative_high)
@@ -81,7 +85,7 @@ def tag_notes(notes: DataFrame, client: Client, aliases: DataFrame | None = None
     said = kept(said, "said").where("error is null")
     tagged = said.select(F.col("relpath").alias("note"), T.normalize_tags(F.col("tags")).alias("tags"))
     if aliases is not None:
-        tagged = tagged.select("note").join(N.mapped_tags(tagged, aliases), "note", "left").select("note", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+        tagged = N.mapped_tags(tagged, aliases)
     mapped = fuzzy.controlled_tags(tagged, s.controlled, s.allow_free_tags, s.min_tag_length, s.tag_max_words)
     capped = mapped.select("note", F.slice("tags", 1, s.tag_limit).alias("tags"))
     often = N.frequent_tags(capped, s.min_tag_frequency, s.tag_frequency_fallback)
@@ -96,7 +100,7 @@ def plan_writes(notes: DataFrame, changed: DataFrame, index: DataFrame, client:
     """
     work = notes if s.refresh_all else notes.join(changed.select("relpath"), "relpath", "left_semi")
     tagged = tag_notes(work, client, aliases, s)
-    links = relate(index, s, allowed).withColumnRenamed("note", "relpath")
+    links = relate(index, s, allowed, work.select(F.col("relpath").alias("path"))).withColumnRenamed("note", "relpath")
     none = F.array().cast("array<struct<path:string,kind:string>>")
     both = work.select("relpath", "text").join(tagged, "relpath").join(links, "relpath", "left").withColumn("links", F.coalesce("links", none))
     both = kept(both.withColumn("related", F.transform("links", lambda x: x["path"])), "plan")

@@ -169,3 +169,44 @@ def test_concepts(spark):
     get = lambda **how: df.select(T.normalize_concepts(F.col("c"), **how)).first()[0]
     assert get(case="title") == ["It'S E-Mail", "Été X"] and get() == ["it's e-mail", "été x"] and get(case="keep", max_words=0) == ["it's e-mail", "a b c d e", "été x"]
     assert get(limit=1) == ["it's e-mail"]
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    """Runs of blanks, dashes and slashes inside a text are read once, and so are lists."""
+    import time
+
+    from notefold.functions import text as T
+
+    def took(n):
+        row = spark.createDataFrame([("a" + " " * n + "b", "x" + "-" * n + "y", "d" + "/" * n + "e", [f"Item{k}" for k in range(n // 10)])], "t string, g string, p string, l array<string>")
+        start = time.perf_counter()
+        (r,) = row.select(T.strip(F.col("t")).alias("t"), T.normalize_tag(F.col("g")).alias("g"), T.normalize_folder(F.col("p")).alias("p"), F.size(T.keep_first_ignoring_case(F.col("l"))).alias("n")).collect()
+        assert (len(r.t), r.g, len(r.p), r.n) == (n + 2, "x-y", n + 2, n // 10)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(200_000) < 8
+
+
+def test_items_once_whatever_their_case(spark):
+    from notefold.functions import text as T
+
+    rows = [(["b", "A", "a", None, "B", "c", "É", "é", "b"],), ([],), (None,), ([None],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "l array<string>").select(T.keep_first_ignoring_case(F.col("l"))).collect()]
+    assert got == [["b", "A", "c", "É"], [], None, []]
+
+
+def test_strip_leaves_what_is_inside(spark):
+    from notefold.functions import text as T
+
+    texts = [" a  b \n", "  x\n\n", "", " \t\n", "a", "\na\n \nb\r\n", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip(F.col("t"))).collect()]
+    assert got == [t if t is None else t.strip() for t in texts]
+
+
+def test_notes_without_tags_stay(spark):
+    from notefold.operators.notes import mapped_tags
+
+    tagged = spark.createDataFrame([(1, []), (2, None), (3, ["x", "y", "z"]), (4, [None, "y"])], "note long, tags array<string>")
+    aliases = spark.createDataFrame([("y", "x")], "alias string, canonical string")
+    assert {r.note: r.tags for r in mapped_tags(tagged, aliases).collect()} == {1: [], 2: [], 3: ["x", "z"], 4: ["x"]}
