@@ -83,6 +83,8 @@ def _gram(dim: int):
         g = np.zeros((dim, dim))
         for b in batches:
             for d, data in zip(b["dim"].to_pylist(), b["data"].to_pylist(), strict=True):
+                if not d:
+                    continue  # empty vectors only
                 m = np.frombuffer(data, np.int64).reshape(-1, d).astype(float)
                 g[:d, :d] += m.T @ m
         at = np.arange(dim * dim)
@@ -96,7 +98,7 @@ def _best(k: int, turn: np.ndarray, head: int):
 
     def rotated(ids: bytes, data: bytes, d: int) -> tuple[np.ndarray, ...]:
         m = np.zeros((len(ids) // 8, dim), np.int64)
-        m[:, :d] = np.frombuffer(data, np.int64).reshape(-1, d)
+        m[:, :d] = np.frombuffer(data, np.int64).reshape(len(m), d)
         r = m @ turn
         return np.frombuffer(ids, np.int64), m, r[:, :head], np.sqrt((r[:, head:] ** 2).sum(1)), np.sqrt((r**2).sum(1))
 
@@ -137,7 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     is_query is a condition on vec_id.  Ties go to the smaller vec_id.  Rows
     with a null id, a null vector, or a null or non-finite component take no
-    part.  A shorter vector counts as padded with zeros.  Rows that repeat an id are
+    part.  A shorter vector counts as padded with zeros, and an empty one as zeros only.  Rows that repeat an id are
     candidates each (of equal ids any order), and queries as one; a row is never matched
     with its own id.  Scores are 64-bit integers.  Fewer candidates than k give
     all of them; without queries or candidates the result is empty.  Other
