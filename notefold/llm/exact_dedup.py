@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from notefold.llm.common import SPACE, cut, lean, parallelism, texts, with_rows
 
-#: Stands for a null id inside runs; larger than any id in use.
+#: Stands for a null id inside runs. It may be an id too: an entry says beside it whether any of its rows has one.
 NO_ID = (1 << 63) - 1
-#: An entry: digest, length and check hash (its key), then smallest id and count, all big-endian.
-KEY, TAIL = 48, ">qq"
+#: An entry: digest, length and check hash (its key), then smallest id, whether that is an id, and count, all big-endian.
+KEY, TAIL = 48, ">qqq"
 ENTRY = KEY + struct.calcsize(TAIL)
 #: Entries of a run at most (32 MB), and of a block of one (128 KB).
 RUN, BLOCK = 1 << 19, 1 << 11
@@ -46,31 +46,31 @@ _SCHEMA = pa.schema([("node", pa.int32()), ("head", pa.binary()), ("entries", pa
 _GROUPS = "sha binary, len long, chk long, min_id long, n long"
 
 
-def sorted_run(sha: pa.Array, length: np.ndarray, chk: np.ndarray, ids: np.ndarray) -> bytes:
-    """The entries of some rows in the order of their keys, equal keys merged."""
+def sorted_run(sha: pa.Array, length: np.ndarray, chk: np.ndarray, ids: np.ndarray, named: np.ndarray | None = None) -> bytes:
+    """The entries of some rows in the order of their keys, equal keys merged; rows that are not named have NO_ID for an id."""
     own = np.empty((len(ids), 6), np.uint64)
     own[:, :4] = np.frombuffer(b"".join(sha.to_pylist()), ">u8").reshape(-1, 4)
     own[:, 4], own[:, 5] = length.astype(np.uint64), chk.view(np.uint64)
     order = np.lexsort(own.T[::-1])
-    own, ids = own[order], ids[order]
+    own, ids, named = own[order], ids[order], (np.ones(len(ids), bool) if named is None else named)[order]
     new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(1)])
     least = np.minimum.reduceat(ids, new).view(np.uint64)
-    return np.column_stack([own[new], least, np.diff(np.r_[new, len(ids)]).astype(np.uint64)]).astype(">u8").tobytes()
+    return np.column_stack([own[new], least, np.maximum.reduceat(named.astype(np.uint64), new), np.diff(np.r_[new, len(ids)]).astype(np.uint64)]).astype(">u8").tobytes()
 
 
-def merged_heads(blocks: Iterable[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, int, int]]:
-    """(key, smallest id, count) in the order of keys, from the blocks (first key, entries) of any number of runs in the order of first keys."""
-    heads, held, least, n = [], None, 0, 0
+def merged_heads(blocks: Iterable[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, int | None, int]]:
+    """(key, smallest id or None without any, count) in the order of keys, from the blocks (first key, entries) of any number of runs in the order of first keys."""
+    heads, held, least, named, n = [], None, 0, 0, 0
     for serial, (first, block) in enumerate(itertools.chain(blocks, [(None, b"")])):
         while heads and (first is None or heads[0][0] < first):
             key, of, own, at = heads[0]
-            own_id, own_n = struct.unpack_from(TAIL, own, at + KEY)
+            own_id, own_named, own_n = struct.unpack_from(TAIL, own, at + KEY)
             if key == held:
-                least, n = min(least, own_id), n + own_n
+                least, named, n = min(least, own_id), named | own_named, n + own_n
             else:
                 if held is not None:
-                    yield held, least, n
-                held, least, n = key, own_id, own_n
+                    yield held, least if named else None, n
+                held, least, named, n = key, own_id, own_named, own_n
             at += ENTRY
             if at < len(own):
                 heapq.heapreplace(heads, (own[at : at + KEY], of, own, at))
@@ -79,7 +79,7 @@ def merged_heads(blocks: Iterable[tuple[bytes, bytes]]) -> Iterator[tuple[bytes,
         if first is not None:
             heapq.heappush(heads, (first, serial, block, 0))
     if held is not None:
-        yield held, least, n
+        yield held, least if named else None, n
 
 
 def _blocks(entries: Iterable[bytes], node: int, fan: int, rounds: int, r: int) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _runs(fan: int, rounds: int):
 
         def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            entries = sorted_run(t["sha"], t["len"].to_numpy(), t["chk"].to_numpy(), t["doc_id"].fill_null(NO_ID).to_numpy())
+            entries = sorted_run(t["sha"], t["len"].to_numpy(), t["chk"].to_numpy(), t["doc_id"].fill_null(NO_ID).to_numpy(), t["doc_id"].is_valid().to_numpy())
             return _blocks((entries[k : k + ENTRY] for k in range(0, len(entries), ENTRY)), me, fan, rounds, 0)
 
         held, rows = [], 0
@@ -137,14 +137,14 @@ def _merge(fan: int, rounds: int, r: int):
         for node, own in itertools.groupby(rows, lambda x: x[0]):
             merged = merged_heads(x[1:] for x in own)
             if r < rounds:
-                yield from _blocks((key + struct.pack(TAIL, least, n) for key, least, n in merged), node, fan, rounds, r)
+                yield from _blocks((key + struct.pack(TAIL, NO_ID if least is None else least, least is not None, n) for key, least, n in merged), node, fan, rounds, r)
             else:
                 yield from map(_groups, itertools.batched(merged, 4 * BLOCK))
 
     return merge
 
 
-def _groups(part: tuple[tuple[bytes, int, int], ...]) -> pa.RecordBatch:
+def _groups(part: tuple[tuple[bytes, int | None, int], ...]) -> pa.RecordBatch:
     keys, least, n = zip(*part, strict=True)
     more = np.frombuffer(b"".join(k[32:] for k in keys), ">i8").reshape(-1, 2).astype(np.int64)
     cols = [pa.array([k[:32] for k in keys], pa.binary()), *(pa.array(x, pa.int64()) for x in (more[:, 0], more[:, 1], least, n))]
@@ -182,7 +182,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = cut(_digests(texts(docs, id_col, text_col)), "digests")
     groups = merged_runs(slim).where("n > 1")
     out = slim.join(groups, ["sha", "len", "chk"], "left")
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).when(F.col("min_id") != NO_ID, F.col("min_id"))
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("min_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -196,7 +196,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows, row = with_rows(docs)
     slim = cut(_digests(texts(rows, id_col, text_col, F.col(row).alias("__row"))), "digests")
     groups = merged_runs(slim.drop("__row")).where("n > 1").drop("n")
-    held = cut(slim.join(groups, ["sha", "len", "chk"]).select("__row", "sha", "len", "chk", (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("min_id")).alias("least")), "held")
+    held = cut(slim.join(groups, ["sha", "len", "chk"]).select("__row", "sha", "len", "chk", F.col("doc_id").eqNullSafe(F.col("min_id")).alias("least")), "held")
     stay = held.where("least").groupBy("sha", "len", "chk").agg(F.min("__row").alias("__row"))
     gone = cut(held.select("__row").join(stay.select("__row"), "__row", "left_anti").withColumnRenamed("__row", row), "gone")
     return rows.join(gone, row, "left_anti").drop(row)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from notefold.llm.components import components
+from notefold.llm.exact_dedup import exact_groups, one_of_each
 from notefold.llm.near_dedup import near_groups
 from notefold.llm.packing import pack
 from notefold.llm.quality import score_quality
@@ -77,6 +78,28 @@ def test_top_k_hard_rows(spark):
     assert top_k(df.where(F.lit(False)), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_top_k_of_empty_and_zero_vectors(spark, parts):
+    rows = [(100, [0.5]), (1, []), (2, [0.0, 0.0]), (3, [-1.0, 4.0]), (200, []), (4, [1.0, 1.0, 1.0]), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+    whole = {i: [int(np.floor(1024 * x)) for x in [*v, 0.0, 0.0, 0.0][:3]] for i, v in rows}
+    for some in (rows, [r for r in rows if not any(r[1])]):
+        ids = {r[0] for r in some}
+        want = sorted((q, i, sum(a * b for a, b in zip(whole[q], whole[i], strict=True))) for q in ids & {100, 200} for i in ids - {q})
+        got = top_k(df.where(F.col("vec_id").isin(*ids)), F.col("vec_id") % 100 == 0, block=2).collect()
+        assert sorted((r.query_id, r.vec_id, r.score) for r in got) == want
+        assert all(r["rank"] == 1 + sum((-s, i) < (-r.score, r.vec_id) for q, i, s in want if q == r.query_id) for r in got)
+
+
+def test_exact_dedup_of_the_largest_id(spark):
+    top = (1 << 63) - 1
+    rows = [(top, "a b"), (None, "a  b"), (None, "c"), (None, "c"), (top, "d"), (-top - 1, "d"), (5, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(df).collect()), key=repr)
+    assert got == sorted([(top, top, 2, True), (None, top, 2, False), (None, None, 2, True), (None, None, 2, True), (top, -top - 1, 2, False), (-top - 1, -top - 1, 2, True), (5, 5, 1, True)], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in one_of_each(df).collect()), key=repr) == sorted([(top, "a b"), (None, "c"), (-top - 1, "d"), (5, "e")], key=repr)
+
+
 def test_warc_repeats_and_nulls(spark):
     rows = [(3, None, None), (1, "u", "p"), (1, "u", "p"), (2, "\r\nx: y", "p"), (4, "é", "é" * 70_000)]
     got = archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
