@@ -26,8 +26,9 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str | None
         events = events.withWatermark("ts", late)
     # streams need a key beside the session: a single vault gets one that is always zero
     keys = [F.col(c) for c in by] or [F.pmod(F.unix_micros("ts"), F.lit(1)).alias("__vault")]
-    burst = F.session_window("ts", gap)
-    return events.groupBy(*keys, burst.alias("w")).agg(F.count("*").alias("n_events")).select(*by, F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "n_events")
+    # windows that touch are one for Spark; a pause of just the gap ends a burst, so windows are a microsecond shorter
+    burst = F.session_window("ts", f"{gap} -1 microseconds")
+    return events.groupBy(*keys, burst.alias("w")).agg(F.count("*").alias("n_events")).select(*by, F.col("w.start").alias("started"), (F.col("w.end") + F.expr("interval 1 microsecond")).alias("fires"), "n_events")
 
 
 def start_refresh(events: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str):
