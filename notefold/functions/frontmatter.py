@@ -71,9 +71,91 @@ def _blocks(rows: list[str]) -> list[tuple[str | None, list[str]]]:
     return out
 
 
+def flow_scalar(value: object) -> str:
+    """A value within a flow mapping, where commas and brackets need quotes too."""
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(flow_scalar, value)) + "]"
+    own = scalar(value)
+    return "'" + own.replace("'", "''") + "'" if own[:1] not in "'\"" and isinstance(value, str) and re.search(r"[,\[\]{}:#]", own) else own
+
+
+def _space(s: str, at: int) -> int:
+    """Where the next thing that is neither white space nor a comment begins."""
+    while at < len(s) and (s[at].isspace() or s[at] == "#" and (at == 0 or s[at - 1].isspace())):
+        at = at + 1 if s[at] != "#" else (s.find("\n", at) + 1 or len(s))
+    return at
+
+
+def _node(s: str, at: int) -> int:
+    """Where the node that begins at a place of a flow collection ends."""
+    if at < len(s) and s[at] in "&!":  # an anchor or a tag stands before its node
+        return _node(s, _space(s, re.compile(r"[^\s,\[\]{}]*").match(s, at).end()))
+    if s[at : at + 1] in ("'", '"'):
+        m = re.compile(r"'(?:[^']|'')*'" if s[at] == "'" else r'"(?:[^"\\]|\\.)*"', re.S).match(s, at)
+        if not m:
+            raise ValueError("a quote of the front matter is not closed")
+        return m.end()
+    if s[at : at + 1] in ("[", "{"):
+        return _collection(s, at)[1]
+    return at + len(re.compile(r"(?:[^\s,\[\]{}:#]|:(?![\s,\[\]{}]|$)|(?<!\s)#|[ \t\n]+(?=[^\s,\[\]{}#:]))*", re.S).match(s, at)[0])
+
+
+def _collection(s: str, at: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Entries of the flow collection that begins at a place, as (key, its end, value, its end), and where it ends; without a value its places are the key's end."""
+    close, entries = {"[": "]", "{": "}"}[s[at]], []
+    at = _space(s, at + 1)
+    while at < len(s) and s[at] != close:
+        key, end = at, _node(s, at)
+        at = _space(s, end)
+        value = last = end
+        if s[at : at + 1] == ":":
+            value = _space(s, at + 1)
+            last = _node(s, value)
+            value, at = (value, _space(s, last)) if last > value else (at + 1, value)
+            last = max(last, value)
+        elif end == key:
+            raise ValueError("the front matter's flow mapping has an empty entry")
+        entries.append((key, end, value, last))
+        if s[at : at + 1] == ",":
+            at = _space(s, at + 1)
+        elif s[at : at + 1] != close:
+            raise ValueError("the front matter's flow mapping is broken")
+    if at >= len(s):
+        raise ValueError("the front matter's flow mapping is not closed")
+    return entries, at + 1
+
+
+def _flow_updated(s: str, updates: dict, new: list[str]) -> str:
+    """A front matter that is one flow mapping with values of keys replaced where they stand, and new keys before its end."""
+    at = _space(s, 0)
+    entries, end = _collection(s, at)
+    if _space(s, end) < len(s):
+        raise ValueError("something follows the front matter's flow mapping")
+    names = [s[a:b].strip("\"'") for a, b, *_ in entries]
+    added = [f"{k}: {flow_scalar(updates[k])}" for k in new if k not in names]
+    out, upto = [], 0
+    for name, (_, key_end, value, last) in zip(names, entries, strict=True):
+        if name in updates:
+            bare = value == key_end  # a key alone
+            out += [s[upto:value], (": " if bare else "" if s[value - 1].isspace() else " ") + flow_scalar(updates[name])]
+            upto = last
+    tail = max((e[3] for e in entries), default=at + 1)
+    if added:
+        out += [s[upto:tail], ", " * bool(entries) + ", ".join(added)]
+        upto = tail
+    return "".join(out) + s[upto:]
+
+
 def updated(text: str, updates: dict, order: list[str]) -> str:
-    """Text with the keys of updates set: missing ones are added by order, then the rest; other lines stay."""
+    """Text with the keys of updates set: missing ones are added by order, then the rest; other lines stay.
+
+    A front matter that is one flow mapping stays one, comments and all.
+    """
     rows, body = divided(text)
+    whole = "\n".join(rows or [])
+    if whole[_space(whole, 0) :].startswith("{"):
+        new = [k for k in order if k in updates] + [k for k in updates if k not in order]
+        return f"---\n{_flow_updated(whole, updates, new)}\n---" + (body if body.startswith("\n") else "\n" + body)
     blocks = _blocks(rows or [])
     have = {k for k, _ in blocks}
     new = [k for k in order if k in updates and k not in have]

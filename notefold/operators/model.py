@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 from urllib import request
@@ -109,20 +111,59 @@ class OfflineClient:
         return json.dumps({"summary": " ".join(words[:25]), "tags": common[:3], "concepts": common[3:7]})
 
 
-def embed_chunks(chunks: DataFrame, client: Client, batch: int = BATCH) -> DataFrame:
-    """path, chunk, v of chunks (path, chunk, text), a request for each `batch` texts; a note with a failed or short request is left out whole."""
+def pooled(calls: Iterable[Callable[[], object]], at_once: int = 4, per_second: float | None = None) -> Iterator[object]:
+    """What the calls give or raise, in order, at most at_once of them at a time and per_second of them begun in a second."""
+    guard, free = threading.Lock(), [0.0]
+
+    def one(call: Callable[[], object]) -> object:
+        if per_second:
+            with guard:
+                now = time.monotonic()
+                begin = max(now, free[0])
+                free[0] = begin + 1 / per_second
+            time.sleep(begin - now)
+        try:
+            return call()
+        except Exception as e:
+            return e
+
+    with ThreadPoolExecutor(at_once) as pool:
+        waiting: deque = deque()
+        for call in calls:
+            waiting.append(pool.submit(one, call))
+            if len(waiting) >= 2 * at_once:  # no more are held than keep the pool busy
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def embed_chunks(chunks: DataFrame, client: Client, batch: int = BATCH, at_once: int = 4, per_second: float | None = None) -> DataFrame:
+    """path, chunk, v of chunks (path, chunk, text); a note with a failed or short request is left out whole.
+
+    A request holds `batch` texts, of several notes if need be; a task has
+    at_once requests open and begins per_second in a second at most.  Where a
+    request of several notes fails, each of its notes is asked alone, so one
+    note's failure is no other's.
+    """
+
+    def vectors(texts: list[str]) -> list | None:
+        got = client.embed(texts)
+        return got if len(got) == len(texts) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, vectors = b["text"].to_pylist(), []
-            for s in range(0, len(texts), batch):
-                own = texts[s : s + batch]
-                try:
-                    got = client.embed(own)
-                    vectors += got if len(got) == len(own) else [None] * len(own)
-                except Exception:
-                    vectors += [None] * len(own)
-            yield pa.RecordBatch.from_arrays([b["path"], b["chunk"], pa.array(vectors, pa.list_(pa.float64()))], names=["path", "chunk", "v"])
+            texts, paths, out = b["text"].to_pylist(), b["path"].to_pylist(), [None] * len(b)
+            asked = [range(s, min(s + batch, len(texts))) for s in range(0, len(texts), batch)]
+            while asked:
+                failed: list[list[int]] = []
+                for own, got in zip(asked, pooled((lambda own=own: vectors([texts[k] for k in own]) for own in asked), at_once, per_second), strict=True):
+                    if isinstance(got, list):
+                        for k, v in zip(own, got, strict=True):
+                            out[k] = v
+                    elif len({paths[k] for k in own}) > 1:
+                        failed += [[k for k in own if paths[k] == p] for p in dict.fromkeys(paths[k] for k in own)]
+                asked = failed
+            yield pa.RecordBatch.from_arrays([b["path"], b["chunk"], pa.array(out, pa.list_(pa.float64()))], names=["path", "chunk", "v"])
 
     made = chunks.select("path", F.col("chunk").cast("int").alias("chunk"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "path string, chunk int, v array<double>")
     failed = F.max(F.col("v").isNull()).over(Window.partitionBy("path"))
@@ -140,19 +181,17 @@ def prompt(body: Column, tag_limit: int = 3, concept_limit: int = 4, controlled:
     return F.concat(F.lit(head), strip(body))
 
 
-def extract_metadata(notes: DataFrame, client: Client, **limits) -> DataFrame:
-    """relpath, summary, tags, concepts, error of notes (relpath, body). Answers that fail, or hold no JSON object, give an error and nulls."""
+def extract_metadata(notes: DataFrame, client: Client, at_once: int = 4, per_second: float | None = None, **limits) -> DataFrame:
+    """relpath, summary, tags, concepts, error of notes (relpath, body). Answers that fail, or hold no JSON object, give an error and nulls.
+
+    A task has at_once requests open and begins per_second in a second at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said, error = [], []
-            for p in b["prompt"].to_pylist():
-                try:
-                    said.append(client.chat(p))
-                    error.append(None)
-                except Exception as e:
-                    said.append(None)
-                    error.append(str(e))
+            got = list(pooled((lambda p=p: client.chat(p) for p in b["prompt"].to_pylist()), at_once, per_second))
+            said = [None if isinstance(x, Exception) else x for x in got]
+            error = [str(x) if isinstance(x, Exception) else None for x in got]
             yield pa.RecordBatch.from_arrays([b["relpath"], pa.array(said, pa.string()), pa.array(error, pa.string())], names=["relpath", "said", "error"])
 
     asked = notes.select("relpath", prompt(F.coalesce("body", F.lit("")), **limits).alias("prompt"))

@@ -44,7 +44,7 @@ def _server(value: dict[str, str], models: Callable[[str], list[str]]) -> list[t
     return [("OLLAMA_REACHABLE", "Model server", True, value["ollama_base_url"]), ("OLLAMA_MODELS_MISSING" if absent else "OLLAMA_MODELS_OK", "Models", not absent, ", ".join(absent))]
 
 
-def rollup(checks: DataFrame) -> DataFrame:
-    """(ok, summary) of checks (seq, status, message): the first error's message."""
+def rollup(checks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by.., ok, summary of checks (seq, status, message): the first error's message."""
     bad = F.expr("min_by(message, seq) filter (where status = 'error')")
-    return checks.agg(F.bool_and(F.col("status") == "ok").alias("ok"), F.coalesce(bad, F.lit("Preflight passed.")).alias("summary"))
+    return checks.groupBy(*by).agg(F.bool_and(F.col("status") == "ok").alias("ok"), F.coalesce(bad, F.lit("Preflight passed.")).alias("summary"))

@@ -345,7 +345,7 @@ def _beside(places: dict[str, np.ndarray]):
     return run
 
 
-def knn_chunks(chunks: DataFrame, k: int = 40, asking: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def knn_chunks(chunks: DataFrame, k: int = 40, block: int = BLOCK, asking: DataFrame | None = None) -> DataFrame:
     """The rows of nearest_chunks."""
     return nearest_chunks(chunks, k, asking, block).rows
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.frontmatter import update_frontmatter
-from notefold.functions.text import SECTION_HEADING, body_signature, render_links, strip_frontmatter, strip_sections, strip_trailing_dividers, target_code
+from notefold.functions.text import SECTION_HEADING, body_signature, diagnostic_line, render_links, strip_frontmatter, strip_sections, strip_trailing_dividers, target_code
+from notefold.sources.vault import registered
 
 UPDATES = "summary string, tags array<string>, concepts array<string>, related array<string>"
 
@@ -48,11 +45,11 @@ def with_links(text: Column, links: Column, headings: tuple[str, ...] = (SECTION
     return F.when(F.coalesce(F.size(links), F.lit(0)) > 0, F.concat(F.rtrim(strip_trailing_dividers(clean)), F.lit("\n\n---\n\n"), block, F.lit("\n"))).otherwise(clean)
 
 
-def planned_writes(notes: DataFrame, section: bool = True) -> DataFrame:
+def planned_writes(notes: DataFrame, section: bool = True, headings: tuple[str, ...] = (SECTION_HEADING,)) -> DataFrame:
     """relpath, new_text, changed of notes (relpath, text, updates, links). A note whose front matter is no mapping has a null new_text, unchanged."""
     new = update_frontmatter(F.col("text"), F.col("updates"))
     if section:
-        new = F.when(new.isNotNull(), with_links(new, F.col("links")))
+        new = F.when(new.isNotNull(), with_links(new, F.col("links"), headings))
     return notes.select("relpath", "text", new.alias("new_text")).select("relpath", "new_text", (F.col("new_text").isNotNull() & (F.col("new_text") != F.col("text"))).alias("changed"))
 
 
@@ -62,20 +59,33 @@ def state_after(written: DataFrame, headings: tuple[str, ...] = (SECTION_HEADING
 
 
 def apply_writes(plan: DataFrame, root: str) -> DataFrame:
-    """Write the changed notes of a plan under root, a folder that all executors share; relpath, written. Runs when the result is used.
+    """Write the changed notes of a plan under root, a folder that all executors share; relpath, written.
 
-    A file is replaced in one step, so a task that runs again leaves the same.
+    Tasks stage the files and the driver moves them once all are there, so a
+    task that fails leaves every note as it was.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rel, text in zip(b["relpath"].to_pylist(), b["new_text"].to_pylist(), strict=True):
-                path = os.path.join(root, rel)
-                spare = f"{path}.{os.getpid()}.tmp"
-                with open(spare, "w", encoding="utf-8", newline="") as f:
-                    f.write(text)
-                os.replace(spare, path)
-            yield pa.RecordBatch.from_arrays([b["relpath"], pa.array([True] * len(b))], names=["relpath", "written"])
-
     safe = plan.where("changed").where(target_code(F.col("relpath")) == "OK")
-    return safe.select("relpath", "new_text").mapInArrow(run, "relpath string, written boolean")
+    registered(plan.sparkSession)
+    safe.select("relpath", F.col("new_text").cast("binary").alias("content")).write.format("notes").mode("append").save(root)
+    return safe.select("relpath", F.lit(True).alias("written"))
+
+
+# What is told about a refused preview entry, by code: message and guidance.
+REFUSALS = {
+    "PREVIEW_LINE_INVALID": ("This line of the preview is not JSON.", "Write the preview again."),
+    "PREVIEW_ENTRY_INVALID": ("This line of the preview is no JSON object.", "Each line has to be an object that names a path."),
+    "PREVIEW_PATH_MISSING": ("This entry names no path.", "Write the preview again so that every entry names its note."),
+    "WRITE_TARGET_EMPTY": ("This entry names no note to write.", "Write the preview again so that every entry names its note."),
+    "WRITE_TARGET_TRAVERSAL": ("This path climbs out of its folder.", "Name notes by paths below the vault."),
+    "WRITE_TARGET_OUTSIDE_VAULT": ("This path lies outside of the vault.", "Name notes by paths below the vault."),
+    "WRITE_TARGET_NOT_MARKDOWN": ("This path is no markdown file.", "Only markdown notes are written."),
+    "PREVIEW_TARGET_MISSING": ("The note of this entry is not there.", "Drop the entry, or write the preview again."),
+    "PREVIEW_TARGET_NOT_FILE": ("The path of this entry is no file.", "Name a note and not a folder."),
+}
+
+
+def refusal_lines(codes: DataFrame) -> DataFrame:
+    """(value) a diagnostic line for each refused entry (seq, path, code), with guidance and where it stands."""
+    message, guidance = (F.element_at(F.create_map(*(F.lit(x) for k, v in REFUSALS.items() for x in (k, v[at]))), F.col("code")) for at in (0, 1))
+    context = F.when(F.col("path").isNull(), F.create_map(F.lit("entry"), F.col("seq").cast("string"))).otherwise(F.create_map(F.lit("entry"), F.col("seq").cast("string"), F.lit("path"), F.col("path")))
+    return codes.where("code <> 'OK'").select(diagnostic_line(F.lit("warn"), F.col("code"), message, context, guidance).alias("value"))

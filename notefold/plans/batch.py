@@ -1,18 +1,21 @@
 """A run over a folder of notes from end to end: read, index, relate, tag, then preview or write, and keep what the next run needs.
 
-    python -m notefold.plans.batch --root NOTES --store FOLDER [--scope DIR ...] [--index] [--tag] [--preview] [--apply]
-        [--apply-preview] [--limit N] [--refresh-all] [--rebuild] [--url SERVER --embed-model M --chat-model M]
+    python -m notefold.plans.batch --config FILE [--current | --all] [--preflight] [options]
+    python -m notefold.plans.batch --root NOTES --store FOLDER [--scope DIR ...] [--url SERVER --embed-model M --chat-model M] [options]
 
-The store is a folder that all executors share.  It holds versions of the index
-and the state as Parquet, the preview as JSON lines and the log.  A version
-counts once it is whole, so a run that breaks off leaves the one before.
+    options: [--index] [--tag] [--preview] [--apply] [--apply-preview] [--limit N] [--refresh-all] [--rebuild] [--quiet]
+
+The store is a folder that all executors share.  It holds the index in buckets,
+versions of the state as Parquet, the preview as JSON lines and the log.  A
+version counts once it is whole, so a run that breaks off leaves the one before.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +23,14 @@ from pyspark.sql import functions as F
 from notefold.functions.text import SECTION_HEADING
 from notefold.operators import notes as N
 from notefold.operators import writes as W
-from notefold.operators.model import Client, HttpClient, OfflineClient
-from notefold.plans.run import Settings, index_notes, plan_writes
+from notefold.operators.model import Client, HttpClient, OfflineClient, listed_models
+from notefold.operators.preflight import preflight_checks, rollup
+from notefold.plans.configured import configured
+from notefold.plans.run import Settings, embedded, plan_writes, progress_lines, state_with
 from notefold.plans.shared import kept
+from notefold.sources.index import VectorIndex
 from notefold.sources.notes import read_folder
 
-INDEX = "path string, chunk int, v array<double>"
 STATE = "relpath string, hash string"
 #: Refused lines of a preview that a result names; the log in the store has all.
 SHOWN = 1000
@@ -62,10 +67,14 @@ def save(df: DataFrame, path: str) -> None:
         fs.delete(at, True)
 
 
+def preview_lines(rows: DataFrame) -> DataFrame:
+    """(relpath, value): a JSON line for each of rows (relpath, summary, tags, concepts, related)."""
+    return rows.select("relpath", F.to_json(F.struct(F.col("relpath").alias("path"), "summary", "tags", "concepts", "related")).alias("value"))
+
+
 def write_preview(rows: DataFrame, path: str) -> None:
     """A JSON line for each of rows (relpath, summary, tags, concepts, related), in order of paths; nothing is written without rows."""
-    line = F.to_json(F.struct(F.col("relpath").alias("path"), "summary", "tags", "concepts", "related"))
-    lines = kept(rows.orderBy("relpath").select(line.alias("value")), "preview")
+    lines = kept(preview_lines(rows).orderBy("relpath").select("value"), "preview")
     if not lines.isEmpty():
         lines.write.mode("overwrite").text(path)
 
@@ -77,14 +86,19 @@ def read_preview(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("seq"), "value")
 
 
-def preview_plan(notes: DataFrame, lines: DataFrame, root: str, section: bool = True) -> tuple[DataFrame, DataFrame]:
+def preview_entries(lines: DataFrame, codes: DataFrame) -> DataFrame:
+    """relpath and updates of the preview lines (seq, value) whose code is OK."""
+    v = F.from_json("value", f"path string, {W.UPDATES}")
+    return lines.join(codes.where("code = 'OK'").select("seq"), "seq").select(v["path"].alias("relpath"), W.preview_updates(v).alias("updates"))
+
+
+def preview_plan(notes: DataFrame, lines: DataFrame, root: str, section: bool = True, headings: tuple[str, ...] = (SECTION_HEADING,)) -> tuple[DataFrame, DataFrame]:
     """The planned writes of preview lines that are good, and seq, path, code of all; notes are (relpath, text)."""
     codes = kept(W.preview_codes(lines, notes.select("relpath", F.lit(True).alias("is_file")), root), "codes")
-    v = F.from_json("value", f"path string, {W.UPDATES}")
-    good = lines.join(codes.where("code = 'OK'").select("seq"), "seq").select(v["path"].alias("relpath"), W.preview_updates(v).alias("updates"))
+    good = preview_entries(lines, codes)
     core = F.transform(F.col("updates.related"), lambda p: F.struct(p.alias("path"), F.lit("core").alias("kind")))
     both = notes.select("relpath", "text").join(good, "relpath").withColumn("links", core)
-    return W.planned_writes(both, section), codes
+    return W.planned_writes(both, section, headings), codes
 
 
 @dataclass(frozen=True)
@@ -97,7 +111,7 @@ class Result:
 
 def run(
     spark: SparkSession, root: str, store: str, client: Client, settings: Settings = Settings(), scopes: list[str] | None = None, index: bool = False, tag: bool = False, preview: bool = False,
-    apply: bool = False, apply_preview: bool = False, limit: int | None = None, rebuild: bool = False, headings: tuple[str, ...] = (SECTION_HEADING,), min_words: int = 30, aliases: DataFrame | None = None,
+    apply: bool = False, apply_preview: bool = False, limit: int | None = None, rebuild: bool = False, headings: tuple[str, ...] = (SECTION_HEADING,), min_words: int = 30, aliases: DataFrame | None = None, section: bool = True,
 ) -> Result:
     """One run; index and tag are both done where neither is asked for.
 
@@ -110,13 +124,13 @@ def run(
         lines = kept(read_preview(spark, f"{store}/preview"), "lines")
         if lines.isEmpty():
             return Result({"preview": 0}, ["PREVIEW_EMPTY"])
-        plan, codes = preview_plan(notes, lines, root)
+        plan, codes = preview_plan(notes, lines, root, section, headings)
         refused = codes.where("code <> 'OK'")
         shown = refused.orderBy("seq").limit(SHOWN).collect()
         bad = [f"[skip] {r.code}: {r.path or '<missing>'}" for r in shown]
         if len(shown) == SHOWN and (more := refused.count() - SHOWN):  # all of them are in the log's table
             bad.append(f"[skip] {more} more refused lines")
-        refused.select(F.concat(F.lit("[skip] "), "code", F.lit(": "), F.coalesce("path", F.lit("<missing>"))).alias("value")).write.mode("append").text(f"{store}/log")
+        W.refusal_lines(refused).write.mode("append").text(f"{store}/log")
         plan = kept(plan, "plan")
         done = kept(W.apply_writes(plan, root), "written").count()
         save(N.upsert(load(spark, f"{store}/state", STATE), kept(W.state_after(plan.where("new_text is not null"), headings), "state"), "relpath"), f"{store}/state")
@@ -125,50 +139,87 @@ def run(
     index, tag = (index, tag) if index or tag else (True, True)
     every = kept(read_folder(spark, root, headings, min_words, scopes), "notes")
     notes = kept(N.first_notes(every, limit), "chosen") if limit else every
-    old_state, old_index = load(spark, f"{store}/state", STATE), load(spark, f"{store}/index", INDEX)
+    vectors, old_state = VectorIndex(spark, f"{store}/index"), load(spark, f"{store}/state", STATE)
     if rebuild:
-        old_state, old_index = old_state.limit(0), old_index.limit(0)
+        old_state = old_state.limit(0)
     changed = kept(N.changed_notes(notes, old_state), "changed")
     gone = N.removed_notes(old_state, notes).count()
     counts = {"notes": notes.count(), "changed": changed.count(), "removed": gone}
     log = [f"Removed {gone} notes from index"] if gone else []
 
-    new_state, new_index = N.only_listed(old_state, notes, "relpath"), N.only_listed(old_index, notes)
+    old_index = vectors.rows()
+    away = kept(old_index.select("path").distinct().join(notes.select(F.col("relpath").alias("path")), "path", "left_anti"), "away")
+    new_state = N.only_listed(old_state, notes, "relpath")
     if index:
-        new_index, new_state = index_notes(notes, old_state, old_index, client, settings)
-    new_index, new_state = kept(new_index, "index"), kept(new_state, "state")
+        made, done = embedded(notes, old_state, old_index.limit(0) if rebuild else old_index, client, settings)
+        new_state = state_with(old_state, notes, done)
+        if rebuild:
+            vectors.rebuild(made)
+        elif not (made.isEmpty() and away.isEmpty()):
+            vectors.upsert(made, away)  # the buckets of notes that changed or went
+    elif not away.isEmpty():
+        vectors.remove(away)
+    vectors.compact()
+    vectors.vacuum()
+    new_index, new_state = vectors.rows(), kept(new_state, "state")
     if tag:
-        plan, rows = plan_writes(notes, changed, new_index, client, aliases, settings, allowed=every.select(F.col("relpath").alias("path")))
+        plan, rows = plan_writes(notes, changed, new_index, client, aliases, settings, allowed=every.select(F.col("relpath").alias("path")), section=section, headings=headings)
         counts["planned"] = plan.count()
+        progress_lines(rows, settings.related_limit).write.mode("append").text(f"{store}/log")
         if preview:
             write_preview(rows, f"{store}/preview")
         if apply:
             counts["written"] = kept(W.apply_writes(plan, root), "written").count()
             new_state = kept(N.upsert(new_state, W.state_after(plan.where("new_text is not null"), headings), "relpath"), "state")
-    save(new_index, f"{store}/index")
     save(new_state, f"{store}/state")
     spark.createDataFrame([(line,) for line in [*log, *(f"{k}: {n}" for k, n in counts.items())]], "value string").coalesce(1).write.mode("append").text(f"{store}/log")
     return Result(counts, log)
 
 
+def preflight(spark: SparkSession, config: str) -> dict:
+    """Whether a run could start, what to say of it, and every check."""
+    path, fs = _folder(spark, config)
+    raw = "\n".join(r.value for r in spark.read.text(config).collect()) if fs.exists(path) else None  # one settings file
+    checks = preflight_checks(spark, raw, listed_models)
+    (whole,) = rollup(checks).collect()
+    return {"ok": whole.ok, "summary": whole.summary, "checks": [{k: r[k] for k in ("code", "label", "status", "message")} for r in checks.orderBy("seq").collect()]}
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("--root", required=True)
-    p.add_argument("--store", required=True)
+    for name in ("config", "root", "store", "url"):
+        p.add_argument(f"--{name}")
     p.add_argument("--scope", action="append")
     p.add_argument("--limit", type=int)
     p.add_argument("--min-words", type=int, default=30)
-    p.add_argument("--url")
     p.add_argument("--embed-model", default="")
     p.add_argument("--chat-model", default="")
-    flags = ("index", "tag", "preview", "apply", "apply-preview", "refresh-all", "rebuild")
-    for name in flags:
+    for name in ("index", "tag", "preview", "apply", "apply-preview", "refresh-all", "rebuild", "preflight", "quiet"):
         p.add_argument(f"--{name}", action="store_true")
+    scope = p.add_mutually_exclusive_group()
+    scope.add_argument("--current", action="store_true")
+    scope.add_argument("--all", action="store_true")
     a = p.parse_args(args)
-    client = HttpClient(a.url, a.embed_model, a.chat_model) if a.url else OfflineClient()
+    if not a.config and not (a.root and a.store) or a.preflight and not a.config:
+        p.error("a run needs a config, or a root and a store; a preflight needs a config")
     spark = SparkSession.builder.getOrCreate()
-    got = run(spark, a.root, a.store, client, Settings(refresh_all=a.refresh_all), a.scope, a.index, a.tag, a.preview, a.apply, a.apply_preview, a.limit, a.rebuild, min_words=a.min_words)
-    print("\n".join([*got.log, *(f"{k}: {n}" for k, n in got.counts.items())]))
+    if a.preflight:
+        said = preflight(spark, a.config)
+        print(json.dumps(said))
+        return 0 if said["ok"] else 1
+    what = dict(index=a.index, tag=a.tag, preview=a.preview, apply=a.apply, apply_preview=a.apply_preview, limit=a.limit, rebuild=a.rebuild)
+    if a.config:
+        own, code = configured(spark, a.config, "all" if a.all else "current" if a.current else None, a.root, a.store)
+        if own is None:
+            print(f"[error][{code}] No config can be read from {a.config}.", file=sys.stderr)
+            return 1
+        client = HttpClient(a.url, a.embed_model or own.client.embed_model, a.chat_model or own.client.chat_model) if a.url else own.client
+        got = run(spark, own.root, own.store, client, replace(own.settings, refresh_all=a.refresh_all), a.scope or own.scopes, headings=own.headings, min_words=own.min_words, aliases=own.aliases, section=own.section, **what)
+    else:
+        client = HttpClient(a.url, a.embed_model, a.chat_model) if a.url else OfflineClient()
+        got = run(spark, a.root, a.store, client, Settings(refresh_all=a.refresh_all), a.scope, min_words=a.min_words, **what)
+    if not a.quiet:
+        print("\n".join([*got.log, *(f"{k}: {n}" for k, n in got.counts.items())]))
     return 1 if got.log == ["PREVIEW_EMPTY"] else 0
 
 

@@ -12,6 +12,9 @@ from notefold.functions import text as T
 from notefold.operators import fuzzy
 from notefold.operators import notes as N
 from notefold.operators import similarity as S
+from notefold.operators import writes as W
+from notefold.operators.preflight import rollup
+from notefold.plans import batch, run
 from notefold.sources import notes as src
 from notefold.streaming import pending as P
 
@@ -228,6 +231,15 @@ def select_links(spark, d):
     return S.select_links(S.candidates(S.knn_chunks(src.chunk_vectors(spark, d)), 0.15), low=0.15, high=0.25)
 
 
+@query(f"WITH {_CHUNKS}, n AS (SELECT DISTINCT path FROM chunks), links AS (SELECT note, count(*) AS n FROM ({_links_sql(0.15, 0.25)}) GROUP BY note) SELECT '[related] ' || path || ' -> ' || coalesce(links.n, 0) || '/8' AS value FROM n LEFT JOIN links ON note = path")
+def related_progress(spark, d):
+    c = src.chunk_vectors(spark, d)
+    links = S.select_links(S.candidates(S.knn_chunks(c), 0.15), low=0.15, high=0.25)
+    each = links.groupBy("note").agg(F.collect_list("path").alias("related"))
+    rows = c.select(F.col("path").alias("note")).distinct().join(each, "note", "left").select(F.col("note").alias("relpath"), F.coalesce("related", F.array().cast("array<string>")).alias("related"))
+    return run.progress_lines(rows, 8)
+
+
 @query(_links_sql(0.20, 0.205))
 def select_links_fill(spark, d):
     return S.select_links(S.candidates(S.knn_chunks(src.chunk_vectors(spark, d)), 0.15), low=0.20, high=0.205)
@@ -404,10 +416,10 @@ def last_line(spark, d):
     return src.load(spark, d, "conversations").groupBy("conv_id").agg(own.alias("last_err"), F.coalesce(own, F.max_by("text", "turn")).alias("context"))
 
 
-@query("""SELECT conv_id, bool_and(turn % 7 <> 6) AS ok, coalesce(min_by(text, turn) FILTER (turn % 7 = 6), 'ready') AS summary FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, bool_and(turn % 7 <> 6) AS ok, coalesce(min_by(text, turn) FILTER (turn % 7 = 6), 'Preflight passed.') AS summary FROM conversations GROUP BY conv_id""")
 def preflight_rollup(spark, d):
-    c = src.load(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.bool_and(F.col("turn") % 7 != 6).alias("ok"), F.coalesce(F.expr("min_by(text, turn) filter (where turn % 7 = 6)"), F.lit("ready")).alias("summary"))
+    checks = src.load(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.when(F.col("turn") % 7 == 6, "error").otherwise("ok").alias("status"), F.col("text").alias("message"))
+    return rollup(checks, by=("conv_id",))
 
 
 _ARGS = ", ".join(f"'{a}'" for a in R.RUN_ARGS)
@@ -457,16 +469,25 @@ def render_links(spark, d):
     return links.select("note", F.substr(T.render_links(kinds), F.lit(len(T.CALLOUT) + 2)).alias("block"))
 
 
-@query(f"WITH {_TAGS} SELECT '{{\"path\":' || note || ',\"tags\":[' || array_to_string(list_transform(tags, lambda t: '\"' || t || '\"'), ',') || ']}}' AS line FROM tags")
+def _preview_rows(spark, d):
+    tags = _tags(spark, d)
+    return tags.select(F.concat(F.lit("t/"), F.col("note").cast("string"), F.lit(".md")).alias("relpath"), F.element_at("tags", 1).alias("summary"), "tags", F.slice("tags", 1, 1).alias("concepts"), F.array().cast("array<string>").alias("related"))
+
+
+_QUOTED = """array_to_string(list_transform(tags, lambda t: '"' || t || '"'), ',')"""
+
+
+@query(f"""WITH {_TAGS} SELECT '{{"path":"t/' || note || '.md","summary":"' || tags[1] || '","tags":[' || {_QUOTED} || '],"concepts":["' || tags[1] || '"],"related":[]}}' AS line FROM tags""")
 def preview_write(spark, d):
-    return _tags(spark, d).select(F.to_json(F.struct(F.col("note").alias("path"), "tags")).alias("line"))
+    return batch.preview_lines(_preview_rows(spark, d)).select(F.col("value").alias("line"))
 
 
-@query(f"WITH {_TAGS} SELECT note AS path, array_to_string(tags, ',') AS tags FROM tags")
+@query(f"WITH {_TAGS} SELECT 't/' || note || '.md' AS path, array_to_string(tags, ',') AS tags, tags[1] AS summary FROM tags")
 def preview_read(spark, d):
-    lines = preview_write(spark, d).union(spark.createDataFrame([("{broken",), ("",)], "line string"))
-    row = F.from_json("line", "path long, tags array<string>")
-    return lines.where(F.try_parse_json("line").isNotNull()).select(row.alias("r")).select("r.path", F.array_join("r.tags", ",").alias("tags"))
+    rows = _preview_rows(spark, d)
+    lines = batch.preview_lines(rows).select(F.concat("relpath", F.lit("!")).alias("seq"), "value").union(rows.select("relpath", F.lit('{"path": "../x.md"}')).union(spark.createDataFrame([("a", "{broken"), ("b", "")], "seq string, value string")))
+    codes = W.preview_codes(lines, rows.select("relpath", F.lit(True).alias("is_file")))
+    return batch.preview_entries(lines, codes).select(F.col("relpath").alias("path"), F.array_join("updates.tags", ",").alias("tags"), "updates.summary")
 
 
 @query()

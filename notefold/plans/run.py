@@ -20,6 +20,10 @@ from notefold.operators.model import Client, embed_chunks, extract_metadata
 from notefold.plans.shared import kept
 
 
+#: Characters of a note that stand for it where the index has no vectors of it.
+ON_THE_FLY = 4000
+
+
 @dataclass(frozen=True)
 class Settings:
     target_tokens: int = 300
@@ -34,6 +38,7 @@ class Settings:
     tag_limit: int = 3
     concept_limit: int = 4
     concept_max_words: int = 4
+    concept_case: str = "lower"
     min_tag_length: int = 2
     tag_max_words: int = 3
     min_tag_frequency: int = 2
@@ -44,34 +49,42 @@ class Settings:
     refresh_all: bool = False
 
 
-def index_notes(notes: DataFrame, state: DataFrame, index: DataFrame, client: Client, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """The index (path, chunk, v) and the state (relpath, hash) after a run.
+def embedded(notes: DataFrame, state: DataFrame, index: DataFrame, client: Client, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """New rows (path, chunk, v) of changed notes (all, if the index is empty), and (relpath, hash) of those that have any.
 
-    Changed notes (all, if the index is empty) are cut and embedded anew and
-    replace their old rows; rows of notes that are gone are dropped.  A note
-    whose embedding fails keeps its old rows and is tried again next time.
+    A note whose embedding fails has none: it keeps its old rows and is tried again next time.
     """
     work = notes.withColumn("hash", T.body_signature(F.col("body"))) if index.isEmpty() else N.changed_notes(notes, state)
     chunks = work.select(F.col("relpath").alias("path"), F.posexplode(T.chunks(F.col("body"), s.target_tokens, s.overlap_tokens)).alias("chunk", "text"))
     made = kept(embed_chunks(chunks, client), "vectors")
-    known = notes.select(F.col("relpath").alias("path"))
-    new_index = N.upsert(index.join(known, "path", "left_semi"), made)
-    done = work.join(made.select(F.col("path").alias("relpath")).distinct(), "relpath", "left_semi").select("relpath", "hash")
-    new_state = N.upsert(state.join(notes, "relpath", "left_semi"), done, "relpath")
-    return new_index, new_state
+    return made, work.join(made.select(F.col("path").alias("relpath")).distinct(), "relpath", "left_semi").select("relpath", "hash")
+
+
+def state_with(state: DataFrame, notes: DataFrame, done: DataFrame) -> DataFrame:
+    """The state of listed notes with the hashes of those that are done."""
+    return N.upsert(N.only_listed(state, notes, "relpath"), done, "relpath")
 
 
-def relate(index: DataFrame, s: Settings = Settings(), allowed: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def index_notes(notes: DataFrame, state: DataFrame, index: DataFrame, client: Client, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """The index (path, chunk, v) and the state (relpath, hash) after a run: rows of changed notes are new, those of notes that are gone are dropped."""
+    made, done = embedded(notes, state, index, client, s)
+    return N.upsert(N.only_listed(index, notes), made), state_with(state, notes, done)
+
+
+def relate(index: DataFrame, s: Settings = Settings(), allowed: DataFrame | None = None, only: DataFrame | None = None, strangers: DataFrame | None = None) -> DataFrame:
     """note, links (path, kind) in order, from chunk vectors or from their means; only to allowed notes (path), and only of the notes `only` (path) names, if given.
 
-    Only those notes' vectors ask for neighbours.
+    Only those notes' vectors ask for neighbours, and those of strangers (path,
+    chunk, v): notes that the index does not hold.
     """
     own = S.mean_vectors(index).withColumn("chunk", F.lit(0)) if s.by_notes else index
     asking = own.join(only, "path", "left_semi") if only is not None else None
+    if strangers is not None:
+        asking = (own if asking is None else asking).select("path", "chunk", "v").unionByName(strangers)
     if s.by_notes:
-        ranked = S.candidates(S.knn_chunks(own, max(10, s.related_limit + 1), asking).where(F.col("score") >= s.min_score), 0)
+        ranked = S.candidates(S.knn_chunks(own, max(10, s.related_limit + 1), asking=asking).where(F.col("score") >= s.min_score), 0)
     else:
-        ranked = S.candidates(S.knn_chunks(own, s.candidate_limit, asking), s.min_score)
+        ranked = S.candidates(S.knn_chunks(own, s.candidate_limit, asking=asking), s.min_score)
     if allowed is not None:
         ranked = S.among(ranked, allowed)
     chosen = S.select_links(ranked, s.related_limit, s.overreach, s.creative, s.creative_low, s.creative_high)
@@ -89,20 +102,29 @@ def tag_notes(notes: DataFrame, client: Client, aliases: DataFrame | None = None
     mapped = fuzzy.controlled_tags(tagged, s.controlled, s.allow_free_tags, s.min_tag_length, s.tag_max_words)
     capped = mapped.select("note", F.slice("tags", 1, s.tag_limit).alias("tags"))
     often = N.frequent_tags(capped, s.min_tag_frequency, s.tag_frequency_fallback)
-    concepts = T.normalize_concepts(F.col("concepts"), s.concept_max_words, s.concept_limit)
+    concepts = T.normalize_concepts(F.col("concepts"), s.concept_max_words, s.concept_limit, s.concept_case)
     return said.select("relpath", "summary", concepts.alias("concepts")).join(often.withColumnRenamed("note", "relpath"), "relpath")
 
 
-def plan_writes(notes: DataFrame, changed: DataFrame, index: DataFrame, client: Client, aliases: DataFrame | None = None, s: Settings = Settings(), allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def plan_writes(notes: DataFrame, changed: DataFrame, index: DataFrame, client: Client, aliases: DataFrame | None = None, s: Settings = Settings(), allowed: DataFrame | None = None, section: bool = True, headings: tuple[str, ...] = (T.SECTION_HEADING,)) -> tuple[DataFrame, DataFrame]:
     """The planned writes (relpath, new_text, changed) and what a preview shows (relpath, summary, tags, concepts, related).
 
     For the notes (relpath, text, body) that changed names, or for all if they are refreshed.
     """
     work = notes if s.refresh_all else notes.join(changed.select("relpath"), "relpath", "left_semi")
     tagged = tag_notes(work, client, aliases, s)
-    links = relate(index, s, allowed, work.select(F.col("relpath").alias("path"))).withColumnRenamed("note", "relpath")
+    asking, strangers = work.select(F.col("relpath").alias("path")), None
+    if s.by_notes:  # a note without vectors is embedded as it begins, for its own links alone
+        unknown = work.select(F.col("relpath").alias("path"), F.lit(0).alias("chunk"), F.substring("body", 1, ON_THE_FLY).alias("text")).join(index, "path", "left_anti")
+        strangers = kept(embed_chunks(unknown, client), "strangers")
+    links = relate(index, s, allowed, asking, strangers).withColumnRenamed("note", "relpath")
     none = F.array().cast("array<struct<path:string,kind:string>>")
     both = work.select("relpath", "text").join(tagged, "relpath").join(links, "relpath", "left").withColumn("links", F.coalesce("links", none))
     both = kept(both.withColumn("related", F.transform("links", lambda x: x["path"])), "plan")
     updates = F.struct("summary", "tags", "concepts", "related")
-    return W.planned_writes(both.select("relpath", "text", updates.alias("updates"), "links")), both.select("relpath", "summary", "tags", "concepts", "related")
+    return W.planned_writes(both.select("relpath", "text", updates.alias("updates"), "links"), section, headings), both.select("relpath", "summary", "tags", "concepts", "related")
+
+
+def progress_lines(rows: DataFrame, limit: int) -> DataFrame:
+    """(value) a line for each note (relpath, related) of a run: how many links it has, and how many it may have."""
+    return rows.select(F.concat(F.lit("[related] "), "relpath", F.lit(" -> "), F.size("related").cast("string"), F.lit(f"/{limit}")).alias("value"))

@@ -12,7 +12,7 @@ from notefold.operators import fuzzy
 from notefold.operators import model as M
 from notefold.operators import notes as N
 from notefold.operators import writes as W
-from notefold.operators.preflight import rollup
+from notefold.operators.preflight import preflight_checks as checked
 from notefold.plans import run
 from notefold.plans.queries import _CHUNKS, _EVENTS, _NOTES, _STATE, _TAGS, _links_sql, _tags, query, select_links
 from notefold.sources import config as C
@@ -66,11 +66,12 @@ def folder_options(spark, d):
     return src.load(spark, d, "nation").select("n_nationkey", shown[0]["label"].alias("first_label"), F.size(shown).alias("n"), shown[1]["value"].alias("second"))
 
 
-@query("""SELECT n_nationkey, '.,' || n_name AS every, '7' AS kept FROM nation""")
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 3 THEN '{"kept":7,"notes_paths":["' || n_name || '"],"notes_paths_current":["' || n_name || '"],"notes_paths_all":[".","' || n_name || '"]}' END AS config FROM nation""")
 def scope_config_update(spark, d):
-    config = F.struct(F.lit(7).alias("kept"), F.array(F.lit("old")).alias("notes_paths_all"))
-    new = config.withField("notes_paths_all", R.scope_paths(F.array(F.col("n_name"), F.lit("/"), F.col("n_name"))))
-    return src.load(spark, d, "nation").select("n_nationkey", F.array_join(new["notes_paths_all"], ",").alias("every"), new["kept"].cast("string").alias("kept"))
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    raw = F.when(k % 8 == 3, "[1]").otherwise('{"notes_paths_all": ["old"], "kept": 7}')
+    current = F.when(k % 8 == 7, F.array(F.lit("../no"))).otherwise(F.array(F.concat(F.lit("/"), name), F.concat(name, F.lit("/."))))
+    return src.load(spark, d, "nation").select("n_nationkey", C.updated_scopes(raw, current, F.array(name, F.lit("/"), name)).alias("config"))
 
 
 @query("""SELECT n_nationkey, n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 AND n_nationkey % 5 <> 0 AS complete, n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 AS can_manage,
@@ -222,9 +223,13 @@ def spawn_failure_map(spark, d):
     return src.load(spark, d, "conversations").select("conv_id", "turn", r["checks"][0]["code"].alias("code"), r["summary"].alias("summary"))
 
 
-@query("""SELECT count(*) FILTER (turn % 5 = 3) = 0 AS ok, coalesce(min_by(role, conv_id * 100000 + turn) FILTER (turn % 5 = 3), 'Preflight passed.') AS summary FROM conversations""")
+@query("""WITH m AS (SELECT count(*) FILTER (n_name = 'FRANCE') > 0 AS first, count(*) FILTER (n_name = 'NOWHERE') > 0 AS second FROM nation)
+SELECT code, status FROM (VALUES ('PYTHON_RUNTIME_OK', 'ok'), ('DEPENDENCY_PYARROW_OK', 'ok'), ('CONFIG_OK', 'ok'), ('OLLAMA_REACHABLE', 'ok')) v(code, status)
+UNION ALL SELECT CASE WHEN first AND second THEN 'OLLAMA_MODELS_OK' ELSE 'OLLAMA_MODELS_MISSING' END, CASE WHEN first AND second THEN 'ok' ELSE 'error' END FROM m""")
 def preflight_checks(spark, d):
-    return rollup(src.load(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("seq"), F.when(F.col("turn") % 5 == 3, "error").otherwise("ok").alias("status"), F.col("role").alias("message")))
+    have = [f"{r.n_name}:latest" for r in src.load(spark, d, "nation").select("n_name").collect()]  # 25 nations stand for a server's models
+    config = '{"ollama_base_url": "http://server", "embed_model": "FRANCE:7b", "llm_model": "NOWHERE"}'
+    return checked(spark, config, lambda url: have, needs=("pyarrow",)).select("code", "status")
 
 
 @query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'trusted' WHEN 1 THEN 'caution' ELSE 'blocked' END AS trust,
@@ -282,6 +287,15 @@ def update_frontmatter(spark, d):
     return src.notes(spark, d).select("relpath", F.sha1(Y.update_frontmatter(text, updates).cast("binary")).alias("hash"))
 
 
+@query(f"""WITH {_NOTES} SELECT relpath, sha1('---' || {NL} || '{{tags: [' || CASE WHEN doc_id % 2 = 0 THEN 'x, ''a, b''' ELSE 'x' END || '], # mine' || {NL} || ' "summary": it''s ' || doc_id || ', n: {{k: [1, "}}"]}}' || CASE WHEN doc_id % 3 = 0 THEN ', concepts: []' ELSE '' END || '}}' || {NL} || '---' || {NL} || body) AS hash FROM notes""")
+def update_flow_frontmatter(spark, d):
+    n, k = src.notes(spark, d), F.col("doc_id")
+    text = F.concat(F.lit('---\n{tags: [old, "]"], # mine\n "summary": \'o, {\', n: {k: [1, "}"]}}\n---\n'), "body")
+    tags = F.when(k % 2 == 0, F.array(F.lit("x"), F.lit("a, b"))).otherwise(F.array(F.lit("x")))
+    updates = F.struct(F.concat(F.lit("it's "), k.cast("string")).alias("summary"), tags.alias("tags"), F.when(k % 3 == 0, F.array().cast("array<string>")).alias("concepts"))
+    return n.select("relpath", F.sha1(Y.update_frontmatter(text, updates).cast("binary")).alias("hash"))
+
+
 @query()
 def parse_frontmatter(spark, d):
     text = F.concat(F.lit("---\nsummary: s\nn: "), _text("doc_id"), F.lit("\n---\n"), "body")

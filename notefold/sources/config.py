@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notefold.functions.runtime import scope_path
+from notefold.functions.runtime import scope_path, scope_paths
 
 
 def read_config(raw: str | None) -> tuple[dict | None, str]:
@@ -38,27 +38,23 @@ def config_code(raw: Column) -> Column:
     return F.when(raw.isNull(), "CONFIG_MISSING").when(v.isNull(), "CONFIG_INVALID").when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")) & (F.schema_of_variant(v) != "OBJECT<>"), "CONFIG_OK").otherwise("CONFIG_EMPTY")
 
 
+def updated_scopes(raw: Column, current: Column, every: Column) -> Column:
+    """A config's text with its three scope keys set to usable folders, in order; other keys stay. Null where it is no JSON object, or a scope has no usable folder."""
+    held = F.try_variant_get(F.try_parse_json(raw), "$", "map<string, variant>")
+    one, two = scope_paths(current), scope_paths(every)
+    new = {"notes_paths": one, "notes_paths_current": one, "notes_paths_all": two}
+    rest = F.map_filter(held, lambda k, _: ~k.isin(*new))
+    made = F.map_concat(rest, F.create_map(*(x for k, v in new.items() for x in (F.lit(k), F.parse_json(F.to_json(v))))))
+    return F.when((F.size(one) > 0) & (F.size(two) > 0) & held.isNotNull(), F.to_json(made))
+
+
 def with_scopes(raw: str, current: Iterable[str], every: Iterable[str]) -> str:
-    """A config's text with its three scope keys set; other keys stay. Both scopes need a usable folder."""
-
-    def usable(paths: Iterable[str]) -> list[str]:
-        out = set()
-        for p in paths:
-            p = p.strip().replace("\\", "/")
-            parts = [x for x in p.split("/") if x not in ("", ".")]
-            if p in ("", "/", "."):
-                out.add(".")
-            elif parts and ".." not in parts:
-                out.add("/".join(parts))
-        return sorted(out, key=lambda x: (x != ".", x.casefold(), x))
-
-    config, code = read_config(raw)
-    if code not in ("CONFIG_OK", "CONFIG_EMPTY") or not isinstance(json.loads(raw), dict):
-        raise ValueError("the config is no JSON object")
-    one, two = usable(current), usable(every)
-    if not one or not two:
-        raise ValueError("both scopes need at least one folder")
-    return json.dumps((config or {}) | {"notes_paths": one, "notes_paths_current": one, "notes_paths_all": two}, indent=2, ensure_ascii=False) + "\n"
+    """updated_scopes of one config file, indented; what is wrong is an error."""
+    names = "raw string, current array<string>, every array<string>"
+    row = SparkSession.active().createDataFrame([(raw, list(current), list(every))], names).select(updated_scopes(F.col("raw"), F.col("current"), F.col("every"))).first()
+    if row[0] is None:
+        raise ValueError("the config has to be a JSON object, and both scopes need at least one folder")
+    return json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False) + "\n"
 
 
 def state_of(raw: Column) -> Column:

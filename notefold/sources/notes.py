@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notefold.functions.text import SECTION_HEADING, body_signature, in_folder, strip, strip_frontmatter, strip_sections, title_of, word_count
+from notefold.functions.text import SECTION_HEADING, body_signature, strip, strip_frontmatter, strip_sections, title_of, word_count
+from notefold.sources.vault import usable_scopes
 
 
 def utf8(content: Column) -> Column:
@@ -15,20 +16,18 @@ def utf8(content: Column) -> Column:
 
 
 def read_folder(spark: SparkSession, root: str, headings: tuple[str, ...] = (SECTION_HEADING,), min_words: int = 30, scopes: list[str] | None = None) -> DataFrame:
-    """Notes of all markdown files under root: relpath, title, text, body, mtime; only of the folders in scopes, if given.
+    """Notes of all markdown files under root: relpath, title, text, body, mtime; only of the folders in scopes, if given, and no others are listed.
 
     Notes of under min_words words are left out; a folder that is not there has no notes.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = files.makeQualified(path).toString().rstrip("/")
+    wanted = [f"{whole}/{s}" if s != "." else whole for s in usable_scopes(scopes)]
+    have = [p for p in wanted if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
     rel = F.substr(F.col("path"), F.lit(len(whole) + 2))
-    notes = files.select(rel.alias("relpath"), title_of(rel).alias("title"), utf8(F.col("content")).alias("text"), F.col("modificationTime").alias("mtime"))
-    if scopes is not None:
-        wanted = F.lit(False)
-        for folder in scopes:
-            wanted = wanted | in_folder(F.col("relpath"), F.lit(folder))
-        notes = notes.where(wanted)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(have) if have else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    notes = found.select(rel.alias("relpath"), title_of(rel).alias("title"), utf8(F.col("content")).alias("text"), F.col("modificationTime").alias("mtime"))
     return notes.withColumn("body", strip_sections(strip_frontmatter(F.col("text")), list(headings))).where(word_count(F.col("body")) >= min_words)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SIGHTINGS = "relpath string, seq long, kind string, mtime long, in_current boolean, in_all boolean, hash string, words int"
-CHANGES = "relpath string, mtime long, in_current boolean, in_all boolean, hash string, scanned boolean, updated boolean, gone boolean, pending boolean"
+CHANGES = "relpath string, mtime long, in_current boolean, in_all boolean, hash string, scanned boolean, updated boolean, gone boolean, pending boolean, seq long"
 TOPS = "scope string, shard int, total long, items array<struct<mtime: long, relpath: string>>"
 BURSTS = "started timestamp, fires timestamp, n_events long"
 
@@ -38,12 +38,13 @@ class _Entries(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         seen = known = None
         dirty = forced = False
+        self._seq = 0
         for r in rows:  # the last sighting and the last known hash count, in whatever order rows come
             if r.kind in ("listed", "gone") and (seen is None or r.seq > seen.seq):
                 seen = r
             elif r.kind == "known" and (known is None or r.seq > known.seq):
                 known = r
-            dirty, forced = dirty or r.kind == "dirty", forced or r.kind == "forced"
+            dirty, forced, self._seq = dirty or r.kind == "dirty", forced or r.kind == "forced", max(self._seq, r.seq)
         if known is not None:
             self._known.update((known.hash,))
         dirty = dirty or self._dirty.exists()
@@ -57,7 +58,7 @@ class _Entries(StatefulProcessor):
         self._dirty.clear()
         if seen.kind == "gone":
             self._entry.clear()
-            yield Row(relpath=key[0], mtime=seen.mtime, in_current=False, in_all=False, hash=None, scanned=False, updated=False, gone=True, pending=False)
+            yield Row(relpath=key[0], mtime=seen.mtime, in_current=False, in_all=False, hash=None, scanned=False, updated=False, gone=True, pending=False, seq=self._seq)
             return
         marks = (seen.mtime, seen.in_current, seen.in_all)
         if entry is not None and tuple(entry[:3]) == marks and not dirty and not forced:
@@ -71,7 +72,7 @@ class _Entries(StatefulProcessor):
     def _row(self, key, entry, scanned: bool, updated: bool) -> Row:
         known = self._known.get()[0] if self._known.exists() else None
         mtime, current, every, own = entry
-        return Row(relpath=key[0], mtime=mtime, in_current=current, in_all=every, hash=own, scanned=scanned, updated=updated, gone=False, pending=own is not None and own != known)
+        return Row(relpath=key[0], mtime=mtime, in_current=current, in_all=every, hash=own, scanned=scanned, updated=updated, gone=False, pending=own is not None and own != known, seq=self._seq)
 
     def close(self) -> None:
         pass

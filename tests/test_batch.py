@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from notefold.operators.model import HttpClient, OfflineClient
 from notefold.plans import batch
 from notefold.plans.run import Settings, index_notes, plan_writes
+from notefold.sources.index import ROWS, VectorIndex
 
 SETTINGS = Settings(min_score=0.0, min_tag_frequency=1)
 
@@ -76,8 +77,10 @@ def test_a_run_writes_and_the_next_finds_nothing(spark, vault):
         f.write("\nmore words\n")
     third = go(spark, vault, index=True)
     assert (third.counts["changed"], third.counts["removed"]) == (1, 1) and "planned" not in third.counts
-    paths = {r.path for r in batch.load(spark, f"{store}/index", batch.INDEX).collect()}
-    assert paths == set(texts(root)) and len(batch.versions(spark, f"{store}/index")) == 1
+    paths = {r.path for r in VectorIndex(spark, f"{store}/index").rows().collect()}
+    assert paths == set(texts(root)) and len(batch.versions(spark, f"{store}/state")) == 1
+    log = "".join(open(f).read() for f in glob.glob(f"{store}/log/part-*"))
+    assert all(f"[related] {p} -> " in log for p in texts(root)) and "/8" in log
 
 
 def test_preview_then_apply(spark, vault):
@@ -106,7 +109,7 @@ def test_limit_scope_and_rebuild(spark, vault):
 def test_links_stay_among_allowed_notes(spark, vault):
     client = OfflineClient()
     notes = spark.createDataFrame([(f"a/n{k}.md", note(k), note(k)) for k in range(4)], "relpath string, text string, body string")
-    index, _ = index_notes(notes, spark.createDataFrame([], batch.STATE), spark.createDataFrame([], batch.INDEX), client, SETTINGS)
+    index, _ = index_notes(notes, spark.createDataFrame([], batch.STATE), spark.createDataFrame([], ROWS), client, SETTINGS)
     allowed = notes.where("relpath <> 'a/n2.md'").select(F.col("relpath").alias("path"))
     plan, rows = plan_writes(notes, notes, index, client, None, SETTINGS, allowed)
     assert all("a/n2.md" not in r.related for r in rows.collect()) and plan.count() == 4

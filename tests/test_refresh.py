@@ -77,3 +77,46 @@ def test_assets_that_cannot_come_back(tmp_path):
     (tmp_path / "three").mkdir()
     (tmp_path / "three" / CONFIG_NAME).symlink_to(tmp_path / "no" / "where")
     assert restore_assets(tmp_path / "three", (), {CONFIG_TEMPLATE: ""}).code == "CONFIG_FAILED"
+
+
+def test_a_whole_refresh_reads_its_files_by_their_times(spark, tmp_path):
+    """Config and state by ByTime, rescan, pending: a config that changed scans all files, a state that did not is not read again."""
+    from notefold.operators.notes import pending_snapshot
+    from notefold.sources.config import read_config, read_state, write_state
+    from notefold.streaming.caches import ByTime
+
+    clock, reads = {"config": 1, "state": 1}, []
+    (tmp_path / "config.json").write_text('{"notes_paths": ["."], "least": 2}')
+
+    def state():
+        reads.append("state")
+        return read_state(spark, str(tmp_path / "state"))
+
+    def config():
+        reads.append("config")
+        return read_config((tmp_path / "config.json").read_text())[0]
+
+    write_state(spark.createDataFrame([("a", "h1")], "relpath string, hash string"), str(tmp_path / "state"))
+    held = ByTime(lambda: clock["config"], config), ByTime(lambda: clock["state"], state)
+    contents = {"a": ("h1", 5), "b": ("h2", 5), "c": ("h3", 1)}
+    entries, dirty = spark.createDataFrame([], LISTED + ", hash string"), spark.createDataFrame([], "path string")
+
+    def refresh():
+        nonlocal entries
+        (own, anew), (known, _) = held[0].get(), held[1].get()
+        listed = spark.createDataFrame([(k, 1, True, True) for k in contents], LISTED)
+        table = spark.createDataFrame([(k, *v) for k, v in contents.items()], "relpath string, hash string, words int")
+        got = refreshed(entries, listed, dirty, lambda due: due.join(table, "relpath"), least_words=own["least"], forced=anew)
+        entries = spark.createDataFrame(got.collect(), got.schema)
+        pending = entries.where("hash is not null").join(known.withColumnRenamed("hash", "old"), "relpath", "left").where("not (hash <=> old)")
+        snapshot = {r.scope: (r.total, [x.relpath for x in r["items"]]) for r in pending_snapshot(pending.selectExpr("'all' as scope", "relpath", "mtime")).collect()}
+        return {r.relpath for r in entries.where("scanned").collect()}, snapshot.get("all", (0, []))
+
+    assert refresh() == ({"a", "b", "c"}, (1, ["b"])) and reads == ["config", "state"]
+    assert refresh() == ({"c"}, (1, ["b"])) and reads == ["config", "state"]
+    write_state(spark.createDataFrame([("a", "h1"), ("b", "h2")], "relpath string, hash string"), str(tmp_path / "state"))
+    clock["state"] = 2
+    assert refresh() == ({"c"}, (0, [])) and reads == ["config", "state", "state"]
+    (tmp_path / "config.json").write_text('{"notes_paths": ["."], "least": 1}')
+    clock["config"] = 2
+    assert refresh() == ({"a", "b", "c"}, (1, ["c"])) and reads == ["config", "state", "state", "config"]

@@ -137,4 +137,4 @@ def test_bursts_are_those_of_the_batch_in_any_cut(spark, tmp_path, cut):
 
 
 def test_schemas_name_what_comes_out(spark):
-    assert CHANGES.count(",") == 8 and time is not None
+    assert CHANGES.count(",") == 9 and time is not None
