@@ -1,4 +1,4 @@
-"""Reports for people, as text columns; lines of null values are left out."""
+"""Reports for people, as text columns; lines of null values are left out. The wording is this package's own."""
 
 from __future__ import annotations
 
@@ -7,48 +7,46 @@ from pyspark.sql import functions as F
 
 from notefold.functions.runtime import interval, listed, report, yes_no
 
-# What stands for no time, no preflight, and the longest tail of a log.
-NO_TIME = "Not scheduled"
-NO_PREFLIGHT = "No preflight result recorded yet."
+#: Lines of a log that a report ends with.
 TAIL = 6
 
 
-def _time(at: Column) -> Column:
-    return F.coalesce(at.cast("string"), F.lit(NO_TIME))
+def _text(value: Column) -> Column:
+    return value.cast("string")
 
 
-def _when_some(head: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.concat(F.lit(head), value.cast("string")))
+def _or(value: Column, none: str) -> Column:
+    return F.coalesce(_text(value), F.lit(none))
+
+
+def _joined(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else _text(p) for p in parts))
 
 
 def scheduler_report(mode: Column, minutes: Column, next_run: Column, last_message: Column, active: Column, last_run: Column) -> Column:
-    """State of the scheduler; a manual one has no next run, and the last run is told once there was one."""
-    on = mode.eqNullSafe("interval")
-    return report(
-        ("Mode", mode), ("Internal scheduler enabled", yes_no(on)), ("Interval", F.concat(interval(minutes).cast("string"), F.lit(" minutes"))),
-        ("Next run", _time(F.when(on, next_run))), ("Last result", last_message), ("Active run", yes_no(active)), ("Last run at", last_run),
-    )
+    """When runs start: by hand, or at intervals with the next start; and how the last one went, once there was one."""
+    timed = mode.eqNullSafe("interval")
+    start = F.when(timed, _joined("every ", interval(minutes), " min, next at ", _or(next_run, "no set time"))).otherwise("by hand")
+    return report(("Start of runs", start), ("A run is under way", yes_no(active)), ("Latest run", last_run), ("It said", last_message))
 
 
 def pending_report(available: Column, reason: Column, current: Column, every: Column, metrics: Column) -> Column:
     """current, every: structs (total, items); metrics: struct (ms, listed, scanned, updated)."""
-    count = lambda scope: F.concat(scope["total"].cast("string"), F.lit(" pending"))
-    m = {k: metrics[k].cast("string") for k in ("ms", "listed", "scanned", "updated")}
-    scan = F.concat(m["ms"], F.lit("ms, listed "), m["listed"], F.lit(", rescanned "), m["scanned"], F.lit(", updated "), m["updated"])
-    known = report(("Current scope", count(current)), ("All scopes", count(every)), ("Top current items", listed(current["items"])), ("Top all items", listed(every["items"])), ("Last scan", scan))
-    return F.when(available, known).otherwise(report(("Pending scan unavailable", reason)))
+    scope = lambda s: _joined(s["total"], " to do; newest: ", listed(s["items"]))
+    work = _joined(metrics["scanned"], " of ", metrics["listed"], " files read, ", metrics["updated"], " new, in ", metrics["ms"], " ms")
+    return F.when(available, report(("Chosen folders", scope(current)), ("Every folder", scope(every)), ("Counted from", work))).otherwise(report(("Work to do is not known", reason)))
 
 
 def scope_report(complete: Column, config: Column, current: Column, every: Column, guidance: Column) -> Column:
-    return F.concat_ws("\n", report(("Configured", yes_no(complete)), ("Config", F.coalesce(config, F.lit("Unavailable"))), ("Current scope", listed(current)), ("All scopes", listed(every))), guidance)
+    return F.concat_ws("\n", guidance, report(("Chosen folders", listed(current)), ("Every folder", listed(every)), ("Choice is complete", yes_no(complete)), ("Kept in", _or(config, "no file"))))
 
 
 def diagnostics_report(running: Column, last: Column, result: Column, log: Column) -> Column:
     """result: struct (ok, summary, checks: array of (label, status, message, guidance)), null before any preflight; log: lines, of which the last TAIL are told."""
-    check = lambda c: F.concat_ws("\n", F.concat(F.lit("["), c["status"], F.lit("] "), c["label"], F.lit(": "), c["message"]), F.concat(F.lit("Guidance: "), F.nullif(c["guidance"], F.lit(""))))
-    told = F.concat_ws("\n", report(("Status", F.when(result["ok"], "Ready").otherwise("Not ready")), ("Summary", result["summary"])), F.transform(result["checks"], check))
-    tail = F.when(F.size(log) > 0, F.concat_ws("\n", F.lit("Recent diagnostics:"), F.slice(log, F.greatest(F.size(log) - TAIL + 1, F.lit(1)), F.lit(TAIL))))
-    return F.concat_ws("\n", report(("Preflight running", yes_no(running)), ("Last preflight", _time(last))), F.when(result.isNull(), NO_PREFLIGHT).otherwise(told), tail)
+    check = lambda c: F.concat_ws(" > ", _joined("- ", c["label"], " is ", c["status"], ", ", c["message"]), F.nullif(c["guidance"], F.lit("")))
+    verdict = F.when(result.isNull(), "nothing was checked so far").otherwise(_joined(F.when(result["ok"], "runs can start").otherwise("runs cannot start"), ", ", result["summary"]))
+    tail = F.when(F.size(log) > 0, F.concat_ws("\n", F.lit("End of the log:"), F.slice(log, F.greatest(F.size(log) - TAIL + 1, F.lit(1)), F.lit(TAIL))))
+    return F.concat_ws("\n", report(("Checks", verdict), ("Made at", last), ("Being made now", yes_no(running))), F.transform(result["checks"], check), tail)
 
 
 def runtime_notice(problem: Column, trust: Column, runs: Column, mode: Column, next_run: Column, pending: Column, preflight: Column, scopes: Column) -> Column:
@@ -58,14 +56,12 @@ def runtime_notice(problem: Column, trust: Column, runs: Column, mode: Column, n
     every); preflight: struct (ok, summary), null before any; scopes: struct
     (complete, current, every, guidance).
     """
-    text = lambda c: c.cast("string")
-    dot = F.lit(".")
-    parts = [
-        F.concat(F.lit("Runtime trust: "), trust, dot),
-        F.concat(F.lit("Runs: "), F.array_join(F.transform(runs, lambda r: F.concat(r["name"], F.lit(" "), r["command"])), "; "), dot),
-        F.when(mode.eqNullSafe("interval"), F.concat(F.lit("Scheduler: interval (next "), _time(next_run), F.lit(")."))).otherwise("Scheduler: manual."),
-        F.when(pending["available"], F.concat(F.lit("Pending current/all: "), text(pending["current"]), F.lit("/"), text(pending["every"]), dot)).otherwise(F.concat(F.lit("Pending unavailable: "), pending["reason"], dot)),
-        F.when(preflight.isNull(), "Preflight: not run yet.").otherwise(F.concat(F.lit("Preflight: "), F.when(preflight["ok"], "ready").otherwise("failed"), F.lit(" ("), preflight["summary"], F.lit(")."))),
-        F.when(scopes["complete"], F.concat(F.lit("Scope setup: ready ("), text(scopes["current"]), F.lit("/"), text(scopes["every"]), F.lit(")."))).otherwise(_when_some("Scope setup: required. ", scopes["guidance"])),
-    ]
-    return F.coalesce(problem, F.concat_ws(" ", *parts))
+    parts = {
+        "to do": F.when(pending["available"], _joined(pending["current"], " chosen, ", pending["every"], " in all")).otherwise(_joined("unknown, ", pending["reason"])),
+        "next run": F.when(mode.eqNullSafe("interval"), _or(next_run, "at no set time")).otherwise("by hand"),
+        "checks": F.when(preflight.isNull(), "none yet").otherwise(_joined(F.when(preflight["ok"], "passed, ").otherwise("not passed, "), preflight["summary"])),
+        "folders": F.when(scopes["complete"], _joined(scopes["current"], " chosen, ", scopes["every"], " in all")).otherwise(_joined("not chosen, ", scopes["guidance"])),
+        "commands": F.array_join(F.transform(runs, lambda r: _joined(r["command"], " for ", r["name"])), ", "),
+        "trust": trust,
+    }
+    return F.coalesce(problem, F.concat_ws(" | ", *(_joined(f"{name}: ", value) for name, value in parts.items())))

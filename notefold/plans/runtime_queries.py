@@ -153,11 +153,11 @@ def status_priority(spark, d):
 
 @query(f"""WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 'None' ELSE role || ', b' END AS items, CASE WHEN conv_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS yes, conv_id % 2 = 0 AS even FROM conversations)
 SELECT conv_id, turn,
-    'Mode: ' || CASE WHEN even THEN 'interval' ELSE 'manual' END || {NL} || 'Internal scheduler enabled: ' || yes || {NL} || 'Interval: ' || greatest(5, turn) || ' minutes' || {NL} || 'Next run: ' || CASE WHEN even THEN CAST(conv_id AS VARCHAR) ELSE 'Not scheduled' END || {NL} || 'Last result: ' || role || {NL} || 'Active run: ' || yes || CASE WHEN turn % 3 = 0 THEN {NL} || 'Last run at: ' || turn ELSE '' END AS scheduler,
-    CASE WHEN turn % 3 = 0 THEN 'Pending scan unavailable: ' || role ELSE 'Current scope: ' || turn || ' pending' || {NL} || 'All scopes: ' || (turn + 1) || ' pending' || {NL} || 'Top current items: ' || items || {NL} || 'Top all items: None' || {NL} || 'Last scan: ' || conv_id || 'ms, listed 4, rescanned 3, updated 2' END AS pending,
-    'Configured: ' || yes || {NL} || 'Config: ' || CASE WHEN turn % 3 = 0 THEN 'Unavailable' ELSE role END || {NL} || 'Current scope: ' || items || {NL} || 'All scopes: None' || {NL} || 'do ' || role AS scopes,
-    'Preflight running: ' || yes || {NL} || 'Last preflight: ' || CASE WHEN turn % 3 = 0 THEN 'Not scheduled' ELSE CAST(turn AS VARCHAR) END || {NL} || CASE WHEN turn % 3 = 0 THEN 'No preflight result recorded yet.' ELSE 'Status: ' || CASE WHEN even THEN 'Ready' ELSE 'Not ready' END || {NL} || 'Summary: s' || turn || {NL} || '[ok] ' || role || ': m' || CASE WHEN even THEN {NL} || 'Guidance: g' ELSE '' END END || CASE WHEN turn % 2 = 0 THEN {NL} || 'Recent diagnostics:' || {NL} || '2' || {NL} || '3' || {NL} || '4' || {NL} || '5' || {NL} || '6' || {NL} || '7' ELSE '' END AS diagnostics,
-    CASE WHEN turn % 5 = 4 THEN 'no ' || role ELSE 'Runtime trust: ' || role || '. Runs: current a --x; all b. ' || CASE WHEN even THEN 'Scheduler: interval (next ' || conv_id || ').' ELSE 'Scheduler: manual.' END || ' ' || CASE WHEN turn % 3 = 0 THEN 'Pending unavailable: ' || role || '.' ELSE 'Pending current/all: ' || turn || '/' || (turn + 1) || '.' END || ' ' || CASE WHEN turn % 3 = 0 THEN 'Preflight: not run yet.' ELSE 'Preflight: ' || CASE WHEN even THEN 'ready' ELSE 'failed' END || ' (s' || turn || ').' END || ' ' || CASE WHEN even THEN 'Scope setup: ready (2/' || turn || ').' ELSE 'Scope setup: required. do ' || role END END AS notice
+    'Start of runs: ' || CASE WHEN even THEN 'every ' || greatest(5, turn) || ' min, next at ' || conv_id ELSE 'by hand' END || {NL} || 'A run is under way: ' || yes || CASE WHEN turn % 3 = 0 THEN {NL} || 'Latest run: ' || turn ELSE '' END || {NL} || 'It said: ' || role AS scheduler,
+    CASE WHEN turn % 3 = 0 THEN 'Work to do is not known: ' || role ELSE 'Chosen folders: ' || turn || ' to do; newest: ' || items || {NL} || 'Every folder: ' || (turn + 1) || ' to do; newest: None' || {NL} || 'Counted from: 3 of 4 files read, 2 new, in ' || conv_id || ' ms' END AS pending,
+    'do ' || role || {NL} || 'Chosen folders: ' || items || {NL} || 'Every folder: None' || {NL} || 'Choice is complete: ' || yes || {NL} || 'Kept in: ' || CASE WHEN turn % 3 = 0 THEN 'no file' ELSE role END AS scopes,
+    'Checks: ' || CASE WHEN turn % 3 = 0 THEN 'nothing was checked so far' ELSE CASE WHEN even THEN 'runs can start' ELSE 'runs cannot start' END || ', s' || turn || {NL} || 'Made at: ' || turn END || {NL} || 'Being made now: ' || yes || CASE WHEN turn % 3 = 0 THEN '' ELSE {NL} || '- ' || role || ' is ok, m' || CASE WHEN even THEN ' > g' ELSE '' END END || CASE WHEN turn % 2 = 0 THEN {NL} || 'End of the log:' || {NL} || '2' || {NL} || '3' || {NL} || '4' || {NL} || '5' || {NL} || '6' || {NL} || '7' ELSE '' END AS diagnostics,
+    CASE WHEN turn % 5 = 4 THEN 'no ' || role ELSE 'to do: ' || CASE WHEN turn % 3 = 0 THEN 'unknown, ' || role ELSE turn || ' chosen, ' || (turn + 1) || ' in all' END || ' | next run: ' || CASE WHEN even THEN CAST(conv_id AS VARCHAR) ELSE 'by hand' END || ' | checks: ' || CASE WHEN turn % 3 = 0 THEN 'none yet' ELSE CASE WHEN even THEN 'passed' ELSE 'not passed' END || ', s' || turn END || ' | folders: ' || CASE WHEN even THEN '2 chosen, ' || turn || ' in all' ELSE 'not chosen, do ' || role END || ' | commands: a --x for current, b for all | trust: ' || role END AS notice
 FROM c""")
 def status_reports(spark, d):
     k, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
