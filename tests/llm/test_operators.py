@@ -233,7 +233,7 @@ def test_empty_tables(spark, empty):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SMALL), con.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]
