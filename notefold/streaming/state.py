@@ -170,7 +170,7 @@ def snapshot_of_shards(shards: DataFrame, most: int = 5) -> DataFrame:
 
 
 class _Bursts(StatefulProcessor):
-    """Open bursts of a vault in order of time; each is told once its gap has passed the watermark."""
+    """Open bursts of a vault in order of time; each is told once its gap has passed the watermark. One timer a vault waits for the first of them."""
 
     def __init__(self, gap_us: int):
         self._gap = gap_us
@@ -181,7 +181,7 @@ class _Bursts(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         bursts = sorted(tuple(map(int, b)) for b in self._open.get())
-        before = {self._timer(b) for b in bursts}
+        before = self._timer(bursts[0]) if bursts else None
         for r in rows:
             at = bisect.bisect_left(bursts, (r.us,))
             first, last, n = r.us, r.us, 1
@@ -193,11 +193,11 @@ class _Bursts(StatefulProcessor):
                 first, last, n = bursts[at][0], max(last, bursts[at][1]), n + bursts[at][2]
                 del bursts[at]
             bursts.insert(at, (first, last, n))
-        after = {self._timer(b) for b in bursts}
-        for t in before - after:
-            self._handle.deleteTimer(t)
-        for t in after - before:
-            self._handle.registerTimer(t)
+        after = self._timer(bursts[0]) if bursts else None
+        if before is not None and before != after:
+            self._handle.deleteTimer(before)
+        if after is not None and before != after:
+            self._handle.registerTimer(after)
         self._open.put(bursts) if bursts else self._open.clear()
         return iter(())
 
@@ -205,11 +205,13 @@ class _Bursts(StatefulProcessor):
         return -(-(burst[1] + self._gap) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         bursts = sorted(tuple(map(int, b)) for b in self._open.get())
         over = [b for b in bursts if self._timer(b) <= passed]
         rest = bursts[len(over) :]
         self._open.put(rest) if rest else self._open.clear()
+        if rest:
+            self._handle.registerTimer(self._timer(rest[0]))
         for first, last, n in over:
             yield Row(**dict(zip(self._keys, key, strict=True)), started_us=first, fires_us=last + self._gap, n_events=n)
 

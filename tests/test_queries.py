@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from notefold.plans import runtime_queries  # noqa: F401
+from notefold.plans import runtime_queries, stream_queries  # noqa: F401
 from notefold.plans.queries import ORACLES, QUERIES
 from tests.conftest import SMALL
 
