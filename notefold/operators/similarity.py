@@ -7,26 +7,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notefold.functions.text import top_folder
 from notefold.plans.shared import kept
+from notefold.sources.vault import opened
 
 #: Vectors in a block.
 BLOCK = 1024
-#: Candidate blocks and asking blocks that meet in one task: some 8 MB of either at 64 dimensions.
-STRIPE, GROUP = 16, 8
+#: Asking rows that a task takes through the candidates at a time, in blocks; candidate blocks that it reads at once.
+GROUP, STRIPE = 8, 16
 #: Pivots, and the vectors that they are fitted on. Both only decide how much is skipped, never what is found.
 PIVOTS, SAMPLE = 256, 16_384
-#: Places that tasks know of; more blocks than that share places.
-PLACES = 1 << 18
+#: Pairs whose exact scores are computed at once.
+PAIRS = 1 << 16
 #: Bytes of candidates up to which they go to every task instead of being shuffled.
 SENT = 32 << 20
 #: What angles and scores to nine decimals may be off by.
 SLACK = 1e-7
-_ROWS = "path string, chunk int, floor double, cell int, angle double, u binary"
-_BLOCKS = "block long, cell int, low double, high double, n int, paths array<string>, chunks array<int>, floors binary, m binary"
+_ROWS = "path string, chunk int, floor double, rank long, cell int, angle double, u binary"
+_BLOCKS = "block long, cell int, low double, high double, n int, paths array<string>, chunks array<int>, floors binary, ranks binary, lead binary, m binary"
 _NEAR = "note string, chunk int, path string, path_chunk int, score double"
 
 
@@ -56,20 +58,34 @@ def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _dealt(pivots: np.ndarray):
-    """Rows with the pivot that they are nearest to, and their angle to it."""
+    """Rows with their number in order (of its task, then within), the pivot that they are nearest to, and their angle to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 40
         for b in batches:
             u = _units(b["v"])
             angle = _angles(u, pivots)
             cell = angle.argmin(1) if len(u) else np.zeros(0, int)
             own = pa.array([row.tobytes() for row in u], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["path"], b["chunk"], b["floor"], pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(u)), cell]), own], names=["path", "chunk", "floor", "cell", "angle", "u"])
+            rank = pa.array(first + np.arange(len(u)))
+            first += len(u)
+            yield pa.RecordBatch.from_arrays([b["path"], b["chunk"], b["floor"], rank, pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(u)), cell]), own], names=["path", "chunk", "floor", "rank", "cell", "angle", "u"])
 
     return run
 
 
-def _pack(size: int):
+def _leaders(m: np.ndarray, ranks: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a block but for those that are behind k copies of themselves: as candidates these come behind them for whoever asks."""
+    order = np.argsort(ranks, kind="stable")
+    _, copy = np.unique(np.ascontiguousarray(m[order]).view(f"V{8 * m.shape[1]}").ravel(), return_inverse=True) if m.shape[1] else (None, np.zeros(len(m), int))
+    by = np.argsort(copy, kind="stable")
+    place = np.arange(len(m)) - np.searchsorted(copy[by], copy[by])
+    return np.sort(order[by[place < k]])
+
+
+def _pack(size: int, copies: int):
     """Rows in order of cell and angle as blocks, none of two cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +110,9 @@ def _pack(size: int):
                 column = lambda c: own[c].combine_chunks()
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, end], pa.int32()), values.chunk(0) if isinstance(values, pa.ChunkedArray) else values)
                 floors = own["floor"].fill_null(-np.inf).to_numpy()
-                row = [pa.array([part << 32 | serial]), pa.array(cells[:1], pa.int32()), pa.array([angle.min()]), pa.array([angle.max()]), pa.array([end], pa.int32()), one(column("path")), one(column("chunk")), pa.array([floors.tobytes()]), pa.array([m.tobytes()])]
+                row = [pa.array([part << 32 | serial]), pa.array(cells[:1], pa.int32()), pa.array([angle.min()]), pa.array([angle.max()]), pa.array([end], pa.int32()), one(column("path")), one(column("chunk")), pa.array([floors.tobytes()]), pa.array([(ranks := own["rank"].to_numpy()).tobytes()]), pa.array([_leaders(m, ranks, copies).astype(np.int32).tobytes()]), pa.array([m.tobytes()])]
                 serial += 1
-                yield pa.RecordBatch.from_arrays(row, names=["block", "cell", "low", "high", "n", "paths", "chunks", "floors", "m"])
+                yield pa.RecordBatch.from_arrays(row, names=["block", "cell", "low", "high", "n", "paths", "chunks", "floors", "ranks", "lead", "m"])
                 t, cells = t.slice(end), cells[end:]
             return t
 
@@ -114,41 +130,145 @@ def _asking(rows: DataFrame) -> DataFrame:
     return rows.where("v is not null").select("path", "chunk", floor, F.col("v").cast("array<double>").alias("v"))
 
 
-def _blocks(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, pivots: np.ndarray, size: int, k: int) -> DataFrame:
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["cell", "angle", F.xxhash64("path", "chunk")]  # copies of one vector are dealt by their names
-    return _asking(rows).mapInArrow(_dealt(pivots), _ROWS).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(size), _BLOCKS)
-
-
-def _matrices(m: bytes, n: int, other: bytes, other_n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two blocks at the same width."""
-    a, b = np.frombuffer(m).reshape(n, -1), np.frombuffer(other).reshape(other_n, -1)
-    d = min(a.shape[1], b.shape[1])
-    return a[:, :d], b[:, :d]
-
-
-def _kth(score: np.ndarray, k: int) -> np.ndarray:
-    return -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] >= k else np.full(len(score), -np.inf)
-
-
-def _needs(k: int, pivots: np.ndarray, places: dict[str, np.ndarray]):
-    """For each asking block: a first k-th score of its rows, from a block beside it, and the places that may hold as high a score."""
+    named = _asking(rows).repartitionByRange(parts, "path", "chunk").sortWithinPartitions("path", "chunk")
+    return named.mapInArrow(_dealt(pivots), _ROWS).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(size, k), _BLOCKS)
+
+
+class _Files:
+    """Candidate blocks in Parquet files of the shared folder: their ranges of angles, and a stripe of them (a row group) when it is asked for."""
+
+    def __init__(self, files: list[str]):
+        self._files, stripes, parts = [], [], []
+        for name in files:
+            fs, path = opened(name)
+            file = pq.ParquetFile(fs.open_input_file(path))
+            for g in range(file.num_row_groups):
+                parts.append(file.read_row_group(g, ["cell", "low", "high"]))
+                stripes += [len(self._files)] * parts[-1].num_rows
+                self._files.append((file, g))
+        listed = pa.concat_tables(parts)
+        self.cell, self.low, self.high = (listed[c].to_numpy() for c in ("cell", "low", "high"))
+        self.stripe = np.array(stripes)
+        self.first = np.searchsorted(self.stripe, np.arange(len(self._files)))
+
+    def read(self, stripe: int, columns: list[str]) -> pa.Table:
+        file, g = self._files[stripe]
+        return file.read_row_group(g, columns)
+
+
+class _Lists:
+    """The k best of some asking rows so far: score, number by name, and place, of each."""
+
+    def __init__(self, k: int, q: np.ndarray, floors: np.ndarray):
+        self._k, self._q, self._small = k, q, q.astype(np.float32)
+        self.least, self.compared = floors.copy(), 0
+        self.score, self.rank, self.place = (np.full((len(q), k), x) for x in (-np.inf, np.iinfo(np.int64).max, np.int64(-1)))
+        self._new: list[tuple[np.ndarray, ...]] = []
+        self._waiting = 0
+
+    def meet(self, own: np.ndarray, c: np.ndarray, rank: np.ndarray, place: np.ndarray) -> None:
+        """Rows `own` meet candidates: single precision finds those near or over the bound, double precision tells their scores."""
+        d = min(self._q.shape[1], c.shape[1])
+        c = np.ascontiguousarray(c[:, :d])
+        small, error = c.astype(np.float32).T, np.float32((d + 16) * 1.2e-7)
+        for s in range(0, len(own), BLOCK):
+            part = own[s : s + BLOCK]
+            self.compared += len(part) * len(c)
+            near = self._small[part, :d] @ small
+            bound = (self.least[part] - error).astype(np.float32)
+            if len(c) > self._k:
+                unknown = np.flatnonzero(bound == -np.inf)
+                if len(unknown):
+                    bound[unknown] = -np.partition(-near[unknown], self._k - 1, axis=1)[:, self._k - 1] - 2 * error
+            at = np.flatnonzero(near >= bound[:, None])
+            for t in range(0, len(at), PAIRS):
+                i, j = np.divmod(at[t : t + PAIRS], len(c))
+                i = part[i]
+                score = np.round(np.einsum("ij,ij->i", self._q[i, :d], c[j]), 9)
+                keep = score >= self.least[i]
+                self._new.append((i[keep], score[keep], rank[j[keep]], place[j[keep]]))
+                self._waiting += int(keep.sum())
+                if self._waiting >= 8 * len(self._q):
+                    self.settle()
+
+    def settle(self) -> None:
+        """Take in what was found since the last time."""
+        if not self._waiting:
+            self._new.clear()
+            return
+        row, *more = (np.concatenate(x) for x in zip(*self._new, strict=True))
+        self._new, self._waiting, k = [], 0, self._k
+        rows = np.unique(row)
+        each = np.r_[np.repeat(rows, k), row]
+        score, rank, place = (np.r_[old[rows].ravel(), x] for old, x in zip((self.score, self.rank, self.place), more, strict=True))
+        order = np.lexsort((rank, -score, each))
+        each = each[order]
+        order = order[np.arange(len(each)) - np.searchsorted(each, each) < k].reshape(len(rows), k)
+        self.score[rows], self.rank[rows], self.place[rows] = score[order], rank[order], place[order]
+        self.least[rows] = np.maximum(self.least[rows], self.score[rows, k - 1])
+
+
+def _searched(k: int, pivots: np.ndarray, files: list[str], block: int, count: bool):
+    """The best of all candidates for blocks of asking rows, or how many pairs are compared for them."""
+
+    def found(have: _Files, rows: list[dict]) -> pa.RecordBatch:
+        width = max(len(r["m"]) // (8 * r["n"]) for r in rows)
+        q = np.concatenate([np.pad(x := np.frombuffer(r["m"]).reshape(r["n"], -1), ((0, 0), (0, width - x.shape[1]))) for r in rows])
+        lists = _Lists(k, q, np.concatenate([np.frombuffer(r["floors"]) for r in rows]))
+        angle = _angles(q, pivots)
+
+        def bound(b: int) -> np.ndarray:
+            # a vector at angles low to high from a pivot is at least this far from one at another angle
+            own = angle[:, have.cell[b]]
+            return np.cos(np.maximum(0, np.maximum(own - have.high[b], have.low[b] - own))) + SLACK
+
+        most = np.array([bound(b).mean() for b in range(len(have.cell))])
+        for stripe in np.argsort(-np.maximum.reduceat(most, have.first), kind="stable").tolist():  # those beside the asking rows first
+            t = None
+            for b in range(have.first[stripe], have.first[stripe] + (have.stripe == stripe).sum()):
+                own = np.flatnonzero(bound(b) >= lists.least)
+                if len(own):
+                    t = have.read(stripe, ["n", "ranks", "lead", "m"]) if t is None else t
+                    at = int(b - have.first[stripe])
+                    lead = np.frombuffer(t["lead"][at].as_buffer(), np.int32)
+                    c = np.frombuffer(t["m"][at].as_buffer()).reshape(t["n"][at].as_py(), -1)
+                    lists.meet(own, c[lead], np.frombuffer(t["ranks"][at].as_buffer(), np.int64)[lead], (int(b) << 32) + lead.astype(np.int64))
+            lists.settle()
+        if count:
+            return pa.RecordBatch.from_arrays([pa.array([lists.compared])], names=["pairs"])
+        row, rank = np.nonzero(lists.place >= 0)
+        place, paths, chunks = lists.place[row, rank], [], []
+        order = np.argsort(place, kind="stable")
+        b, at = place[order] >> 32, place[order] & 0xFFFFFFFF
+        stripes = have.stripe[b]
+        for stripe in np.unique(stripes).tolist():
+            t, own = have.read(stripe, ["paths", "chunks"]).combine_chunks(), slice(*np.searchsorted(stripes, [stripe, stripe + 1]))
+            start = t["paths"].chunk(0).offsets.to_numpy()
+            index = pa.array(start[b[own] - have.first[stripe]] - start[0] + at[own])
+            paths.append(t["paths"].chunk(0).flatten().take(index))
+            chunks.append(t["chunks"].chunk(0).flatten().take(index))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        asked, back = pa.array(row), pa.array(back)
+        joined = lambda parts, kind: pa.concat_arrays(parts) if parts else pa.array([], kind)
+        note, chunk = pa.array([x for r in rows for x in r["paths"]], pa.string()), pa.array([x for r in rows for x in r["chunks"]], pa.int32())
+        cols = [note.take(asked), chunk.take(asked), joined(paths, pa.string()).take(back), joined(chunks, pa.int32()).take(back), pa.array(lists.score[row, rank]), pa.array((rank + 1).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["note", "chunk", "path", "path_chunk", "score", "rank"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, rows = None, []
         for b in batches:
-            found = []
-            for r in b.select(["n", "floors", "m", "h_n", "h_m"]).to_pylist():
-                least = np.frombuffer(r["floors"])
-                if r["h_m"] is not None:
-                    q, c = _matrices(r["m"], r["n"], r["h_m"], r["h_n"])
-                    least = np.maximum(least, _kth(np.round(q @ c.T, 9), k))
-                # a vector at angles low to high from a pivot is at least this far from one at another angle
-                own = _angles(np.frombuffer(r["m"]).reshape(r["n"], -1), pivots)[:, places["cell"]]
-                gap = np.maximum(0, np.maximum(own - places["high"], places["low"] - own))
-                able = (np.cos(gap) + SLACK >= least[:, None]).any(0)
-                found.append((least.tobytes(), places["place"][able].tolist(), int(r["n"]) * int(places["n"][able].sum())))
-            least, place, pairs = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b["block"], pa.array(least, pa.binary()), pa.array(place, pa.list_(pa.int64())), pa.array(pairs, pa.int64())], names=["block", "least", "places", "pairs"])
+            for r in b.select(["n", "paths", "chunks", "floors", "m"]).to_pylist():
+                have = _Files(files) if have is None else have
+                rows.append(r)
+                if sum(r["n"] for r in rows) >= GROUP * block:
+                    yield found(have, rows)
+                    rows = []
+        if rows:
+            yield found(have, rows)
 
     return run
 
@@ -163,33 +283,6 @@ def _top(k: int, row: np.ndarray, at: np.ndarray, score: np.ndarray) -> tuple[np
     return row[keep], at[keep], score[keep]
 
 
-def _best(k: int):
-    """The best of each asking row among the candidate blocks of a stripe."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = pa.schema([("note", pa.string()), ("chunk", pa.int32()), ("path", pa.string()), ("path_chunk", pa.int32()), ("score", pa.float64())])
-        if not len(left) or not len(right):
-            return kind.empty_table()
-        flat = lambda t, c: t[c].combine_chunks().flatten()
-        offset = np.r_[0, np.cumsum(left["n"].to_numpy())]
-        asked, out = np.r_[0, np.cumsum(right["n"].to_numpy())], []
-        for at, q in enumerate(right.select(["n", "m", "least", "places"]).to_pylist()):
-            least, wanted = np.frombuffer(q["least"]), set(q["places"])
-            held = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-            for b in range(len(left)):
-                if left["place"][b].as_py() in wanted:
-                    x, y = _matrices(q["m"], q["n"], left["m"][b].as_buffer(), left["n"][b].as_py())
-                    score = np.round(x @ y.T, 9)
-                    i, j = np.nonzero(score >= least[:, None])
-                    held = _top(k, *(np.concatenate(p) for p in zip(held, (i, offset[b] + j, score[i, j]), strict=True)))
-            out.append((held[0] + asked[at], held[1], held[2]))
-        row, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        pick = lambda t, c, i: flat(t, c).take(pa.array(i))
-        return pa.table([pick(right, "paths", row), pick(right, "chunks", row), pick(left, "paths", at), pick(left, "chunks", at), pa.array(score)], schema=kind)
-
-    return run
-
-
 def _sent(have: DataFrame, asking: DataFrame, k: int, block: int, count: int) -> Found:
     """Neighbours among few candidates, which go to every task."""
     rows = have.toArrow()  # of a checked size
@@ -284,13 +377,16 @@ def nearest_chunks(chunks: DataFrame, k: int = 40, asking: DataFrame | None = No
     those below, and asking rows meet the blocks that they need there.
 
     1. Pivots are fitted on a bounded sample.  Chunks go by pivot and angle to it
-       into blocks that hold a range of angles, however many are alike.
-    2. The k-th score of a chunk in a block beside it is a first bound.  By the
-       triangle inequality of angles, a range of angles around a pivot can only
-       hold scores up to the cosine of the gap to it; ranges that reach no
-       asking row's bound are skipped, for whole blocks.
-    3. Groups of asking blocks meet stripes of the candidate blocks that they
-       need.  Vectors without structure need all; what is found is the same.
+       into blocks that hold a range of angles, however many are alike, and the
+       blocks into files of the shared folder.
+    2. Each task takes asking rows through those files, a stripe of blocks at a
+       time, nearest ranges first: no pair of blocks is shuffled, and what a task
+       holds does not grow with the table.  Only the first k copies of a vector
+       in a block are compared.
+    3. The k-th score so far is a row's bound.  By the triangle inequality of
+       angles, a range of angles around a pivot can only hold scores up to the
+       cosine of the gap to it; ranges that reach no asking row's bound are not
+       read.  Vectors without structure need all; what is found is the same.
     """
     spark = chunks.sparkSession
     have = chunks.where("v is not null").select("path", "chunk", F.col("v").cast("array<double>").alias("v"))
@@ -302,47 +398,17 @@ def nearest_chunks(chunks: DataFrame, k: int = 40, asking: DataFrame | None = No
     sample = have.orderBy(F.xxhash64("path", "chunk")).limit(SAMPLE).select("v").toArrow()  # a bounded number
     units = _units(sample["v"].combine_chunks())
     pivots = _fitted_pivots(units, min(PIVOTS, len(units), max(1, count // (2 * block))))
-    have = kept(_blocks(have, pivots, block), "blocks")
-    share = max(1, -(-count // (block * PLACES)))
-    place = ((F.shiftright("block", 32) * (1 << 31)) + F.floor((F.col("block") % (1 << 32)) / share)).cast("long").alias("place")
-    have = have.withColumn("place", place)
-    known = have.select("place", "cell", "low", "high", "n", F.col("block").alias("one"))
-    if share > 1:
-        known = known.groupBy("place", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.min("one").alias("one"))
-    listed = known.toArrow().sort_by([("place", "ascending"), ("cell", "ascending")])  # PLACES rows, one a cell border, and one a task
-    places = {c: listed[c].to_numpy() for c in listed.column_names}
-    asked = have.drop("place") if asking is None else kept(_blocks(asking, pivots, block), "asking")
-    if asking is None:
-        first = asked.withColumns({"h_n": F.col("n"), "h_m": F.col("m")})
-    else:
-        home = have.select(F.col("block").alias("h"), F.col("n").alias("h_n"), F.col("m").alias("h_m"))
-        first = asked.mapInArrow(_beside(places), _BLOCKS + ", h long").join(home, "h", "left")
-    firsts = kept(first.mapInArrow(_needs(k, pivots, places), "block long, least binary, places array<long>, pairs long"), "needs")
-    stripes = max(1, -(-len(listed) // STRIPE))
-    group = F.floor(F.col("block") / GROUP).alias("group")  # blocks of a partition are neighbours
-    wants = firsts.select("block", group, "least", F.explode("places").alias("place")).withColumn("stripe", F.pmod(F.xxhash64("place"), F.lit(stripes)))
-    left = wants.select("group", "stripe", "place").distinct().join(have.select("place", "n", "paths", "chunks", "m"), "place")
-    right = wants.groupBy("block", "group", "stripe").agg(F.first("least").alias("least"), F.collect_list("place").alias("places")).join(asked.select("block", "n", "paths", "chunks", "m"), "block")
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own: both sides come from the same blocks
-    best = left.groupBy("group", "stripe").cogroup(right.groupBy("group", "stripe")).applyInArrow(_best(k), _NEAR)
-    order = F.row_number().over(Window.partitionBy("note", "chunk").orderBy(F.col("score").desc(), "path", "path_chunk"))
-    def counted() -> tuple[int, int]:
-        pairs, n = firsts.join(asked.select("block", "n"), "block").agg(F.sum("pairs"), F.sum("n")).first()
-        return pairs or 0, count * (n or 0)
-
-    return Found(best.withColumn("rank", order).where(F.col("rank") <= k), counted)
-
+    have = kept(_blocks(have, pivots, block, k), "blocks", **{"parquet.block.row.count.limit": STRIPE})
+    files = sorted(have.inputFiles())
+    asked = have if asking is None else kept(_blocks(asking, pivots, block, k), "asking")
+    n = count if asking is None else asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = asked.repartitionByRange(max(1, min(-(-n // (GROUP * block)), 8 * parts)), "block")  # blocks of a task are neighbours
 
-def _beside(places: dict[str, np.ndarray]):
-    """Asking blocks with the block whose angles are most like theirs, of their cell if it has any."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle = (places["low"] + places["high"]) / 2
-        for b in batches:
-            far = [np.abs(middle - (lo + hi) / 2) + 10 * (places["cell"] != c) for c, lo, hi in zip(*(b[x].to_pylist() for x in ("cell", "low", "high")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(places["one"][f.argmin()]) for f in far], pa.int64())], names=[*b.schema.names, "h"])
+    def counted() -> tuple[int, int]:
+        return dealt.mapInArrow(_searched(k, pivots, files, block, True), "pairs long").agg(F.sum("pairs")).first()[0] or 0, count * n
 
-    return run
+    return Found(dealt.mapInArrow(_searched(k, pivots, files, block, False), _NEAR + ", rank int"), counted)
 
 
 def knn_chunks(chunks: DataFrame, k: int = 40, block: int = BLOCK, asking: DataFrame | None = None) -> DataFrame:

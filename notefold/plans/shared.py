@@ -23,8 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df, written once and read back: what made it, such as requests to a model, never runs again."""
+def kept(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """df, written once (as Parquet, with its options) and read back: what made it, such as requests to a model, never runs again."""
     path = f"{shared_folder(df.sparkSession)}/notefold-run/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -125,3 +125,13 @@ def test_means_take_one_shuffle(spark):
     assert set(got) == set(want) and all(np.allclose(got[p], np.mean(v, axis=0)) for p, v in want.items())
     plan = mean_vectors(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "posexplode" not in plan
+
+
+def test_no_pairs_of_blocks_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SENT", -1)
+    rows = gathered(600) + [(f"y/{k}", 0, gathered(1)[0][2]) for k in range(100)]  # a vector with more copies than a list has room for
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = nearest_chunks(df, 8, block=64)
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+    assert same(lists(found.rows), plain(rows, 8))
