@@ -427,7 +427,7 @@ def renewed_neighbours(known: DataFrame, index: DataFrame, changed: DataFrame, k
     k, ask all chunks again; the others meet the new chunks alone.
     """
     depth = k + spare
-    paths = changed.select("path").distinct()
+    known, paths = kept(known.select("note", "chunk", "path", "path_chunk", "score", "rank"), "known"), changed.select("path").distinct()
     whole = known.select("note", "chunk").distinct().count() <= depth  # then lists hold every chunk
     old = known.join(paths.withColumnRenamed("path", "note"), "note", "left_anti").join(paths, "path", "left_anti").select("note", "chunk", "path", "path_chunk", "score", "rank")
     last = old.groupBy("note", "chunk").agg(F.max_by(F.struct("score", "path", "path_chunk"), "rank").alias("last"))

@@ -135,3 +135,20 @@ def test_no_pairs_of_blocks_are_shuffled(spark, monkeypatch):
     plan = found.rows._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" not in plan and "Join" not in plan and plan.count("Exchange") == 1
     assert same(lists(found.rows), plain(rows, 8))
+
+
+def test_known_lists_are_made_once(spark, way, tmp_path):
+    rows = gathered(120)
+    df, told = spark.createDataFrame(rows, SCHEMA), str(tmp_path / "told")
+
+    def tell(batches):
+        for b in batches:
+            with open(told, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    lists_of = knn_chunks(df, 20).localCheckpoint()
+    known = lists_of.mapInArrow(tell, lists_of.schema)
+    found = renewed_neighbours(known, df.where("path <> 'f0/n0'"), spark.createDataFrame([("f0/n0",)], "path string"), k=10, spare=10, block=64)
+    assert same({k: v[:10] for k, v in lists(found.rows).items()}, plain([r for r in rows if r[0] != "f0/n0"], 10))
+    assert (tmp_path / "told").stat().st_size == lists_of.count()
