@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from notefold.functions.frontmatter import updated
 
@@ -54,3 +55,26 @@ def test_random_mappings():
         old = {k: value() for k in rng.sample(["summary", "tags", "a", "b c", "d"], rng.randrange(5))}
         inner = yaml.safe_dump(old, default_flow_style=True, width=rng.choice((20, 1000))).strip()
         assert read(updated(f"---\n{inner}\n---\n", UPDATES, ["summary"])) == {**old, **UPDATES}
+
+
+def test_only_front_matter_goes_to_python(spark):
+    from notefold.functions.frontmatter import divided, head, update_frontmatter
+
+    body = "text\r\nof the body\n" * 5000
+    texts = ["", "\n", "---", "---\n---", "---\n---\n", "--- x\na: 1\n --- \x85\t\nb", "---\r\na: 1\r\n---\r\n\r\nb\r\n", "---\na: 1\n----\nb", "---\na: 1\n--- x\n---\n---\n", "no\n---\na: 1\n---\n", "---\na: 1\n\x1c---\x1f\n\nb", "---\n{a: 1}\n---\nb", "---\n{a\n---\nb", f"---\na: é日\n---\n{body}", f"---\n{body}", body, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("u", F.struct(F.lit("s").alias("summary")))
+    out = df.select("k", head(F.col("text")).alias("head"), update_frontmatter(F.col("text"), F.col("u")).alias("new"))
+    for r in out.collect():
+        text = texts[r.k]
+        if text is None:
+            assert r.head is None and r.new is None
+            continue
+        rows, rest = divided(text)
+        assert divided(r.head)[0] == rows and (rows is None) == (r.head == "") and len(r.head) <= 200
+        try:
+            want = updated(text, {"summary": "s"}, ["summary", "tags", "concepts", "related"])
+        except ValueError:
+            want = None
+        assert r.new == want, (text[:50], r.new, want)
+    plan = out.select("new")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" in plan
