@@ -31,9 +31,8 @@ class _Entries(StatefulProcessor):
         self._least = least_words
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._entry = handle.getValueState("entry", "mtime long, in_current boolean, in_all boolean, hash string")
-        self._known = handle.getValueState("known", "hash string")
-        self._dirty = handle.getValueState("dirty", "dirty boolean")
+        # one value a file, so that a micro-batch asks for it once and puts it back once
+        self._file = handle.getValueState("file", "mtime long, in_current boolean, in_all boolean, hash string, known string, dirty boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         seen = known = None
@@ -45,32 +44,39 @@ class _Entries(StatefulProcessor):
             elif r.kind == "known" and (known is None or r.seq > known.seq):
                 known = r
             dirty, forced, self._seq = dirty or r.kind == "dirty", forced or r.kind == "forced", max(self._seq, r.seq)
-        if known is not None:
-            self._known.update((known.hash,))
-        dirty = dirty or self._dirty.exists()
-        entry = self._entry.get() if self._entry.exists() else None
+        self._was = self._file.get()
+        was = tuple(self._was) if self._was else (None, None, None, None, None, False)
+        entry = was[:4] if was[3] is not None else None
+        told = was[4] if known is None else known.hash
+        dirty = dirty or was[5]
         if seen is None:  # what a dirty file holds is known once it is listed again
-            if dirty or forced:
-                self._dirty.update((True,))
+            self._keep(entry, told, dirty or forced)
             if known is not None and entry is not None:
-                yield self._row(key, entry, False, False)
+                yield self._row(key, entry, told, False, False)
             return
-        self._dirty.clear()
         if seen.kind == "gone":
-            self._entry.clear()
+            self._keep(None, told, False)
             yield Row(relpath=key[0], mtime=seen.mtime, in_current=False, in_all=False, hash=None, scanned=False, updated=False, gone=True, pending=False, seq=self._seq)
             return
         marks = (seen.mtime, seen.in_current, seen.in_all)
-        if entry is not None and tuple(entry[:3]) == marks and not dirty and not forced:
-            yield self._row(key, entry, False, False)
+        if entry is not None and entry[:3] == marks and not dirty and not forced:
+            self._keep(entry, told, False)
+            yield self._row(key, entry, told, False, False)
             return
         good = seen.hash if seen.hash and (seen.words or 0) >= self._least else None
         entry = (*marks, good)
-        self._entry.update(entry) if good else self._entry.clear()
-        yield self._row(key, entry, True, good is not None)
-
-    def _row(self, key, entry, scanned: bool, updated: bool) -> Row:
-        known = self._known.get()[0] if self._known.exists() else None
+        self._keep(entry if good else None, told, False)
+        yield self._row(key, entry, told, True, good is not None)
+
+    def _keep(self, entry, told: str | None, dirty: bool) -> None:
+        now = (*(entry or (None,) * 4), told, dirty)
+        if now == (None,) * 5 + (False,):
+            if self._was:
+                self._file.clear()
+        elif not self._was or now != tuple(self._was):
+            self._file.update(now)
+
+    def _row(self, key, entry, known: str | None, scanned: bool, updated: bool) -> Row:
         mtime, current, every, own = entry
         return Row(relpath=key[0], mtime=mtime, in_current=current, in_all=every, hash=own, scanned=scanned, updated=updated, gone=False, pending=own is not None and own != known, seq=self._seq)
 

@@ -138,3 +138,38 @@ def test_bursts_are_those_of_the_batch_in_any_cut(spark, tmp_path, cut):
 
 def test_schemas_name_what_comes_out(spark):
     assert CHANGES.count(",") == 9 and time is not None
+
+
+def test_a_file_is_one_value_of_state(spark):
+    """A key of a micro-batch asks for its state once and puts it back at most once; what does not change is not put back."""
+    from types import SimpleNamespace
+
+    from notefold.streaming.state import _Entries
+
+    calls, values = [], {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*args):
+                calls.append(what)
+                if what == "update":
+                    values[self.name] = args[0]
+                elif what == "clear":
+                    values.pop(self.name, None)
+                return self.name in values if what == "exists" else values.get(self.name)
+
+            return call
+
+    own = _Entries(0)
+    own.init(SimpleNamespace(getValueState=lambda name, schema: Value(name)))
+    sight = lambda seq, kind, **more: SimpleNamespace(**{"seq": seq, "kind": kind, "mtime": None, "in_current": None, "in_all": None, "hash": None, "words": None} | more)
+    listed = {"mtime": 5, "in_current": True, "in_all": True, "hash": "h", "words": 9}
+    for rows, most in (([sight(1, "listed", **listed), sight(1, "known", hash="h")], 2), ([sight(2, "listed", **listed)], 1), ([sight(3, "dirty")], 2), ([sight(4, "gone")], 2)):
+        calls.clear()
+        out = list(own.handleInputRows(("a.md",), iter(rows), None))
+        assert len(calls) <= most and all(r.relpath == "a.md" for r in out)
+    out = list(own.handleInputRows(("a.md",), iter([sight(5, "listed", **listed)]), None))
+    assert [(r.scanned, r.pending) for r in out] == [(True, False)]  # what was known stays known
