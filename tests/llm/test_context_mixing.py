@@ -177,3 +177,13 @@ def test_a_text_that_occurs_again_is_told_apart(spark):
     got = {r.doc_id: r.bits_per_byte for r in score_texts(spark.createDataFrame(rows + twice, "doc_id long, text string")).collect()}
     again, once = [got[k] for k, _ in twice], [got[k] for k, _ in rows[40:]]
     assert np.median(again) < 0.6 * np.median(once)
+
+
+def test_scores_do_not_depend_on_the_size_of_buckets(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice((2, 20, 400))]) for _ in range(60))) for k in range(300)] + [(None, "w1 w2 " * 200), (None, "w1 w2 " * 200)]
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for bucket in (100, 1 << 20):  # at 100 tokens a bucket every word is more than an eighth of one
+        found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.score, r.base_score, r.n_known) for r in score_texts(docs.repartition(3), bucket=bucket).collect()))
+    assert np.allclose(found[0], found[1], rtol=0, atol=1e-4) and len(found[0]) == len(rows)
