@@ -187,3 +187,27 @@ def test_scores_do_not_depend_on_the_size_of_buckets(spark):
     for bucket in (100, 1 << 20):  # at 100 tokens a bucket every word is more than an eighth of one
         found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.score, r.base_score, r.n_known) for r in score_texts(docs.repartition(3), bucket=bucket).collect()))
     assert np.allclose(found[0], found[1], rtol=0, atol=1e-4) and len(found[0]) == len(rows)
+
+
+def test_a_bit_that_groups_share_is_predicted_once(corpus, monkeypatch):
+    """Groups by context, first bits and whether they are left out; words that differ only after 64 bits are among them."""
+    words, tokens, speller = corpus
+    words = [*words, b"x" * 91, b"x" * 90 + b"y"]
+    tokens = [*tokens, *((0, w, 0, d % 2 == 0) for d in range(5) for w in (len(words) - 1, len(words) - 2, 121))]
+    counts, groups = collections.Counter(), set()
+    paths = [bits_of(speller.code, w) for w in words]
+    for last, w, before, train in tokens:
+        for t in range(min(64, len(paths[w])) * train):
+            counts[last, *paths[w][:t]] += 1
+            counts[(last, before), *paths[w][:t]] += 1
+    for last, w, before, train in tokens:
+        for t in range(len(paths[w])):
+            groups.add(("word", train, *paths[w][: t + 1]) if t < 64 else ("word", train, w, t))  # of the speller, and of the longest context that says something
+            says = [c for c in ((last, before), last) if counts[c, *paths[w][:t]] > train]
+            groups |= {(c, train, *paths[w][: t + 1]) for c in says[:1]}
+    predicted, of = [], C._probability
+    monkeypatch.setattr(C, "_probability", lambda logit, *more: predicted.append(len(logit)) or of(logit, *more))
+    last, word, before, train = (np.array(x) for x in zip(*tokens, strict=True))
+    got = C.score_tokens(words, last, word, before.astype(np.uint32), train, speller)
+    assert sum(predicted) <= len(groups)
+    assert np.allclose(got, plain(words, tokens, speller), atol=5e-3)
